@@ -4,18 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import scan
-
-SMALL_ROWS = 100_000  # a side this small may be broadcast
+from .ordered import explode_range, scan
 
 
 def broadcast_if_small(df: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
     """Hint a broadcast only when the optimizer's own size estimate proves it small."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return F.broadcast(df) if int(size.toString()) <= max_bytes else df
+    return F.broadcast(df) if int(str(size)) <= max_bytes else df
 
 
 def fuse_sensors_asof(
@@ -127,8 +125,6 @@ def label_windows_overlap(
     rel_s, rel_e = F.col("start") - F.col(lo), F.col("end") - F.col(lo)
     first = F.greatest(F.lit(0), F.floor((rel_s - size) / step))
     last = F.least(F.ceil(rel_e / step), F.floor((F.col(hi) - F.col(lo) - size) / step))
-    from .ordered import explode_range
-
     w = explode_range(i, first, last, "window_id")
     ws = F.col(lo) + F.col("window_id") * F.lit(float(step))
     w = w.withColumns({"_ws": ws, "_ov": F.least(ws + size, F.col("end")) - F.greatest(ws, F.col("start"))}).where("_ov > 0")
@@ -201,7 +197,3 @@ def landmark_kernel(vectors: DataFrame, vec: str, landmarks: Sequence[Sequence[f
         dot = F.aggregate(F.zip_with(F.col(vec), lit, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
         values.append(dot * dot)
     return vectors.withColumn("kernel", F.array(*values))
-
-
-def rank_value(col: Column) -> Column:
-    return F.coalesce(col, F.lit(0))

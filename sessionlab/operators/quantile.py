@@ -49,36 +49,49 @@ def quantiles(
         )
         return sketch.select(*group, "n", *[F.col("_q")[i].alias(f"q{i}") for i in range(len(probs))])
 
-    long = long.withColumn("_b", F.floor(_scale(F.col("value")) * COARSE))
+    long = long.withColumn("_b", bucket(F.col("value")))
     hist = long.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    ordered = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*group)
-    hist = hist.withColumns({"_cum": F.sum("_c").over(ordered), "n": F.sum("_c").over(whole)})
-    # a probability needs the values at 0-based ranks floor(p(n-1)) and the one above
+    target = target_buckets(hist, group, probs)
+    # equal values collapse before the shuffle, so copies of one value cost nothing
+    values = long.join(target, [*group, "_b"]).groupBy(*group, "_b", "value", "n", "_below").agg(F.count(F.lit(1)).alias("_c"))
+    return select_ranks(values, group, probs)
+
+
+def bucket(value: Column) -> Column:
+    return F.floor(_scale(value) * COARSE)
+
+
+def _ranks(probs: Sequence[float]) -> tuple[list[Column], list[Column]]:
+    """Per probability the 0-based rank floor(p (n - 1)), and that rank followed by the next one."""
     low = [F.floor(F.lit(float(p)) * (F.col("n") - 1)) for p in probs]
-    wanted = [r for base in low for r in (base, F.least(base + 1, F.col("n") - 1))]
+    return low, [r for base in low for r in (base, F.least(base + 1, F.col("n") - 1))]
+
+
+def target_buckets(hist: DataFrame, group: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """(group..., _b, n, _below): the buckets that hold a wanted rank, from counts ``_c`` per bucket."""
+    ordered = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hist = hist.withColumns({"_cum": F.sum("_c").over(ordered), "n": F.sum("_c").over(Window.partitionBy(*group))})
     hit = F.lit(False)
-    for r in wanted:
+    for r in _ranks(probs)[1]:
         hit = hit | ((r >= F.col("_cum") - F.col("_c")) & (r < F.col("_cum")))
-    target = hist.where(hit).select(*group, "_b", "n", (F.col("_cum") - F.col("_c")).alias("_below"))
+    return hist.where(hit).select(*group, "_b", "n", (F.col("_cum") - F.col("_c")).alias("_below"))
 
-    # equal values collapse before the shuffle, so copies of one value cost nothing
-    values = long.join(target, [*group, "_b"]).groupBy(*group, "_b", "value", "n", "_below").agg(F.count(F.lit(1)).alias("_c"))
+
+def select_ranks(values: DataFrame, group: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """Interpolated quantiles from the distinct values (with counts ``_c``) of the target buckets.
+
+    A bucket is ranked through its fine cells, so no window holds a whole bucket.
+    """
+    low, wanted = _ranks(probs)
     values = values.withColumn("_f", F.floor(_scale(F.col("value")) * (COARSE * FINE)))
     cell = [*group, "_b", "_f"]
     fine = values.groupBy(*cell).agg(F.sum("_c").alias("_fc"))
-    fine = fine.withColumn(
-        "_fbelow",
-        F.coalesce(
-            F.sum("_fc").over(Window.partitionBy(*group, "_b").orderBy("_f").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ),
-    ).drop("_fc")
+    before = Window.partitionBy(*group, "_b").orderBy("_f").rowsBetween(Window.unboundedPreceding, -1)
+    fine = fine.withColumn("_fbelow", F.coalesce(F.sum("_fc").over(before), F.lit(0))).drop("_fc")
     inner = Window.partitionBy(*cell).orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = values.withColumn("_in", F.sum("_c").over(inner)).join(fine, cell)
     ranked = ranked.withColumn("_hi", F.col("_below") + F.col("_fbelow") + F.col("_in")).withColumn("_lo", F.col("_hi") - F.col("_c"))
-    at = []
-    for i, r in enumerate(wanted):
-        at.append(F.max(F.when((r >= F.col("_lo")) & (r < F.col("_hi")), F.col("value"))).alias(f"_a{i}"))
+    at = [F.max(F.when((r >= F.col("_lo")) & (r < F.col("_hi")), F.col("value"))).alias(f"_a{i}") for i, r in enumerate(wanted)]
     picked = ranked.groupBy(*group, "n").agg(*at)
     out = []
     for i, p in enumerate(probs):
@@ -88,6 +101,29 @@ def quantiles(
     return picked.select(*group, "n", *out)
 
 
+def leave_one_out_quantiles(df: DataFrame, fold: Sequence[str], cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """Quantiles of all rows outside each fold, for every fold in one job: (fold..., column, n, q0, ...).
+
+    Bucket counts of a training set are the total minus the fold's own, so raw rows are never
+    copied per fold; only the values of the buckets that hold the wanted ranks are.
+    """
+    fold = list(fold)
+    own = melt(df, fold, cols).groupBy(*fold, "column", "value").agg(F.count(F.lit(1)).alias("_c"))
+    own = own.withColumn("_b", bucket(F.col("value")))
+    own_hist = own.groupBy(*fold, "column", "_b").agg(F.sum("_c").alias("_o"))
+    total_hist = own_hist.groupBy("column", "_b").agg(F.sum("_o").alias("_t"))
+    members = own_hist.select(*fold, "column").distinct()
+    hist = members.join(total_hist, "column").join(own_hist, [*fold, "column", "_b"], "left")
+    hist = hist.select(*fold, "column", "_b", (F.col("_t") - F.coalesce("_o", F.lit(0))).alias("_c")).where("_c > 0")
+    target = target_buckets(hist, [*fold, "column"], probs)
+    wanted = target.select("column", "_b").distinct()
+    total = own.join(wanted, ["column", "_b"], "left_semi").groupBy("column", "_b", "value").agg(F.sum("_c").alias("_t"))
+    mine = own.select(*fold, "column", "_b", "value", F.col("_c").alias("_o"))
+    values = target.join(total, ["column", "_b"]).join(mine, [*fold, "column", "_b", "value"], "left")
+    values = values.withColumn("_c", F.col("_t") - F.coalesce("_o", F.lit(0))).where("_c > 0").drop("_t", "_o")
+    return select_ranks(values, [*fold, "column"], probs)
+
+
 def wide_quantiles(quantile_rows: DataFrame, cols: Sequence[str], names: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """One row per group with columns ``<col>_<name>``."""
     aggs = [
