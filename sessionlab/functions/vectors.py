@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .signal import let
+
 EPS = 1e-7
 
 
@@ -13,9 +15,10 @@ def total(x: Column) -> Column:
 
 
 def softmax(scores: Column) -> Column:
-    top = F.array_max(scores)
-    e = F.transform(scores, lambda s: F.exp(s - top))
-    return F.transform(e, lambda v: v / total(e))
+    def normalised(e):
+        return let(total(e), lambda t: F.transform(e, lambda v: v / t))
+
+    return let(F.array_max(scores), lambda top: let(F.transform(scores, lambda s: F.exp(s - top)), normalised))
 
 
 def argmax(p: Column) -> Column:
@@ -30,7 +33,7 @@ def confidence(p: Column) -> Column:
 def soften(p: Column, temperature: float, eps: float = EPS) -> Column:
     """Temperature-softened distribution."""
     powered = F.transform(p, lambda v: F.pow(F.greatest(F.lit(eps), F.least(v, F.lit(1.0))), F.lit(1.0 / temperature)))
-    return F.transform(powered, lambda v: v / total(powered))
+    return let(powered, lambda q: let(total(q), lambda t: F.transform(q, lambda v: v / t)))
 
 
 def clip01(p: Column, eps: float = EPS) -> Column:
@@ -67,24 +70,28 @@ def ensemble_mean(*ps: Column) -> Column:
 
 def state_summary(states: Column, how: str = "last_mean_std", washout: int = 0) -> Column:
     """Summary of a sequence of state vectors: last, last+mean or last+mean+std (population)."""
-    kept = F.when(F.size(states) > washout, F.slice(states, washout + 1, F.greatest(F.size(states) - washout, F.lit(1)))).otherwise(
-        F.slice(states, -1, 1)
-    )
-    last = F.element_at(kept, -1)
-    idx = F.sequence(F.lit(0), F.size(last) - 1)
-
-    def column(i):
-        return F.transform(kept, lambda v: F.get(v, i))
-
-    mean = F.transform(idx, lambda i: total(column(i)) / F.size(kept))
-    if how == "last":
-        return last
-    if how == "last_mean":
-        return F.concat(last, mean)
-    if how == "last_mean_std":
-        std = F.transform(
-            idx,
-            lambda i: F.sqrt(total(F.transform(column(i), lambda v: (v - F.get(mean, i)) * (v - F.get(mean, i)))) / F.size(kept)),
-        )
-        return F.concat(last, mean, std)
-    raise ValueError(f"unknown summary: {how}")
+    if how not in ("last", "last_mean", "last_mean_std"):
+        raise ValueError(f"unknown summary: {how}")
+    n = F.size(states)
+    kept = F.when(n > washout, F.slice(states, washout + 1, F.greatest(n - washout, F.lit(1)))).otherwise(F.slice(states, -1, 1))
+
+    def folded(kept_states, item):
+        """Element-wise mean of ``item(vector)`` over the kept states, one pass."""
+        zero = F.transform(F.element_at(kept_states, -1), lambda v: F.lit(0.0))
+        sums = F.aggregate(kept_states, zero, lambda acc, v: F.zip_with(acc, item(v), lambda a, b: a + b))
+        return F.transform(sums, lambda v: v / F.size(kept_states))
+
+    def summary(k):
+        last = F.element_at(k, -1)
+        if how == "last":
+            return last
+
+        def with_mean(mean):
+            if how == "last_mean":
+                return F.concat(last, mean)
+            spread = folded(k, lambda v: F.zip_with(v, mean, lambda a, b: (a - b) * (a - b)))
+            return F.concat(last, mean, F.transform(spread, F.sqrt))
+
+        return let(folded(k, lambda v: v), with_mean)
+
+    return let(kept, summary)

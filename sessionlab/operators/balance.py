@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .joins import broadcast_if_small
 from .neighbours import as_vector, nearest
 from .ordered import explode_range, scan
@@ -87,7 +88,7 @@ def smote(
     """
     by = list(by)
     v = df.withColumn("_fv", as_vector(features))
-    made = smote_vectors(v, by, label, id_col, "_fv", seed)
+    made = cut_lineage(smote_vectors(v, by, label, id_col, "_fv", seed))
     sid = hash_number(seed, *by, label, "i").alias("qid")
     queries = made.select(*by, label, "i", sid, F.col("_fv").alias("vec"))
     data = v.select(*by, F.col(id_col).alias("nid"), F.col("_fv").alias("vec"))

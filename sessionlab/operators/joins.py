@@ -16,8 +16,18 @@ def broadcast_if_small(df: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
     return F.broadcast(df) if int(str(size)) <= max_bytes else df
 
 
+def time_chunk(col: str, width: float | None):
+    """Fixed-width chunks for streams of a known top rate; None lets the scan measure the data."""
+    return None if width is None else F.floor(F.col(col) / F.lit(float(width)))
+
+
 def fuse_sensors_asof(
-    base: DataFrame, others: Sequence[tuple[DataFrame, Sequence[str]]], by: Sequence[str], on: str, tolerance: float
+    base: DataFrame,
+    others: Sequence[tuple[DataFrame, Sequence[str]]],
+    by: Sequence[str],
+    on: str,
+    tolerance: float,
+    chunk_width: float | None = None,
 ) -> DataFrame:
     """Attach the nearest row of every other stream to the base stream.
 
@@ -35,7 +45,7 @@ def fuse_sensors_asof(
         )
         exprs[f"_p{i}"] = ("last", f"_r{i}")
         exprs[f"_n{i}"] = ("after", f"_r{i}")
-    seen = scan(side, by, ["_t", "_side"], exprs).where("_side = 1")
+    seen = scan(side, by, ["_t", "_side"], exprs, chunk=time_chunk("_t", chunk_width)).where("_side = 1")
     out = [*[F.col(k) for k in by], F.col("_t").alias(on), *[F.col(f"_l.{c}").alias(c) for c in left_cols]]
     for i, (_, cols) in enumerate(others):
         back, fore = F.col("_t") - F.col(f"_p{i}.t"), F.col(f"_n{i}.t") - F.col("_t")
@@ -46,9 +56,11 @@ def fuse_sensors_asof(
     return seen.select(*out)
 
 
-def asof_nearest(left: DataFrame, right: DataFrame, on: str, by: Sequence[str], tolerance: float, cols: Sequence[str]) -> DataFrame:
+def asof_nearest(
+    left: DataFrame, right: DataFrame, on: str, by: Sequence[str], tolerance: float, cols: Sequence[str], chunk_width: float | None = None
+) -> DataFrame:
     """Left-preserving nearest as-of join within an inclusive tolerance."""
-    return fuse_sensors_asof(left, [(right, cols)], by, on, tolerance)
+    return fuse_sensors_asof(left, [(right, cols)], by, on, tolerance, chunk_width)
 
 
 def fuse_sensors_outer(streams: Sequence[DataFrame], by: Sequence[str], on: str) -> DataFrame:
@@ -73,6 +85,7 @@ def label_rows(
     time: str,
     which: str = "last",
     outside: str = "label",
+    chunk_width: float | None = None,
 ) -> DataFrame:
     """Label every row from its session's intervals (inclusive bounds).
 
@@ -100,10 +113,10 @@ def label_rows(
     )
     both = r.unionByName(i, allowMissingColumns=True).withColumn("_io", F.coalesce(F.col("_iv.o"), F.lit(0)))
     exprs = {f"_c{n}": ("last", F.when(F.col("_iv.l") == l, F.col("_iv"))) for n, l in enumerate(labels)}
-    seen = scan(both, by, ["_t", "_side", "_io"], exprs).where("_side = 1")
+    seen = scan(both, by, ["_t", "_side", "_io"], exprs, chunk=time_chunk("_t", chunk_width)).where("_side = 1")
     live = [F.when(F.col("_t") <= F.col(f"_c{n}.e"), F.col(f"_c{n}")) for n in range(len(labels))]
     best = F.array_max(F.array_compact(F.array(*live)))["l"] if len(live) > 1 else live[0]["l"]
-    out = seen.withColumn("label", best).join(span, by)
+    out = seen.withColumn("label", best).join(broadcast_if_small(span), by)
     out = out.where((F.col("_t") >= F.col("_first")) & (F.col("_t") <= F.col("_last")))
     if outside == "drop":
         out = out.where(F.col("label").isNotNull())

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .ordered import scan
 
 BLOCK_ROWS = 4096
@@ -81,7 +82,8 @@ def nearest(
         both, by, ["p", "id", "isdata"], {"_nd": ("cumsum", "isdata"), "_nq": ("cumsum", (1 - F.col("isdata")))}
     )
     home = F.greatest(F.lit(0), F.floor((F.col("_nd") - 1) / block_rows))
-    both = both.withColumns({"home": home, "qb": F.floor((F.col("_nq") - 1) / block_rows)})
+    # several rounds read the blocked rows; writing them once keeps the plan small and survives lost executors
+    both = cut_lineage(both.withColumns({"home": home, "qb": F.floor((F.col("_nq") - 1) / block_rows)}))
     d = both.where("isdata = 1").select(*by, F.col("id").alias("nid"), "vec", "p", F.col("home").alias("db"))
     q = both.where("isdata = 0").select(*by, F.col("id").alias("qid"), "vec", "p", "home", "qb")
     dblocks = d.groupBy(*by, "db").agg(F.min("p").alias("dlo"), F.max("p").alias("dhi"))
@@ -91,8 +93,11 @@ def nearest(
     def compare(pairs: DataFrame, rows: DataFrame) -> DataFrame:
         """Run the block comparison for (by, home, qb, db) pairs."""
         pair = [*by, "home", "qb", "db"]
-        left = rows.join(pairs, [*by, "home", "qb"]).select(*pair, "qid", "vec")
-        right = d.join(pairs, [*by, "db"]).select(*pair, "nid", "vec")
+        def fresh(df, *cols):  # both sides come from one table; new attribute ids keep them apart
+            return df.select(*[F.col(c).alias(c) for c in (*pair, *cols)])
+
+        left = fresh(rows.join(pairs, [*by, "home", "qb"]), "qid", "vec")
+        right = fresh(d.join(pairs, [*by, "db"]), "nid", "vec")
         body = _best_in_block(k, skip_self)
         n_by = len(by)
 
@@ -105,7 +110,7 @@ def nearest(
         return left.groupBy(*pair).cogroup(right.groupBy(*pair)).applyInPandas(with_keys, f"{keyed}, {schema}" if keyed else schema)
 
     own = q.select(*by, "home", "qb").distinct().withColumn("db", F.col("home"))
-    first = compare(own, q)
+    first = cut_lineage(compare(own, q))
     bound = first.groupBy(*by, "qid").agg(F.count(F.lit(1)).alias("_m"), F.max("d2").alias("_worst"))
     q2 = q.join(bound, [*by, "qid"], "left").withColumn(
         "r", F.when(F.coalesce("_m", F.lit(0)) >= k, F.sqrt("_worst")).otherwise(F.lit(float("inf")))

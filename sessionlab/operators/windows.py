@@ -19,13 +19,16 @@ STATS = {
 }
 
 
-def with_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rn") -> DataFrame:
+def with_rank(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rn", chunk_width: float | None = None
+) -> DataFrame:
     """0-based position of every row in its session."""
-    ranked = scan(df, keys, order, {name: ("rank",)})
+    chunk = None if chunk_width is None else F.floor(F.col(order[0]) / F.lit(float(chunk_width)))
+    ranked = scan(df, keys, order, {name: ("rank",)}, chunk=chunk)
     return ranked.withColumn(name, F.col(name) - 1)
 
 
-def row_windows(df: DataFrame, keys: Sequence[str], order: Sequence[str], size, step) -> DataFrame:
+def row_windows(df: DataFrame, keys: Sequence[str], order: Sequence[str], size, step, chunk_width: float | None = None) -> DataFrame:
     """One row per (row, covering window): adds rn and window_id.
 
     ``size`` and ``step`` are numbers or Columns (adaptive per participant).  Incomplete windows
@@ -33,7 +36,7 @@ def row_windows(df: DataFrame, keys: Sequence[str], order: Sequence[str], size,
     """
     size = size if isinstance(size, Column) else F.lit(int(size))
     step = step if isinstance(step, Column) else F.lit(int(step))
-    r = with_rank(df, keys, order).withColumns({"_w": size, "_st": step})
+    r = with_rank(df, keys, order, chunk_width=chunk_width).withColumns({"_w": size, "_st": step})
     first = F.greatest(F.lit(0), F.ceil((F.col("rn") - F.col("_w") + 1) / F.col("_st")))
     last = F.floor(F.col("rn") / F.col("_st"))
     return r.where(first <= last).withColumn("window_id", F.explode(F.sequence(first, last)))
@@ -54,9 +57,10 @@ def window_stats(
     stats: Sequence[str] = ("mean", "std", "min", "max", "median"),
     label: str | None = None,
     drop_null_labels: bool = False,
+    chunk_width: float | None = None,
 ) -> DataFrame:
     """Statistics of complete row windows; with ``label`` also its majority code."""
-    w = row_windows(df, keys, order, size, step)
+    w = row_windows(df, keys, order, size, step, chunk_width)
     aggs = [STATS[s](c).alias(f"{c}_{s}") for c in cols for s in stats]
     aggs += [F.min(order[0]).alias("start"), F.max(order[0]).alias("end"), F.count(F.lit(1)).alias("_n"), F.first("_w").alias("_size")]
     if label:

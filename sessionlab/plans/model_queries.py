@@ -17,7 +17,7 @@ from ..operators import timeseries as ts
 from ..operators import windows as wn
 from .bindings import HOUR, KEYS, MARKERS, NULLABLE, PRED, SIG, VEC, nullable, pred, r6, sensor, sig, sql, table, vec
 from .registry import query
-from .time_queries import BOUNDS, INTERVALS, LABELS, ORDER, ROWS, TWIN, _bounds, _intervals, _wins
+from .time_queries import BOUNDS, INTERVALS, LABELS, ORDER, ROWS, TWIN, _bounds, _interval_table, _intervals, _wins
 
 QA = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -102,7 +102,7 @@ def _relative(spark, d, iv):
 
 @query("j05_label_rows", sql("SELECT participant, session, event_id, timestamp, value, label FROM lab", MARKERS, INTERVALS, LABELED))
 def j05(spark, d):
-    iv = _intervals(spark, d)
+    iv = _interval_table(spark, d)
     return jn.label_rows(_relative(spark, d, iv), iv, LABELS, KEYS, "timestamp")
 
 
@@ -111,7 +111,7 @@ def j05(spark, d):
     sql("SELECT participant, session, event_id, timestamp, l AS label FROM rel JOIN cov USING (event_id)", MARKERS, INTERVALS, LABELED),
 )
 def j05b(spark, d):
-    iv = _intervals(spark, d)
+    iv = _interval_table(spark, d)
     return jn.label_rows(_relative(spark, d, iv), iv, LABELS, KEYS, "timestamp", which="first", outside="drop").drop("value")
 
 
@@ -120,8 +120,8 @@ def j05b(spark, d):
     sql(
         """WITH o AS (SELECT tw.participant, tw.session, window_id, tw.start, i.label, i.ord, least(tw."end", i."end" + i.t0) - greatest(tw.start, i.start + i.t0) AS ov
  FROM tw JOIN iv i ON tw.participant = i.participant AND tw.session = i.session),
- k AS (SELECT *, row_number() OVER (PARTITION BY participant, session, window_id ORDER BY ov DESC, ord) AS k FROM o WHERE ov > 0)
-SELECT participant, session, window_id, CAST(start AS DOUBLE) AS start, label, CAST(ov AS DOUBLE) AS overlap FROM k WHERE k = 1""",
+ best AS (SELECT *, row_number() OVER (PARTITION BY participant, session, window_id ORDER BY ov DESC, ord) AS place FROM o WHERE ov > 0)
+SELECT participant, session, window_id, CAST(start AS DOUBLE) AS start, label, CAST(ov AS DOUBLE) AS overlap FROM best WHERE place = 1""",
         MARKERS, INTERVALS, BOUNDS, TWIN,
     ),
 )
@@ -310,7 +310,7 @@ def j15b(spark, d):
     "session_windows",
     sql(
         """WITH hr AS (SELECT participant, session, CAST(floor(timestamp / 3600000) AS BIGINT) AS b, avg(value) AS value FROM sig GROUP BY ALL),
- base AS (SELECT r.participant, r.session, b * 3600000.0::DOUBLE - t0 AS timestamp, b AS event_id, value, a, span.b AS z, ae, fs FROM hr r JOIN span USING (participant, session)),
+ base AS (SELECT r.participant, r.session, r.b * 3600000.0::DOUBLE - t0 AS timestamp, r.b AS event_id, value, a, span.b AS z, ae, fs FROM hr r JOIN span USING (participant, session)),
  click AS (SELECT s.participant, s.session, s.timestamp - t0 AS timestamp, value FROM sig s JOIN span USING (participant, session) WHERE event_type = 'click'),
  bk AS (SELECT l.participant, l.session, l.event_id, r.timestamp AS t, r.value AS v FROM base l ASOF JOIN click r ON l.participant = r.participant AND l.session = r.session AND l.timestamp >= r.timestamp),
  fw AS (SELECT l.participant, l.session, l.event_id, r.timestamp AS t, r.value AS v FROM base l ASOF JOIN click r ON l.participant = r.participant AND l.session = r.session AND l.timestamp < r.timestamp),
@@ -333,15 +333,20 @@ FROM ww JOIN mj ON mj.k = 1 AND ww.participant = mj.participant AND ww.session =
     ),
 )
 def session_windows(spark, d):
-    """Dedup, resample, fuse by nearest stamp, label from markers, window, summarise."""
+    """Dedup, resample, fuse by nearest stamp, label from markers, window, summarise.
+
+    The interval table is tiny next to the signals and read three times, so it is written once.
+    Hourly rows bound a 30-day chunk at 720 rows, so the scans need no measuring pass.
+    """
+    width = 720 * HOUR
     s = pf.keep_one(sig(spark, d).select(*KEYS, "timestamp", "value", "event_id"), [*KEYS, "timestamp"], "event_id").drop("event_id")
-    iv = _intervals(spark, d)
+    iv = _interval_table(spark, d)
     hourly = ts.resample_mean(s, KEYS, "timestamp", ["value"], HOUR, gaps=False)
-    fused = jn.asof_nearest(hourly, sensor(spark, d, "click"), "timestamp", KEYS, 6 * HOUR, ["click_value"])
+    fused = jn.asof_nearest(hourly, sensor(spark, d, "click"), "timestamp", KEYS, 6 * HOUR, ["click_value"], chunk_width=24 * HOUR)
     rel = en.relative_time(fused, iv.groupBy(*KEYS).agg(F.min("t0").alias("t0")), KEYS, "timestamp")
-    labeled = jn.label_rows(rel, iv, LABELS, KEYS, "timestamp")
+    labeled = jn.label_rows(rel, iv, LABELS, KEYS, "timestamp", chunk_width=width)
     coded = en.encode_labels(labeled, "label", LABEL_CODES).withColumn("label", F.col("label").cast("int"))
-    out = wn.window_stats(coded, KEYS, ["timestamp"], ["value", "click_value"], 8, 4, label="label")
+    out = wn.window_stats(coded, KEYS, ["timestamp"], ["value", "click_value"], 8, 4, label="label", chunk_width=width)
     fix = [f"{c}_{s}" for c in ("value", "click_value") for s in ("mean", "std", "median")] + ["value_min", "value_max"]
     return out.withColumns({c: r6(c) for c in fix})
 

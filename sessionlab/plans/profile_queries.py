@@ -16,7 +16,7 @@ from ..sources import sessions as src
 from ..sources import sinks
 from .bindings import DUPES, HOUR, KEYS, MARKERS, NULLABLE, PRED, SIG, dupes, markers, nullable, pred, r6, sensor, sig, sql, table
 from .registry import query
-from .time_queries import BOUNDS, INTERVALS, LABELS, ORDER, ROWS, TWIN, _intervals, _wins
+from .time_queries import BOUNDS, INTERVALS, LABELS, ORDER, ROWS, TWIN, _interval_table, _wins
 
 QA = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 LONG = """lng AS (UNPIVOT (SELECT l_returnflag, l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem) ON l_quantity, l_extendedprice, l_discount, l_tax
@@ -333,7 +333,7 @@ SELECT event_id, participant, session, timestamp - t0 AS timestamp FROM sig JOIN
     ),
 )
 def p12(spark, d):
-    iv = _intervals(spark, d)
+    iv = _interval_table(spark, d)
     s = en.relative_time(sig(spark, d).select("event_id", *KEYS, "timestamp"), iv.select(*KEYS, "t0").distinct(), KEYS, "timestamp")
     return en.clip_to_session(s, iv, KEYS, "timestamp")
 
@@ -696,7 +696,7 @@ def a24(spark, d):
     ),
 )
 def a24b(spark, d):
-    iv = _intervals(spark, d)
+    iv = _interval_table(spark, d)
     rows = en.relative_time(sig(spark, d), iv.select(*KEYS, "t0").distinct(), KEYS, "timestamp").drop("label")
     return pf.overlap_rows(rows, iv, LABELS, KEYS, "timestamp")
 

@@ -11,6 +11,7 @@ from ..operators import breathing as br
 from ..operators import timeseries as ts
 from ..operators import windows as wn
 from ..operators.ordered import scan, steps
+from ..session import cut_lineage
 from .bindings import HOUR, KEYS, MARKERS, NULLABLE, SIG, markers, nullable, r6, sensor, sig, sql
 from .registry import query
 
@@ -32,6 +33,11 @@ def _intervals(spark, d):
     return ts.marker_intervals(markers(spark, d), LABELS, KEYS, "timestamp", "marker", "pos")
 
 
+def _interval_table(spark, d):
+    """Intervals written once for operators that read them several times (tiny next to the signals)."""
+    return cut_lineage(_intervals(spark, d))
+
+
 @query("w01_marker_intervals", sql('SELECT participant, session, start, "end", label, ord, t0 FROM iv', MARKERS, INTERVALS))
 def w01(spark, d):
     return _intervals(spark, d)
