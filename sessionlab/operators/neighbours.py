@@ -65,14 +65,14 @@ def nearest(
     k: int,
     *,
     skip_self: bool = False,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """(by..., qid, nid, d2, rank): the k nearest data rows of every query in its own group.
 
     ``data`` has columns by..., nid, vec; ``queries`` has by..., qid, vec.  Ids are longs and
     unique in their group; equal distances rank by nid.  ``skip_self`` leaves out nid = qid.
     """
-    by = list(by)
+    by, block_rows = list(by), block_rows or BLOCK_ROWS
     ref = data.groupBy(*by).agg(F.min_by("vec", "nid").alias("_ref"))
     both = data.select(*by, F.col("nid").alias("id"), "vec", F.lit(1).alias("isdata")).unionByName(
         queries.select(*by, F.col("qid").alias("id"), "vec", F.lit(0).alias("isdata"))

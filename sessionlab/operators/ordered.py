@@ -21,7 +21,7 @@ _RN = "_rn"
 
 
 def with_chunk(
-    df: DataFrame, keys: Sequence[str], order: str, rows_per_chunk: int = ROWS_PER_CHUNK, name: str = CHUNK
+    df: DataFrame, keys: Sequence[str], order: str, rows_per_chunk: int | None = None, name: str = CHUNK
 ) -> DataFrame:
     """Add a chunk number per row: about ``rows_per_chunk`` rows each, monotone in ``order``.
 
@@ -34,7 +34,7 @@ def with_chunk(
         F.max(F.col(order).cast("double")).alias("_hi"),
     )
     stats = stats.select(
-        *keys, "_lo", F.ceil(F.col("_n") / F.lit(rows_per_chunk)).alias("_parts"), (F.col("_hi") - F.col("_lo")).alias("_span")
+        *keys, "_lo", F.ceil(F.col("_n") / F.lit(rows_per_chunk or ROWS_PER_CHUNK)).alias("_parts"), (F.col("_hi") - F.col("_lo")).alias("_span")
     )
     pos = F.when(
         (F.col("_parts") > 1) & (F.col("_span") > 0),
@@ -53,7 +53,7 @@ def scan(
     exprs: Mapping[str, tuple],
     *,
     chunk: Column | None = None,
-    rows_per_chunk: int = ROWS_PER_CHUNK,
+    rows_per_chunk: int | None = None,
 ) -> DataFrame:
     """Add running columns to ``df``, evaluated per ``keys`` in ascending ``order``.
 

@@ -30,10 +30,18 @@ def smooth_majority_batch(df: DataFrame, keys: Sequence[str], order: Sequence[st
     return out.withColumn("smoothed", (hits / F.least(F.col("_r"), F.lit(n)) > 0.5).cast("int")).select(*df.columns, "smoothed")
 
 
-def smooth_majority(stream: DataFrame, keys: Sequence[str], order: str, flag: str, n: int, ttl: str = "1 hour") -> DataFrame:
+def _expire_after(state: GroupState, stamps: pd.Series, ttl_ms: int) -> None:
+    """Forget a key once the watermark is ``ttl_ms`` past its latest event."""
+    last = int(stamps.max().timestamp() * 1000)
+    state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + ttl_ms)
+
+
+def smooth_majority(
+    stream: DataFrame, keys: Sequence[str], order: str, flag: str, n: int, ts: str, lateness: str = "1 hour", ttl: str = "1 day"
+) -> DataFrame:
     """Streaming last-``n`` majority per key, one output per event, in event order inside a batch.
 
-    The state is the last ``n`` decisions; a key idle for ``ttl`` (processing time) is forgotten.
+    The state is the last ``n`` decisions; a key idle for ``ttl`` of event time is forgotten.
     """
     kfields = [stream.schema[k] for k in keys]
     out_schema = T.StructType([*kfields, stream.schema[order], T.StructField("smoothed", T.IntegerType())])
@@ -45,16 +53,17 @@ def smooth_majority(stream: DataFrame, keys: Sequence[str], order: str, flag: st
             state.remove()
             return
         last = list(state.get[0]) if state.exists else []
-        pdf = pd.concat(list(frames)).sort_values(order)
+        pdf = pd.concat(list(frames)).sort_values(order)  # one key's share of one micro-batch, bounded by the source's rate limit
         smoothed = []
         for hit in pdf[flag].astype(int):
             last = [*last, int(hit)][-n:]
             smoothed.append(int(sum(last) / len(last) > 0.5))
         state.update((last,))
-        state.setTimeoutDuration(ms)
+        _expire_after(state, pdf[ts], ms)
         yield pd.DataFrame({**{k: [v] * len(pdf) for k, v in zip(keys, key)}, order: pdf[order].to_numpy(), "smoothed": smoothed})
 
-    return stream.groupBy(*keys).applyInPandasWithState(step, out_schema, state_schema, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = stream.withWatermark(ts, lateness)
+    return timed.groupBy(*keys).applyInPandasWithState(step, out_schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # ---------------------------------------------------------------- resampling and windows
@@ -79,7 +88,7 @@ def sliding_stats(
 
 # ---------------------------------------------------------------- markers
 def marker_intervals_stream(
-    stream: DataFrame, labels: Sequence[str], keys: Sequence[str], time: str, marker: str, pos: str, ttl: str = "1 day"
+    stream: DataFrame, labels: Sequence[str], keys: Sequence[str], time: str, marker: str, pos: str, ts: str, lateness: str = "1 hour", ttl: str = "30 days"
 ) -> DataFrame:
     """Online marker pairing: one row per closed interval, absolute times, in file order ``pos`` inside a batch."""
     out_schema = T.StructType(
@@ -108,11 +117,12 @@ def marker_intervals_stream(
                 elif f"end_{label}" in text and label in opened:
                     rows.append((*key, opened.pop(label), float(t), label, int(at)))
         state.update((opened,))
-        state.setTimeoutDuration(ms)
+        _expire_after(state, pdf[ts], ms)
         if rows:
             yield pd.DataFrame(rows, columns=out_schema.names)
 
-    return stream.groupBy(*keys).applyInPandasWithState(step, out_schema, state_schema, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = stream.withWatermark(ts, lateness)
+    return timed.groupBy(*keys).applyInPandasWithState(step, out_schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # ---------------------------------------------------------------- deduplication
