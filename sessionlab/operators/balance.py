@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
-from .joins import broadcast_if_small
+from ..session import broadcast_if_small, cut_lineage
 from .neighbours import as_vector, nearest
 from .ordered import explode_range, scan
 from .profile import median_step

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .encode import categories, one_hot
-from .joins import broadcast_if_small
+from ..session import broadcast_if_small
 from .linear import Components, as_unit_signs, covariance, pca
 from .neighbours import as_vector
 from .profile import participant_profile

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..constants import LABEL_NAMES, UNLABELED, UNLABELED_CODE
 from ..functions.text import clean
-from .joins import broadcast_if_small
+from ..session import broadcast_if_small
 from .ordered import steps
 from .quantile import quantiles
 

@@ -7,15 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import broadcast_if_small
 from .ordered import explode_range, scan
 
 
-def broadcast_if_small(df: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
-    """Hint a broadcast only when the optimizer's own size estimate proves it small."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return F.broadcast(df) if int(str(size)) <= max_bytes else df
-
-
 def time_chunk(col: str, width: float | None):
     """Fixed-width chunks for streams of a known top rate; None lets the scan measure the data."""
     return None if width is None else F.floor(F.col(col) / F.lit(float(width)))

@@ -25,25 +25,23 @@ def with_chunk(
 ) -> DataFrame:
     """Add a chunk number per row: about ``rows_per_chunk`` rows each, monotone in ``order``.
 
-    One map-side-combined aggregate gives count and range per key; it holds one row per
-    session and joins back (broadcast when small, else a shuffle join that AQE can split).
+    One map-side-combined aggregate over keys and order column finds the sessions that need
+    more than one chunk.  There are at most rows / rows_per_chunk of them, so that list is
+    broadcast by construction and the data itself is not shuffled here.
     """
+    limit = rows_per_chunk or ROWS_PER_CHUNK
     stats = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"),
         F.min(F.col(order).cast("double")).alias("_lo"),
         F.max(F.col(order).cast("double")).alias("_hi"),
     )
-    stats = stats.select(
-        *keys, "_lo", F.ceil(F.col("_n") / F.lit(rows_per_chunk or ROWS_PER_CHUNK)).alias("_parts"), (F.col("_hi") - F.col("_lo")).alias("_span")
+    span = F.col("_hi") - F.col("_lo")
+    long = stats.where((F.col("_n") > limit) & (span > 0)).select(
+        *keys, "_lo", F.ceil(F.col("_n") / F.lit(limit)).alias("_parts"), span.alias("_span")
     )
-    pos = F.when(
-        (F.col("_parts") > 1) & (F.col("_span") > 0),
-        F.least(
-            F.floor((F.col(order).cast("double") - F.col("_lo")) / F.col("_span") * F.col("_parts")),
-            F.col("_parts") - 1,
-        ),
-    ).otherwise(F.lit(0))
-    return df.join(stats, list(keys)).withColumn(name, pos.cast("long")).drop("_lo", "_parts", "_span")
+    at = F.floor((F.col(order).cast("double") - F.col("_lo")) / F.col("_span") * F.col("_parts"))
+    pos = F.coalesce(F.least(at, F.col("_parts") - 1), F.lit(0))
+    return df.join(F.broadcast(long), list(keys), "left").withColumn(name, pos.cast("long")).drop("_lo", "_parts", "_span")
 
 
 def scan(

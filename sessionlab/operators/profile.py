@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import TARGET_PERIOD_MS
-from .joins import broadcast_if_small
+from ..session import broadcast_if_small
 from .ordered import steps
-from .quantile import melt, quantiles
+from .quantile import known_small, melt, quantiles
 
 
 def sample_skewness(x: Column) -> Column:
@@ -94,7 +94,7 @@ def profile_stats(df: DataFrame, cols: Sequence[str], decimals: int = 3, approxi
     )
     q = quantiles(df, cols, [0.25, 0.5, 0.75], approximate=approximate)
     q = q.select("column", F.col("q0").alias("q25"), F.col("q1").alias("median"), F.col("q2").alias("q75"))
-    out = moments.join(broadcast_if_small(q), "column")
+    out = moments.join(F.broadcast(q), "column")  # one row per column
     names = ["mean", "std", "min", "q25", "median", "q75", "max", "skewness", "kurtosis"]
     return out.select("column", "count", *[F.round(n, decimals).alias(n) for n in names])
 
@@ -138,7 +138,7 @@ def profile_outliers(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (),
     q = quantiles(df, cols, [0.25, 0.75], by=by, approximate=approximate)
     iqr = F.col("q1") - F.col("q0")
     bounds = q.select(*by, "column", (F.col("q0") - 1.5 * iqr).alias("_lo"), (F.col("q1") + 1.5 * iqr).alias("_hi"))
-    out = melt(df, by, cols).join(broadcast_if_small(bounds), [*by, "column"])
+    out = melt(df, by, cols).join(known_small(bounds, by), [*by, "column"])
     return out.groupBy(*by, "column").agg(
         F.count_if((F.col("value") < F.col("_lo")) | (F.col("value") > F.col("_hi"))).alias("n_outliers"),
         F.count(F.lit(1)).alias("n"), F.min("value").alias("min"), F.max("value").alias("max"),
@@ -226,7 +226,7 @@ def box_stats(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFram
     iqr = F.col("q2") - F.col("q0")
     q = q.withColumns({"_lo": F.col("q0") - 1.5 * iqr, "_hi": F.col("q2") + 1.5 * iqr})
     inside = F.col("value").between(F.col("_lo"), F.col("_hi"))
-    v = melt(df, by, cols).join(broadcast_if_small(q), [*by, "column"])
+    v = melt(df, by, cols).join(known_small(q, by), [*by, "column"])
     return v.groupBy(*by, "column").agg(
         F.first("q0").alias("q1"), F.first("q1").alias("median"), F.first("q2").alias("q3"),
         F.min(F.when(inside, F.col("value"))).alias("whisker_low"), F.max(F.when(inside, F.col("value"))).alias("whisker_high"),

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import broadcast_if_small, cut_lineage
+
 COARSE = 256  # buckets per factor of two
 FINE = 4096  # sub-buckets per coarse bucket
 
@@ -51,12 +53,21 @@ def quantiles(
 
     long = long.withColumn("_b", bucket(F.col("value")))
     hist = long.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    target = target_buckets(hist, group, probs)
+    target = known_small(target_buckets(hist, group, probs), by)
     # equal values collapse before the shuffle, so copies of one value cost nothing
     values = long.join(target, [*group, "_b"]).groupBy(*group, "_b", "value", "n", "_below").agg(F.count(F.lit(1)).alias("_c"))
     return select_ranks(values, group, probs)
 
 
+def known_small(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """A table of a few rows per group and column, ready to join without shuffling the data.
+
+    Without groups its size is fixed by the column list.  With groups it is written once, and
+    broadcast only if the written size is small.
+    """
+    return broadcast_if_small(cut_lineage(df)) if by else F.broadcast(df)
+
+
 def bucket(value: Column) -> Column:
     return F.floor(_scale(value) * COARSE)
 
@@ -109,13 +120,13 @@ def leave_one_out_quantiles(df: DataFrame, fold: Sequence[str], cols: Sequence[s
     """
     fold = list(fold)
     own = melt(df, fold, cols).groupBy(*fold, "column", "value").agg(F.count(F.lit(1)).alias("_c"))
-    own = own.withColumn("_b", bucket(F.col("value")))
+    own = cut_lineage(own.withColumn("_b", bucket(F.col("value"))))
     own_hist = own.groupBy(*fold, "column", "_b").agg(F.sum("_c").alias("_o"))
     total_hist = own_hist.groupBy("column", "_b").agg(F.sum("_o").alias("_t"))
     members = own_hist.select(*fold, "column").distinct()
     hist = members.join(total_hist, "column").join(own_hist, [*fold, "column", "_b"], "left")
     hist = hist.select(*fold, "column", "_b", (F.col("_t") - F.coalesce("_o", F.lit(0))).alias("_c")).where("_c > 0")
-    target = target_buckets(hist, [*fold, "column"], probs)
+    target = cut_lineage(target_buckets(hist, [*fold, "column"], probs))
     wanted = target.select("column", "_b").distinct()
     total = own.join(wanted, ["column", "_b"], "left_semi").groupBy("column", "_b", "value").agg(F.sum("_c").alias("_t"))
     mine = own.select(*fold, "column", "_b", "value", F.col("_c").alias("_o"))

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .joins import broadcast_if_small
+from ..session import broadcast_if_small
 from .quantile import leave_one_out_quantiles, quantiles
 
 QUARTILES = [0.25, 0.5, 0.75]
