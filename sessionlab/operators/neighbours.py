@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import broadcast_if_small, cut_lineage
 from .ordered import scan
 
 BLOCK_ROWS = 4096
@@ -77,7 +77,7 @@ def nearest(
     both = data.select(*by, F.col("nid").alias("id"), "vec", F.lit(1).alias("isdata")).unionByName(
         queries.select(*by, F.col("qid").alias("id"), "vec", F.lit(0).alias("isdata"))
     )
-    both = both.join(ref, by).withColumn("p", F.sqrt(squared_distance(F.col("vec"), F.col("_ref")))).drop("_ref")
+    both = both.join(broadcast_if_small(cut_lineage(ref)), by).withColumn("p", F.sqrt(squared_distance(F.col("vec"), F.col("_ref")))).drop("_ref")
     both = scan(
         both, by, ["p", "id", "isdata"], {"_nd": ("cumsum", "isdata"), "_nq": ("cumsum", (1 - F.col("isdata")))}
     )

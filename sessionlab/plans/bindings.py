@@ -104,6 +104,8 @@ def sql(template: str, *preludes: str) -> str:
     """Prefix a statement with the common table expressions it uses."""
     body = template.strip()
     ctes = ", ".join(preludes)
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes}, {body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {ctes}, {body[5:]}"
     return f"WITH {ctes} {body}"

@@ -87,7 +87,16 @@ def s02(spark, d):
     return src.normalize_sensor(raw, {"val": "value", "absent": "absent"}, "any")
 
 
-@query("s03_read_sensor_checked")
+@query(
+    "s03_read_sensor_checked",
+    sql(
+        """WITH k AS (SELECT DISTINCT CAST(participant AS VARCHAR) AS participant, CAST(session AS VARCHAR) AS session FROM sig),
+ h AS (SELECT DISTINCT CAST(participant AS VARCHAR) AS participant, CAST(session AS VARCHAR) AS session FROM sig WHERE event_type = 'click')
+SELECT participant, session, 'temp' AS sensor, 'missing file' AS warning FROM k UNION ALL SELECT participant, session, 'odd', 'no useful column' FROM k
+UNION ALL SELECT participant, session, 'hr', 'missing file' FROM (FROM k EXCEPT FROM h)""",
+        SIG,
+    ),
+)
 def s03(spark, d):
     root = _tree(spark, d)
     wanted = {"hr": ("wrist_hr", {"hr": "wrist_hr"}), "temp": ("wrist_temp", {"temp": "temp"}), "odd": ("exp_markers", {"none": "none"})}
@@ -152,12 +161,16 @@ def s07(spark, d):
     return out.select("model", "f.fold", "f.f1_macro")
 
 
-@query("s08_soft_label_bundle")
+@query(
+    "s08_soft_label_bundle",
+    sql("SELECT participant, session, window_id, CAST(rn - window_id * 4 AS INTEGER) AS i, CAST(CAST(value AS FLOAT) AS DOUBLE) AS value FROM win", SIG, ROWS, _wins(8, 4)),
+)
 def s08(spark, d):
     path = scratch(spark, "soft")
     w = wn.window_arrays(sig(spark, d), KEYS, ORDER, ["value"], 8, 4, label="label").withColumnRenamed("features", "window")
     sinks.write_soft_labels(w, path, ["value"])
-    return sinks.read_soft_labels(spark, path, ["value"])
+    back = sinks.read_soft_labels(spark, path, ["value"])
+    return back.select(*KEYS, "window_id", F.posexplode("window").alias("i", "x")).select(*KEYS, "window_id", "i", F.col("x")[0].cast("double").alias("value"))
 
 
 @query(
@@ -187,9 +200,13 @@ def s10(spark, d):
     return src.list_labeled_files(spark, _write_classes(spark, d, scratch(spark, "classes")), ("txt",)).select("class", "length")
 
 
-@query("s11_folder_sizes")
+@query(
+    "s11_folder_sizes",
+    """SELECT 'class=c' || quality AS model, CAST(sum(length(CAST(doc_id AS VARCHAR)) + 1) AS BIGINT) AS bytes, round(sum(length(CAST(doc_id AS VARCHAR)) + 1) / 1048576.0, 2)::DOUBLE AS size_mb,
+ round(sum(length(CAST(doc_id AS VARCHAR)) + 1) / 1024.0, 2)::DOUBLE AS size_kb FROM labels GROUP BY quality""",
+)
 def s11(spark, d):
-    return src.folder_sizes(spark, _write_classes(spark, d, scratch(spark, "classes")))
+    return src.folder_sizes(spark, _write_classes(spark, d, scratch(spark, "classes"))).drop("n_files")
 
 
 @query(

@@ -287,9 +287,18 @@ def w15(spark, d):
     )
 
 
-@query("w16_window_arrays")
+@query(
+    "w16_window_arrays",
+    sql(
+        """SELECT participant, session, window_id, CAST(rn - window_id * 4 AS INTEGER) AS i, CAST(CAST(value AS FLOAT) AS DOUBLE) AS value,
+ min(timestamp) OVER (PARTITION BY participant, session, window_id) AS start, max(timestamp) OVER (PARTITION BY participant, session, window_id) AS "end" FROM win""",
+        SIG, ROWS, _wins(8, 4),
+    ),
+)
 def w16(spark, d):
-    return wn.window_arrays(sig(spark, d), KEYS, ORDER, ["value", "timestamp"], 8, 4, label="label")
+    w = wn.window_arrays(sig(spark, d), KEYS, ORDER, ["value"], 8, 4)
+    flat = w.select(*KEYS, "window_id", "start", "end", F.posexplode("features").alias("i", "x"))
+    return flat.select(*KEYS, "window_id", "start", "end", "i", F.col("x")[0].cast("double").alias("value"))
 
 
 @query(
@@ -377,7 +386,17 @@ def w23(spark, d):
     return out.select(*KEYS, "window_id", (F.col("window_id") * 4 + F.col("i")).alias("rn"), "value")
 
 
-@query("w24_thin_min_gap")
+@query(
+    "w24_thin_min_gap",
+    sql(
+        """WITH RECURSIVE nx AS (SELECT a.participant, a.session, a.timestamp, min(b.timestamp) AS nt FROM sig a JOIN sig b
+ ON a.participant = b.participant AND a.session = b.session AND b.timestamp >= a.timestamp + 43200000 GROUP BY a.participant, a.session, a.timestamp),
+ k AS (SELECT participant, session, min(timestamp) AS timestamp FROM sig GROUP BY participant, session
+ UNION ALL SELECT k.participant, k.session, nx.nt FROM k JOIN nx ON k.participant = nx.participant AND k.session = nx.session AND k.timestamp = nx.timestamp WHERE nx.nt IS NOT NULL)
+SELECT participant, session, timestamp FROM k""",
+        SIG,
+    ),
+)
 def w24(spark, d):
     return ts.thin_min_gap(sig(spark, d), KEYS, "timestamp", 12 * HOUR)
 
@@ -424,7 +443,16 @@ def w26(spark, d):
     return out.select(*KEYS, "window_id", "i", F.get("value", F.col("i")).alias("value"))
 
 
-@query("w27_peak_refractory")
+@query(
+    "w27_peak_refractory",
+    sql(
+        """WITH RECURSIVE k AS (SELECT participant, session, window_id, min(i) AS i FROM pk GROUP BY participant, session, window_id
+ UNION ALL SELECT * FROM (SELECT k.participant, k.session, k.window_id, min(p.i) AS i FROM k JOIN pk p ON k.participant = p.participant AND k.session = p.session
+  AND k.window_id = p.window_id AND p.i >= k.i + 5 GROUP BY k.participant, k.session, k.window_id))
+SELECT participant, session, window_id, CAST(i AS INTEGER) AS i FROM k""",
+        SIG, ROWS, _wins(16, 8), PEAKS,
+    ),
+)
 def w27(spark, d):
     return _peaks(spark, d).select(*KEYS, "window_id", F.explode(sg.refractory(F.col("peaks"), 5)).alias("i"))
 
@@ -537,7 +565,22 @@ def f09(spark, d):
     return _windows16(spark, d).select(*KEYS, "window_id", r6(sg.skewness(F.col("value"))).alias("skewness"))
 
 
-@query("f10_pulse_features")
+@query(
+    "f10_pulse_features",
+    sql(
+        """WITH hrv AS (SELECT participant, session, window_id, CASE WHEN count(rr) < 2 THEN 0 ELSE greatest(30, least(220, 60000 / avg(rr))) END AS bpm,
+ CASE WHEN count(rr) < 3 THEN 0 ELSE stddev_pop(rr) END AS sdnn, CASE WHEN count(rr) < 2 THEN 0 ELSE sqrt(avg(dd * dd)) END AS rmssd,
+ CASE WHEN count(rr) < 2 THEN 0 ELSE avg(CASE WHEN abs(dd) > 50 THEN 100.0::DOUBLE WHEN dd IS NOT NULL THEN 0 END) END AS pnn50
+ FROM allw LEFT JOIN rd USING (participant, session, window_id) GROUP BY participant, session, window_id),
+ s AS (SELECT participant, session, window_id, timestamp, value AS a, value + event_id % 5 AS b, avg(value) OVER (PARTITION BY participant, session, window_id) AS mu FROM win),
+ w AS (SELECT participant, session, window_id, min(timestamp) AS start, max(a) - min(a) AS amplitude,
+ CASE WHEN avg(a) < 1e-6 OR avg(b) < 1e-6 OR max(a) - min(a) < 1e-6 THEN 0 ELSE greatest(70, least(100, 110 - 25 * ((max(b) - min(b)) / avg(b)) / ((max(a) - min(a)) / avg(a)))) END AS spo2,
+ CASE WHEN stddev_pop(a) < 1e-6 THEN 0 ELSE greatest(-3, least(3, avg(pow(a - mu, 3)) / pow(stddev_pop(a), 3))) END AS skewness FROM s GROUP BY participant, session, window_id)
+SELECT participant, session, window_id, start, round(bpm, 6)::DOUBLE AS bpm, round(sdnn, 6)::DOUBLE AS sdnn, round(rmssd, 6)::DOUBLE AS rmssd, round(pnn50, 6)::DOUBLE AS pnn50,
+ 1.0::DOUBLE AS lfhf, round(spo2, 6) AS spo2, round(amplitude, 6) AS amplitude, round(skewness, 6) + 0.0::DOUBLE AS skewness FROM w JOIN hrv USING (participant, session, window_id)""",
+        SIG, ROWS, _wins(16, 8), PEAKS,
+    ),
+)
 def f10(spark, d):
     feats = _windows16(spark, d).withColumn("f", sg.pulse_features(F.col("value"), F.col("other"), 5.0, 0.3, 3))
     names = ["bpm", "sdnn", "rmssd", "pnn50", "lfhf", "spo2", "amplitude", "skewness"]
