@@ -18,16 +18,18 @@ GRID_BLOCK = 4096
 
 CHUNK = "_chunk"
 _RN = "_rn"
+_LONG = "_long"
 
 
 def with_chunk(
-    df: DataFrame, keys: Sequence[str], order: str, rows_per_chunk: int | None = None, name: str = CHUNK
+    df: DataFrame, keys: Sequence[str], order: str, rows_per_chunk: int | None = None, name: str = CHUNK, long_flag: str | None = None
 ) -> DataFrame:
     """Add a chunk number per row: about ``rows_per_chunk`` rows each, monotone in ``order``.
 
     One map-side-combined aggregate over keys and order column finds the sessions that need
     more than one chunk.  There are at most rows / rows_per_chunk of them, so that list is
-    broadcast by construction and the data itself is not shuffled here.
+    broadcast by construction and the data itself is not shuffled here.  ``long_flag`` names
+    an extra column that marks the rows of those sessions.
     """
     limit = rows_per_chunk or ROWS_PER_CHUNK
     stats = df.groupBy(*keys).agg(
@@ -41,7 +43,15 @@ def with_chunk(
     )
     at = F.floor((F.col(order).cast("double") - F.col("_lo")) / F.col("_span") * F.col("_parts"))
     pos = F.coalesce(F.least(at, F.col("_parts") - 1), F.lit(0))
-    return df.join(F.broadcast(long), list(keys), "left").withColumn(name, pos.cast("long")).drop("_lo", "_parts", "_span")
+    out = df.join(F.broadcast(long), list(keys), "left").withColumn(name, pos.cast("long"))
+    if long_flag:
+        out = out.withColumn(long_flag, F.col("_parts").isNotNull())
+    return out.drop("_lo", "_parts", "_span")
+
+
+def measure(df: DataFrame, keys: Sequence[str], order: str, name: str) -> DataFrame:
+    """Chunk column ``name`` (and its ``<name>_long`` flag) for ``scan(..., premeasured=name)``."""
+    return with_chunk(df, keys, order, name=name, long_flag=f"{name}_long")
 
 
 def scan(
@@ -52,6 +62,7 @@ def scan(
     *,
     chunk: Column | None = None,
     rows_per_chunk: int | None = None,
+    premeasured: str | None = None,
 ) -> DataFrame:
     """Add running columns to ``df``, evaluated per ``keys`` in ascending ``order``.
 
@@ -60,10 +71,17 @@ def scan(
     ``("next", col)`` (first non-null from this row on), ``("after", col)`` (strictly later).
     ``col`` may be a name or a Column; wrap it in a struct to treat nulls as values.
     ``chunk`` replaces the measured chunks by an expression monotone in ``order[0]``.
+    ``premeasured`` names a column made by ``measure`` so that several scans share one chunking.
     Keys must not be null.
     """
     keys, order = list(keys), list(order)
-    base = df.withColumn(CHUNK, chunk.cast("long")) if chunk is not None else with_chunk(df, keys, order[0], rows_per_chunk)
+    measured = chunk is None
+    if premeasured:
+        base = df.withColumns({CHUNK: F.col(premeasured), _LONG: F.col(f"{premeasured}_long")})
+    elif measured:
+        base = with_chunk(df, keys, order[0], rows_per_chunk, long_flag=_LONG)
+    else:
+        base = df.withColumn(CHUNK, chunk.cast("long"))
     group = [*keys, CHUNK]
     asc = Window.partitionBy(*group).orderBy(*[F.col(c).asc() for c in order])
     desc = Window.partitionBy(*group).orderBy(*[F.col(c).desc() for c in order])
@@ -98,10 +116,13 @@ def scan(
         else:
             raise ValueError(f"unknown running expression: {kind}")
     placed = base.withColumns({_RN: F.row_number().over(asc), **local})
-    carried = placed.groupBy(*group).agg(*[c.alias(n) for n, c in summary.items()]).select(
+    # only sessions of several chunks carry state; the filter sits below the summary's shuffle
+    source = (base.where(F.col(_LONG)) if measured else base).withColumn(_RN, F.row_number().over(asc))
+    carried = source.groupBy(*group).agg(*[c.alias(n) for n, c in summary.items()]).select(
         *group, *[c.alias(n) for n, c in carry.items()]
     )
-    out = placed.join(carried, group, "left")
+    # measured chunks hold about a million rows each, which bounds this table; fixed widths bound nothing
+    out = placed.join(F.broadcast(carried) if measured else carried, group, "left")
     final = []
     for name, spec in exprs.items():
         tmp = F.col(f"_s{sources[name]}")

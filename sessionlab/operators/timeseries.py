@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import explode_range, scan, steps, with_chunk
+from .ordered import explode_range, measure, scan, steps, with_chunk
 from .quantile import medians
 
 CK = "_ck"
@@ -194,10 +194,10 @@ def interpolate_limited(df: DataFrame, keys: Sequence[str], order: str, col: str
 
     Adds ``<col>_missing`` (1.0 where the input was null).
     """
-    base = with_chunk(df, keys, order, name=CK)
-    base = scan(base, keys, [order], {"_r": ("rank",)}, chunk=F.col(CK))
+    base = measure(df, keys, order, CK)
+    base = scan(base, keys, [order], {"_r": ("rank",)}, premeasured=CK)
     known = F.when(F.col(col).isNotNull(), F.struct(F.col("_r").alias("r"), F.col(col).alias("v")))
-    base = scan(base, keys, [order], {"_p": ("last", known), "_n": ("next", known)}, chunk=F.col(CK))
+    base = scan(base, keys, [order], {"_p": ("last", known), "_n": ("next", known)}, premeasured=CK)
     ahead, behind = F.col("_r") - F.col("_p.r"), F.col("_n.r") - F.col("_r")
     at = F.when((ahead <= limit) | (behind <= limit), ahead).otherwise(F.lit(limit))
     lerp = F.col("_p.v") + (F.col("_n.v") - F.col("_p.v")) * at / (ahead + behind)
@@ -215,10 +215,10 @@ def positive_steps(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
 # ---------------------------------------------------------------- runs
 def label_runs(df: DataFrame, keys: Sequence[str], time: str, label: str) -> DataFrame:
     """Maximal stretches of equal label: (keys..., run, start, end, label, n); the last run is closed."""
-    base = with_chunk(df.select(*keys, time, label), keys, time, name=CK)
-    base = scan(base, keys, [time], {"_pl": ("before", F.struct(F.col(label).alias("l")))}, chunk=F.col(CK))
+    base = measure(df.select(*keys, time, label), keys, time, CK)
+    base = scan(base, keys, [time], {"_pl": ("before", F.struct(F.col(label).alias("l")))}, premeasured=CK)
     change = (F.col("_pl").isNull() | ~F.col("_pl.l").eqNullSafe(F.col(label))).cast("long")
-    base = scan(base.withColumn("_chg", change), keys, [time], {"run": ("cumsum", "_chg")}, chunk=F.col(CK))
+    base = scan(base.withColumn("_chg", change), keys, [time], {"run": ("cumsum", "_chg")}, premeasured=CK)
     return base.groupBy(*keys, "run").agg(
         F.min(time).alias("start"), F.max(time).alias("end"), F.first(label).alias(label), F.count(F.lit(1)).alias("n")
     )

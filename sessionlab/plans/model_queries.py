@@ -336,13 +336,14 @@ def session_windows(spark, d):
     """Dedup, resample, fuse by nearest stamp, label from markers, window, summarise.
 
     The interval table is tiny next to the signals and read three times, so it is written once.
-    Hourly rows bound a 30-day chunk at 720 rows, so the scans need no measuring pass.
+    The raw click stream has no known top rate, so the fusion measures its chunks; after it hourly rows
+    bound a 30-day chunk at 720 rows and the later scans need no measuring pass.
     """
     width = 720 * HOUR
     s = pf.keep_one(sig(spark, d).select(*KEYS, "timestamp", "value", "event_id"), [*KEYS, "timestamp"], "event_id").drop("event_id")
     iv = _interval_table(spark, d)
     hourly = ts.resample_mean(s, KEYS, "timestamp", ["value"], HOUR, gaps=False)
-    fused = jn.asof_nearest(hourly, sensor(spark, d, "click"), "timestamp", KEYS, 6 * HOUR, ["click_value"], chunk_width=24 * HOUR)
+    fused = jn.asof_nearest(hourly, sensor(spark, d, "click"), "timestamp", KEYS, 6 * HOUR, ["click_value"])
     rel = en.relative_time(fused, iv.groupBy(*KEYS).agg(F.min("t0").alias("t0")), KEYS, "timestamp")
     labeled = jn.label_rows(rel, iv, LABELS, KEYS, "timestamp", chunk_width=width)
     coded = en.encode_labels(labeled, "label", LABEL_CODES).withColumn("label", F.col("label").cast("int"))
