@@ -122,15 +122,16 @@ def leave_one_out_quantiles(df: DataFrame, fold: Sequence[str], cols: Sequence[s
     own = melt(df, fold, cols).groupBy(*fold, "column", "value").agg(F.count(F.lit(1)).alias("_c"))
     own = cut_lineage(own.withColumn("_b", bucket(F.col("value"))))
     own_hist = own.groupBy(*fold, "column", "_b").agg(F.sum("_c").alias("_o"))
-    total_hist = own_hist.groupBy("column", "_b").agg(F.sum("_o").alias("_t"))
+    # a few thousand buckets per column, written once; a shuffle on the column name alone would fill few tasks
+    total_hist = cut_lineage(own_hist.groupBy("column", "_b").agg(F.sum("_o").alias("_t")))
     members = own_hist.select(*fold, "column").distinct()
-    hist = members.join(total_hist, "column").join(own_hist, [*fold, "column", "_b"], "left")
+    hist = members.join(broadcast_if_small(total_hist), "column").join(own_hist, [*fold, "column", "_b"], "left")
     hist = hist.select(*fold, "column", "_b", (F.col("_t") - F.coalesce("_o", F.lit(0))).alias("_c")).where("_c > 0")
     target = cut_lineage(target_buckets(hist, [*fold, "column"], probs))
     wanted = target.select("column", "_b").distinct()
-    total = own.join(wanted, ["column", "_b"], "left_semi").groupBy("column", "_b", "value").agg(F.sum("_c").alias("_t"))
+    total = own.join(broadcast_if_small(cut_lineage(wanted)), ["column", "_b"], "left_semi").groupBy("column", "_b", "value").agg(F.sum("_c").alias("_t"))
     mine = own.select(*fold, "column", "_b", "value", F.col("_c").alias("_o"))
-    values = target.join(total, ["column", "_b"]).join(mine, [*fold, "column", "_b", "value"], "left")
+    values = total.join(broadcast_if_small(target), ["column", "_b"]).join(mine, [*fold, "column", "_b", "value"], "left")
     values = values.withColumn("_c", F.col("_t") - F.coalesce("_o", F.lit(0))).where("_c > 0").drop("_t", "_o")
     return select_ranks(values, [*fold, "column"], probs)
 

@@ -84,7 +84,7 @@ def s02(spark, d):
     raw = n.unionByName(n.where("event_id % 10 = 0")).select(
         *KEYS, F.col("timestamp").cast("string").alias(" Time_MS "), F.col("value").cast("string").alias(" Val"), F.col("event_id").alias("_pos"), F.lit("x").alias("_path")
     )
-    return src.normalize_sensor(raw, {"val": "value", "absent": "absent"}, "any")
+    return src.normalize_sensor(raw, {"val": "value", "absent": "absent"}, "any", tie=("_path", "_pos"))
 
 
 @query(
