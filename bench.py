@@ -1,4 +1,4 @@
-"""Headline queries, timed warm: one JSON line with seconds per query."""
+"""Headline queries, median of three runs: one JSON line with seconds per query."""
 
 from __future__ import annotations
 
@@ -21,7 +21,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    repeats = int(os.environ.get("BENCH_REPEATS", "1"))
+    repeats = int(os.environ.get("BENCH_REPEATS", "3"))
     spark = build_session(
         f"local[{cpus}]", "bench", **{"spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "16g", "spark.ui.enabled": "false"}
     )

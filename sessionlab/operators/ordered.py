@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_CHUNK = 1_000_000
+ROWS_PER_CHUNK = 2_000_000
 GRID_BLOCK = 4096
 
 CHUNK = "_chunk"
@@ -121,8 +121,8 @@ def scan(
     carried = source.groupBy(*group).agg(*[c.alias(n) for n, c in summary.items()]).select(
         *group, *[c.alias(n) for n, c in carry.items()]
     )
-    # measured chunks hold about a million rows each, which bounds this table; fixed widths bound nothing
-    out = placed.join(F.broadcast(carried) if measured else carried, group, "left")
+    # the rows are already partitioned and sorted by these keys, so either join strategy leaves them in place
+    out = placed.join(carried, group, "left")
     final = []
     for name, spec in exprs.items():
         tmp = F.col(f"_s{sources[name]}")
