@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, mixing, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,3 +32,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query("op7_bpe")
 def op7_bpe(spark, sf_dir):
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+MIX_SQL = r"""
+WITH sized AS (
+    SELECT doc_id, coalesce('0' || source, '1') AS k, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+per AS (SELECT k, sum(size)::BIGINT AS source_size FROM sized GROUP BY k),
+w AS (SELECT *, 1 + (row_number() OVER (ORDER BY k) - 1) % 3 AS weight, source_size * 3 AS cap FROM per),
+r AS (SELECT *, cap / weight AS full_at FROM w),
+f AS (
+    SELECT *, ((SELECT sum(source_size) FROM r)::BIGINT - coalesce(sum(cap) OVER p, 0)::BIGINT) / ((SELECT sum(weight) FROM r)::BIGINT - coalesce(sum(weight) OVER p, 0)::BIGINT) AS level
+    FROM r WINDOW p AS (ORDER BY full_at, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (
+    SELECT k, source_size, CASE WHEN level >= full_at THEN cap::DOUBLE
+        ELSE weight * (SELECT arg_min(level, (full_at, k)) FROM f WHERE level < full_at) END AS target FROM f),
+n AS (
+    SELECT s.*, t.source_size, t.target, coalesce(floor(target / source_size * 16777216)::BIGINT, 0) AS parts,
+        ('0x' || substr(md5('17:' || s.k), 1, 6))::BIGINT AS off, row_number() OVER (PARTITION BY s.k ORDER BY size, doc_id) AS n
+    FROM sized s JOIN t ON s.k = t.k)
+SELECT doc_id, size, source_size, target, (size * ((n * parts + off) // 16777216 - ((n - 1) * parts + off) // 16777216))::BIGINT AS taken FROM n
+"""
+
+
+@query("op6_mixing", MIX_SQL)
+def op6_mixing(spark, sf_dir):
+    planned = mixing.mixture_plan(table(spark, sf_dir, "documents"))
+    return planned.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+URL_SQL = """
+WITH rules(verdict, host, path) AS (VALUES """ + ", ".join(map(str, URL_RULES)) + r"""),
+rest AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+cut AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM rest),
+p AS (
+    SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM cut)
+SELECT p.page_id, p.host, p.path, max_by(r.host || r.path, length(r.host || r.path)) AS rule, coalesce(max_by(r.verdict, length(r.host || r.path)), 'allow') AS verdict
+FROM p LEFT JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
+GROUP BY p.page_id, p.host, p.path
+"""
+
+
+@query("op5_url_filter", URL_SQL)
+def op5_url_filter(spark, sf_dir):
+    rules = spark.sql(f"SELECT * FROM VALUES {', '.join(map(str, URL_RULES))} AS r(verdict, host, path)")
+    return url_filter.judge(table(spark, sf_dir, "pages"), rules)
