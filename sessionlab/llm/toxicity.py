@@ -2,7 +2,7 @@
 
 A word is the bag of its character 3- to 5-grams (with borders) and itself, hashed to buckets; its vector is the mean of theirs, so unseen
 misspellings share most of a known word's vectors. Word vectors are averaged over passages of PASSAGE words and a two-class softmax
-scores the average; a document scores as its worst passage, so that length doesn't dilute an insult. Embeddings and softmax are
+scores the average, in which a repeated word counts once; a document scores as its worst passage, so that length doesn't dilute an insult. Embeddings and softmax are
 learned together: first every passage carries its document's label, then only each document's worst passage does.
 
 At scoring time the softmax is folded into the buckets, and a word costs one lookup of its remembered logit.
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_batch, crc32_mod, slices, texts_of, worker_cache
 
-BUCKETS, DIM, PASSAGE, GRAMS = 1 << 16, 8, 16, (3, 4, 5)
+BUCKETS, DIM, PASSAGE, GRAMS = 1 << 16, 8, 8, (3, 4, 5)
 CACHE_WORDS = 300_000
 #: Most labelled documents of each class that the model is fitted on.
 TRAIN_PER_CLASS = 3_000
@@ -78,16 +78,16 @@ class Model:
         for at in range(0, len(new), 20_000):
             some = new[at : at + 20_000]
             cache.update(zip(some, self.word_logits(some).tolist(), strict=True))
-        worst = [0.0] * len(texts)
+        worst, logit = [0.0] * len(texts), cache.__getitem__
         for k, words in enumerate(split):
             if words:
-                logits = np.fromiter(map(cache.__getitem__, words), dtype=np.float64, count=len(words))
-                worst[k] = np.add.reduceat(logits, np.arange(0, len(words), PASSAGE)).max() / PASSAGE
+                passages = (dict.fromkeys(words[at : at + PASSAGE]) for at in range(0, len(words), PASSAGE))
+                worst[k] = max(sum(map(logit, p)) for p in passages) / PASSAGE
         return 1 / (1 + np.exp(-np.clip(np.array(worst) + self.bias, -30, 30)))
 
 
-def fit(texts: list[bytes], y: np.ndarray, epochs: int = 6, rate: float = 0.3, batch: int = 128, seed: int = 5) -> Model:
-    """Joint training with Adagrad; classes weigh the same."""
+def fit(texts: list[bytes], y: np.ndarray, steps: int = 340, rate: float = 0.5, batch: int = 128, seed: int = 5) -> Model:
+    """Joint training with Adagrad in a fixed number of steps, a third of them on all passages; classes weigh the same."""
     if len(np.unique(y)) < 2:
         return Model(np.zeros(BUCKETS), float(np.clip(60 * (y.mean() if len(y) else 0) - 30, -30, 30)))
     rng = np.random.default_rng(seed)
@@ -96,10 +96,11 @@ def fit(texts: list[bytes], y: np.ndarray, epochs: int = 6, rate: float = 0.3, b
     soft, bias = rng.normal(0, 0.5, (DIM, 2)), np.zeros(2)
     seen_table, seen_soft, seen_bias = np.full((BUCKETS, 1), 1e-12, dtype=np.float32), np.full((DIM, 2), 1e-12), np.full(2, 1e-12)
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
-    for epoch in range(epochs):
+    step = 0
+    while step < steps and len(filled):
         order = rng.permutation(filled)
-        for at in range(0, len(order), batch):
-            some = order[at : at + batch]
+        for at in range(0, len(order), batch)[: steps - step]:
+            some, step = order[at : at + batch], step + 1
             split = [texts[i].lower().split() for i in some]
             number: dict[bytes, int] = {}
             tokens = np.array([number.setdefault(w, len(number)) for words in split for w in words])
@@ -109,12 +110,12 @@ def fit(texts: list[bytes], y: np.ndarray, epochs: int = 6, rate: float = 0.3, b
             doc = np.repeat(np.arange(len(some)), sizes)
             inside = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             first = inside % PASSAGE == 0
-            passage = np.cumsum(first) - 1
             owner = doc[first]
-            mean = np.add.reduceat(vectors[tokens], np.flatnonzero(first)) / PASSAGE
+            passage, tokens = np.divmod(np.unique((np.cumsum(first) - 1) * len(number) + tokens), len(number))  # a word counts once in a passage
+            mean = np.add.reduceat(vectors[tokens], np.searchsorted(passage, np.arange(len(owner)))) / PASSAGE
             logits = mean @ soft + bias
             toxic = 1 / (1 + np.exp(-np.clip(logits[:, 1] - logits[:, 0], -30, 30)))
-            if epoch < 2:
+            if step <= steps // 3:
                 counted = 1 / np.bincount(owner)[owner]
             else:
                 top = np.full(len(some), -1.0)
