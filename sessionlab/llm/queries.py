@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, near_dedup, pii, quality, toxicity, url_filter
+from . import bpe, mixing, near_dedup, pii, quality, topk, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -112,3 +112,18 @@ SELECT r.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(m) AS comp
 @query("op3_near_dedup", NEAR_SQL)
 def op3_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+TOP_SQL = """
+WITH v AS (
+    SELECT vec_id, [floor(256 * x::DOUBLE) for x in embedding] AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 5
+"""
+
+
+@query("op8_top_k", TOP_SQL)
+def op8_top_k(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
