@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, near_dedup, pii, quality, topk, toxicity, url_filter
+from . import bpe, class_lm, mixing, near_dedup, pii, quality, topk, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -127,3 +127,8 @@ SELECT * FROM r WHERE rank <= 5
 @query("op8_top_k", TOP_SQL)
 def op8_top_k(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+@query("op9_class_lm")
+def op9_class_lm(spark, sf_dir):
+    return class_lm.score(table(spark, sf_dir, "documents"))
