@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
@@ -117,7 +118,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m"))
         large = both.join(low, both["u"] == low["x"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = cut_lineage(large)
         # small star: every smaller neighbour of x, and x itself, point to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), "m")
         joined = large.join(least, large["u"] == least["x"])
@@ -136,6 +136,12 @@ def crc32_mod(column, n: int):
     return F.crc32(F.coalesce(column.cast("string"), F.lit("null")).cast("binary")) % n
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with a number each, written once so that the numbers last, and the name of that column, which no other column has."""
+    name = f"_row_{uuid.uuid4().hex[:12]}"
+    return cut_lineage(df.select("*", F.monotonically_increasing_id().alias(name))), name
+
+
 def worker_cache(store: dict, key, make: Callable):
     """A worker keeps one object per kind; another key replaces it."""
     if key not in store:

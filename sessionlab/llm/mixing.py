@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sessionlab.session import cut_lineage
 
-from .common import WORD, running_sums
+from .common import WORD, numbered, running_sums
 
 #: Copies are counted in whole parts of this size, so that sums are exact in any order and fit a long up to 1e11 documents a source.
 UNIT = 1 << 24
@@ -84,7 +84,7 @@ def mixture_plan(docs: DataFrame, **options) -> DataFrame:
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixture itself: the rows of ``docs`` with all their columns, each as often as it was drawn."""
-    numbered = cut_lineage(docs.select("*", F.monotonically_increasing_id().alias("__row")))
-    rows = numbered.select(*narrow(numbered), F.col("__row").alias("row"))
-    drawn = plan(cut_lineage(rows), **options).where("copies > 0").select(F.col("row").alias("__row"), F.col("copies").alias("__copies"))
-    return numbered.join(drawn, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__copies")))).drop("__row", "__copies", "__copy")
+    rows, number = numbered(docs)
+    drawn = plan(cut_lineage(rows.select(*narrow(rows), F.col(number).alias("row"))), **options).where("copies > 0")
+    drawn = drawn.select(F.col("row").alias(number), F.expr("sequence(1, int(copies))").alias(f"{number}_copies"))
+    return rows.join(drawn, number).select(*docs.columns, F.explode(f"{number}_copies").alias(f"{number}_copy")).drop(f"{number}_copy")

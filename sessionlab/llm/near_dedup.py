@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from sessionlab.session import broadcast_if_small, cut_lineage
 
-from .common import WordHashes, arrow_batch, components, mix64, slices, texts_of, window_hashes
+from .common import WordHashes, arrow_batch, components, mix64, numbered, slices, texts_of, window_hashes
 
 WORDS, BANDS, ROWS, SMALL = 5, 25, 5, 8
 _HASHES = WordHashes()
@@ -54,7 +54,7 @@ def circulant_signatures(sets: list[np.ndarray], bands: int = BANDS, rows: int =
     return keys
 
 
-def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """(doc_id, text_key, n_shingles, set_key, bands) of every document; set_key and bands are null for empty sets."""
     schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("row", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
@@ -68,15 +68,11 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 [next(found) if len(s) else None for s in sets],
             ])
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), row_of(docs).alias("row"), F.col(text_col).alias("text"))
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), row.alias("row"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, text_key bigint, row bigint, n_shingles bigint, set_key binary, bands array<bigint>")
 
 
-def row_of(docs: DataFrame):
-    """The rows' own numbers if there are any, else numbers that last for this result."""
-    return F.col("__row") if "__row" in docs.columns else F.monotonically_increasing_id()
-
-
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold, compared in full."""
 
@@ -120,13 +116,20 @@ def _may_link(percent: int):
 
 def link_classes(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """(node, component) of all classes that are linked with another one."""
-    spark = docs.sparkSession
     keyed = classes.where("bands IS NOT NULL").select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    counts = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = cut_lineage(keyed.join(counts, "key"))
+    members = bucket_members(keyed)
     wanted = members.select("node").distinct().join(classes.select("node", "doc_id", "text_key"), "node")
-    sets = cut_lineage(shingle_sets(docs, cut_lineage(wanted)))
+    return link(members, cut_lineage(shingle_sets(docs, cut_lineage(wanted))), percent)
+
+
+def bucket_members(keyed: DataFrame) -> DataFrame:
+    """Rows (key, node, n) of buckets with two members or more, with the bucket's size."""
+    return cut_lineage(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key"))
+
 
+def link(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, component) from bucket members (key, node, n, size) and the sets (node, hashes) of all of them."""
+    spark = members.sparkSession
     # small buckets: all pairs, at most SMALL - 1 a class
     small = members.where(F.col("size") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "n"))).alias("all"))
     pairs = small.select(F.posexplode("all").alias("i", "x"), "all").select("x", F.explode(F.expr("slice(all, i + 2, size(all))")).alias("y"))
@@ -167,9 +170,9 @@ def link_classes(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame
         hubs *= 4
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """(row, doc_id, n_shingles, component_id, kept, component) of every document; ``component`` is null for empty sets."""
-    given = cut_lineage(signatures(docs, id_col, text_col))
+    given = cut_lineage(signatures(docs, id_col, text_col, row_col))
     least = F.min_by(F.struct("doc_id", "text_key"), "row")
     classes = given.where("set_key IS NOT NULL").groupBy("set_key").agg(
         F.min("row").alias("node"), F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), least.alias("at")
@@ -188,9 +191,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
 
 def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component the row with the smallest id (then number) stays."""
-    numbered = cut_lineage(docs.select("*", F.monotonically_increasing_id().alias("__row")))
-    found = cut_lineage(near_duplicates(numbered, percent))
+    rows, number = numbered(docs)
+    found = cut_lineage(near_duplicates(rows, percent, row_col=number))
     order = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row")
-    one = found.where("component IS NOT NULL").groupBy("component").agg(F.min(order).alias("least")).select(F.col("least.row").alias("__row"))
-    stay = one.unionAll(found.where("component IS NULL").select(F.col("row").alias("__row")))
-    return numbered.join(stay, "__row", "left_semi").drop("__row")
+    one = found.where("component IS NOT NULL").groupBy("component").agg(F.min(order).alias("least")).select(F.col("least.row").alias(number))
+    stay = one.unionAll(found.where("component IS NULL").select(F.col("row").alias(number)))
+    return rows.join(stay, number, "left_semi").drop(number)

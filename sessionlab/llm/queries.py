@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, class_lm, mixing, near_dedup, pii, quality, topk, toxicity, url_filter
+from . import bpe, class_lm, mixing, near_dedup, pii, quality, substring_dedup, topk, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -132,3 +132,8 @@ def op8_top_k(spark, sf_dir):
 @query("op9_class_lm")
 def op9_class_lm(spark, sf_dir):
     return class_lm.score(table(spark, sf_dir, "documents"))
+
+
+@query("op1_substring_dedup")
+def op1_substring_dedup(spark, sf_dir):
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents")).drop("doc")
