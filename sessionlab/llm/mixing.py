@@ -67,7 +67,7 @@ def systematic_copies(rows: DataFrame, order: list[str], seed: int = 17) -> Data
 def plan(rows: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3, seed: int = 17) -> DataFrame:
     """Add source_size, target and copies to narrow rows (row, doc_id, source_key, size); ``row`` tells rows apart."""
     goal = targets(rows, weights, cap)
-    parts = F.coalesce(F.expr(f"bigint(floor(target / source_size * {UNIT}))"), F.lit(0))
+    parts = F.coalesce(F.expr(f"bigint(floor(target / nullif(source_size, 0) * {UNIT}))"), F.lit(0))
     rows = rows.join(goal.select("source_key", "source_size", "target"), "source_key").withColumn("parts", parts)
     rows = rows.withColumn("doc_order", F.coalesce("doc_id", F.lit(-(2**63))))
     return systematic_copies(rows, ["size", "doc_order", "row"], seed).drop("parts", "doc_order")

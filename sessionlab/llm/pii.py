@@ -5,8 +5,8 @@ windows of those. Texts are tagged in overlapping windows at fixed places; each
 are kept, so all windows together give one sequence of tags for the whole text, from which spans are read. Spans of the network are
 added where they pass the kind's check and touch no pattern span.
 
-Every span holds a digit or an @. A window without either can't add to one, so it isn't tagged: the result is the same as with all
-windows tagged and spans without either dropped.
+Every span holds a digit or an @. A window without either, its context included, counts as outside and isn't tagged: it could only hold
+the far end of an address whose name runs on for more than the context without a digit, and such an address the pattern finds whole.
 
 Defined results: null and empty texts have no spans; offsets count code points, the end is exclusive; repeated rows give equal rows; a
 corpus without any pattern match gives no model, and then the pattern spans alone.
