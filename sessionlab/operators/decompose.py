@@ -17,7 +17,7 @@ from .linear import Components, as_unit_signs, covariance, pca
 from .neighbours import as_vector
 from .profile import participant_profile
 from .scale import zscore
-from .sets import top_k
+from .sets import rank_by, top_k
 
 
 # ---------------------------------------------------------------- components
@@ -29,7 +29,7 @@ def top_loadings(loadings: DataFrame, k: int = 5, first: int = 5) -> DataFrame:
 def contributions(loadings: DataFrame, first: int = 4) -> DataFrame:
     """Sum of squared loadings per variable over the first components, ranked."""
     c = loadings.where(F.col("component") <= first).groupBy("variable").agg(F.sum(F.col("loading") * F.col("loading")).alias("contribution"))
-    return top_k(c, [], F.col("contribution"), 1_000_000, ["variable"])
+    return rank_by(c, F.col("contribution").desc(), ["variable"])
 
 
 def best_per_component(loadings: DataFrame, first: int = 4) -> DataFrame:
@@ -107,6 +107,7 @@ def kmeans_profiles(
     scaled = zscore(prof, feats).select(participant, array_to_vector(as_vector(feats)).alias("features"), *feats).persist()
     models = [KMeans(k=k, seed=seed + i, maxIter=50).fit(scaled) for i in range(n_init)]
     best = min(models, key=lambda m: m.summary.trainingCost)
+    scaled.unpersist()
     pred = best.transform(scaled)
     names = pred.groupBy("prediction").agg(F.min(participant).alias("_p"))
     names = names.withColumn("group", F.row_number().over(Window.partitionBy().orderBy("_p")))  # k rows
@@ -153,21 +154,23 @@ def _depths(tree: list, x: np.ndarray) -> np.ndarray:
     return out
 
 
+def draw_limit(n: int, psi: int) -> int:
+    """Largest 64-bit hash that is drawn so that about 1.5 psi of n rows are."""
+    return min(2**63 - 1, -(2**63) + (2**64 * 3 * psi) // (2 * max(n, 1)))
+
+
 def isolation_forest(df: DataFrame, id_col: str, vec: str, trees: int = 100, psi: int = 256, seed: int = 42) -> DataFrame:
     """Anomaly score in (0, 1) per row (id, score); higher is more isolated.
 
-    Every tree sees about ``psi`` rows drawn by hash, so tree building is bounded work; the trees
-    (trees x 2 psi nodes at most) are broadcast and rows are scored in Arrow batches.
+    Every tree sees the ``psi`` rows with the smallest hashes among about 1.5 psi drawn by the full 64-bit hash, so tree
+    building is bounded work at any row count; the trees (trees x 2 psi nodes at most) are broadcast and rows
+    are scored in Arrow batches.
     """
     spark = df.sparkSession
     rows = df.select(F.col(id_col).alias("id"), F.col(vec).alias("vec"))
     n = rows.count()
-    share = min(1.0, 1.3 * psi / max(n, 1))
-    grid = 1_000_000
-    hit = F.filter(
-        F.sequence(F.lit(0), F.lit(trees - 1)),
-        lambda t: F.pmod(F.xxhash64(F.col("id"), t, F.lit(seed)), F.lit(grid)) < F.lit(int(share * grid)),
-    )
+    limit = draw_limit(n, psi)
+    hit = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(F.col("id"), t, F.lit(seed)) <= F.lit(limit))
     drawn = rows.withColumn("tree", F.explode(hit))
     pick = Window.partitionBy("tree").orderBy(F.xxhash64("id", "tree"), "id")
     drawn = drawn.withColumn("_r", F.row_number().over(pick)).where(F.col("_r") <= psi)  # the subsample is the method
@@ -179,6 +182,8 @@ def isolation_forest(df: DataFrame, id_col: str, vec: str, trees: int = 100, psi
         return pd.DataFrame({"tree": [int(key[0])], "size": [len(x)], "nodes": [a.ravel().tolist()]})
 
     fitted = drawn.groupBy("tree").applyInPandas(grow, "tree int, size int, nodes array<double>").collect()
+    if n and len(fitted) < trees:
+        raise RuntimeError(f"only {len(fitted)} of {trees} trees drew rows")
     forest = [[(int(f), v, int(e)) for f, v, e in np.array(r["nodes"]).reshape(-1, 3)] for r in sorted(fitted, key=lambda r: r["tree"])]
     norm = float(_mean_path(np.array([np.mean([r["size"] for r in fitted])]))[0]) or 1.0
     shared = spark.sparkContext.broadcast(forest)

@@ -193,9 +193,6 @@ def one_hot(df: DataFrame, col: str, values: Sequence) -> DataFrame:
     return df.withColumns({f"{col}_{v}": F.when(F.col(col) == F.lit(v), 1).otherwise(0) for v in values})
 
 
-def categories(df: DataFrame, col: str, limit: int = 10_000) -> list:
-    """Distinct values of a low-cardinality column, refusing anything larger than ``limit``."""
-    rows = df.select(col).where(F.col(col).isNotNull()).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{col} has more than {limit} categories")
-    return sorted(r[0] for r in rows)
+def categories(df: DataFrame, col: str) -> list:
+    """Distinct values of a column that is to become 0/1 columns, in order: as many as the result is to have columns."""
+    return sorted(r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().collect())

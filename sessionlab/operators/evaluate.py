@@ -124,11 +124,18 @@ def signed_ranks(df: DataFrame, a: str, b: str) -> DataFrame:
     return r.withColumn("w", F.least("w_plus", "w_minus"))
 
 
-def signed_rank_p(w: float, n: int, ties: float) -> float:
-    """Two-sided p: exact for up to 50 untied pairs, else the tie-corrected normal approximation."""
+def signed_rank_method(n: int, ties: float, method: str = "auto") -> str:
+    """``exact`` or ``normal``; ``auto`` is the customary rule, exact for up to 50 untied pairs."""
+    if method == "exact" and ties:
+        raise ValueError("the exact distribution needs untied pairs")
+    return ("exact" if n <= 50 and ties == 0 else "normal") if method == "auto" else method
+
+
+def signed_rank_p(w: float, n: int, ties: float, method: str = "auto") -> float:
+    """Two-sided p: ``exact`` counts all sign patterns of untied pairs, ``normal`` is the tie-corrected approximation."""
     if n == 0:
         return float("nan")
-    if n <= 50 and ties == 0:
+    if signed_rank_method(n, ties, method) == "exact":
         ways = [1]
         for k in range(1, n + 1):
             longer = [0] * (len(ways) + k)
@@ -142,16 +149,17 @@ def signed_rank_p(w: float, n: int, ties: float) -> float:
     return math.erfc(abs((w - mean) / sd) / math.sqrt(2.0)) if sd > 0 else 1.0
 
 
-def wilcoxon(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Signed-rank statistics with a p-value column."""
+def wilcoxon(df: DataFrame, a: str, b: str, method: str = "auto") -> DataFrame:
+    """Signed-rank statistics with a p-value and the method that gave it."""
 
     def add_p(batches):
         for pdf in batches:
-            p = [signed_rank_p(w, n, t) for w, n, t in zip(pdf["w"].fillna(0.0), pdf["n"].fillna(0).astype(int), pdf["ties"].fillna(0))]
-            yield pdf.assign(p=pd.Series(p, index=pdf.index, dtype="float64"))
+            given = list(zip(pdf["w"].fillna(0.0), pdf["n"].fillna(0).astype(int), pdf["ties"].fillna(0)))
+            p = [signed_rank_p(w, n, t, method) for w, n, t in given]
+            yield pdf.assign(p=pd.Series(p, index=pdf.index, dtype="float64"), p_method=[signed_rank_method(n, t, method) for _, n, t in given])
 
     s = signed_ranks(df, a, b).select("w_plus", "w_minus", "n", F.col("ties").cast("double").alias("ties"), "w")
-    return s.mapInPandas(add_p, "w_plus double, w_minus double, n long, ties double, w double, p double")
+    return s.mapInPandas(add_p, "w_plus double, w_minus double, n long, ties double, w double, p double, p_method string")
 
 
 def composite_score(f1: Column, std: Column, size_mb: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small
@@ -72,6 +72,25 @@ def join_dim(df: DataFrame, dim: DataFrame, key: str) -> DataFrame:
     return df.join(broadcast_if_small(dim), key, "left")
 
 
+def interval_events(intervals: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, _t, _side, _iv): from each event on, ``_iv`` (o, e, l) is the open interval of its label that is latest in list order.
+
+    Side 0 takes effect at its stamp, side 2 right after it. Intervals of a label normally follow one another and give one event
+    each; only labels of sessions whose intervals overlap are paired with themselves to find what is open at each start and end.
+    """
+    by = [*by, "label"]
+    rec = F.struct(F.col("ord").alias("o"), F.col("end").cast("double").alias("e"), F.col("label").alias("l"))
+    own = intervals.select(*by, F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), rec.alias("_iv"))
+    reach = F.max("end").over(Window.partitionBy(*by).orderBy("start", "_iv").rowsBetween(Window.unboundedPreceding, -1))
+    tangled = own.withColumn("_reach", reach).where(F.col("start") <= F.col("_reach")).select(*by).distinct()
+    plain = own.join(tangled, by, "left_anti").select(*by, F.col("start").alias("_t"), F.lit(0).alias("_side"), "_iv")
+    several = own.join(tangled, by, "left_semi")
+    moments = several.select(*by, F.explode(F.array(F.struct(F.col("start").alias("_t"), F.lit(0).alias("_side")), F.struct(F.col("end").alias("_t"), F.lit(2).alias("_side")))).alias("m")).select(*by, "m.*").distinct()
+    still = F.when(F.col("_side") == 0, F.col("end") >= F.col("_t")).otherwise(F.col("end") > F.col("_t"))
+    opened = moments.join(several, by).where((F.col("start") <= F.col("_t")) & still).groupBy(*by, "_t", "_side").agg(F.max("_iv").alias("_iv"))
+    return plain.unionByName(opened).drop("label")
+
+
 def label_rows(
     rows: DataFrame,
     intervals: DataFrame,
@@ -88,9 +107,8 @@ def label_rows(
     fatigue becomes ``pre_fatigue``; other rows between first start and last end are
     ``unlabeled``; rows outside that range, and sessions without intervals, are dropped.
     ``which`` picks the last or first activity end and fatigue start for the gap.
-    ``outside='drop'`` keeps only rows inside an interval.  Intervals of one label never
-    overlap (they come from pairing starts and ends), so one running value per label finds
-    the only candidate: no interval list is gathered and none is broadcast.
+    ``outside='drop'`` keeps only rows inside an interval.  One running value per label holds its
+    open interval (``interval_events``): no interval list is gathered and none is broadcast.
     """
     by = list(by)
     pick = F.max_by if which == "last" else F.min_by
@@ -103,9 +121,7 @@ def label_rows(
         edge("end", "activity").alias("_ae"), edge("start", "fatigue").alias("_fs"),
     )
     r = rows.select(*by, F.col(time).cast("double").alias("_t"), F.lit(1).alias("_side"), F.struct(F.lit(0).alias("_x"), *[c for c in rows.columns if c not in (*by, time)]).alias("_row"))
-    i = intervals.select(
-        *by, F.col("start").cast("double").alias("_t"), F.lit(0).alias("_side"), F.struct(F.col("ord").alias("o"), F.col("end").alias("e"), F.col("label").alias("l")).alias("_iv")
-    )
+    i = interval_events(intervals, by)
     both = r.unionByName(i, allowMissingColumns=True).withColumn("_io", F.coalesce(F.col("_iv.o"), F.lit(0)))
     exprs = {f"_c{n}": ("last", F.when(F.col("_iv.l") == l, F.col("_iv"))) for n, l in enumerate(labels)}
     seen = scan(both, by, ["_t", "_side", "_io"], exprs, chunk=time_chunk("_t", chunk_width)).where("_side = 1")

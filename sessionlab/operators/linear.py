@@ -20,6 +20,8 @@ def block_sums(df: DataFrame, vec: str, width: int, target: str | None = None, n
     """Upper part of [1 X Y]' W [1 X Y] as (by..., cell, s), one partial per partition, then one hash aggregate."""
     by = list(by)
     m = 1 + width + n_out
+    if n_out:  # rows without one of the classes have no target
+        df = df.where(F.col(target).between(0, n_out - 1))
     cols = [*by, F.col(vec).alias("_x"), (F.col(target) if target else F.lit(0)).cast("int").alias("_y"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("_w")]
     types = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in df.select(*by).schema)
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_CHUNK = 2_000_000
+SAMPLES = 32
 GRID_BLOCK = 4096
 
 CHUNK = "_chunk"
@@ -22,31 +23,31 @@ _LONG = "_long"
 
 
 def with_chunk(
-    df: DataFrame, keys: Sequence[str], order: str, rows_per_chunk: int | None = None, name: str = CHUNK, long_flag: str | None = None
+    df: DataFrame, keys: Sequence[str], order: str | Sequence[str], rows_per_chunk: int | None = None, name: str = CHUNK, long_flag: str | None = None
 ) -> DataFrame:
     """Add a chunk number per row: about ``rows_per_chunk`` rows each, monotone in ``order``.
 
-    One map-side-combined aggregate over keys and order column finds the sessions that need
-    more than one chunk.  There are at most rows / rows_per_chunk of them, so that list is
-    broadcast by construction and the data itself is not shuffled here.  ``long_flag`` names
-    an extra column that marks the rows of those sessions.
+    One aggregate per session counts its rows and keeps those whose order columns hash below a fixed share, about SAMPLES a
+    chunk. In sessions of more than one chunk every SAMPLES-th of them, sorted, is a cut, so chunks follow
+    the rows, not the clock: a stray stamp or a burst costs nothing, and rows of one stamp are split by the other order columns.
+    Which rows are drawn decides only where chunks end, never the result. There is one cut for about
+    ``rows_per_chunk`` rows; the data itself is not shuffled here. ``long_flag`` names an extra column
+    that marks the rows of sessions with cuts.
     """
     limit = rows_per_chunk or ROWS_PER_CHUNK
-    stats = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.min(F.col(order).cast("double")).alias("_lo"),
-        F.max(F.col(order).cast("double")).alias("_hi"),
-    )
-    span = F.col("_hi") - F.col("_lo")
-    long = stats.where((F.col("_n") > limit) & (span > 0)).select(
-        *keys, "_lo", F.ceil(F.col("_n") / F.lit(limit)).alias("_parts"), span.alias("_span")
-    )
-    at = F.floor((F.col(order).cast("double") - F.col("_lo")) / F.col("_span") * F.col("_parts"))
-    pos = F.coalesce(F.least(at, F.col("_parts") - 1), F.lit(0))
-    out = df.join(F.broadcast(long), list(keys), "left").withColumn(name, pos.cast("long"))
+    order = [order] if isinstance(order, str) else list(order)
+    share = min(1.0, SAMPLES / limit)
+    step = max(1, round(share * limit))
+    at = F.struct(*order)
+    drawn = F.xxhash64(*order) <= F.lit(min(2**63 - 1, int(-(2**63) + share * 2**64)))
+    stats = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.sort_array(F.collect_list(F.when(drawn, at))).alias("_drawn"))
+    cuts = F.filter("_drawn", lambda c, i: (i > 0) & (i % step == 0))
+    long = stats.where(F.col("_n") > limit).select(*keys, cuts.alias("_cuts")).where(F.size("_cuts") > 0)
+    passed = F.size(F.filter("_cuts", lambda c: c <= at))
+    out = df.join(F.broadcast(long), list(keys), "left").withColumn(name, F.when(F.col("_cuts").isNotNull(), passed).otherwise(0).cast("long"))
     if long_flag:
-        out = out.withColumn(long_flag, F.col("_parts").isNotNull())
-    return out.drop("_lo", "_parts", "_span")
+        out = out.withColumn(long_flag, F.col("_cuts").isNotNull())
+    return out.drop("_cuts")
 
 
 def measure(df: DataFrame, keys: Sequence[str], order: str, name: str) -> DataFrame:
@@ -72,14 +73,15 @@ def scan(
     ``col`` may be a name or a Column; wrap it in a struct to treat nulls as values.
     ``chunk`` replaces the measured chunks by an expression monotone in ``order[0]``.
     ``premeasured`` names a column made by ``measure`` so that several scans share one chunking.
-    Keys must not be null.
+    Rows whose keys are null belong to no session and are left out.
     """
     keys, order = list(keys), list(order)
+    df = df.dropna(subset=keys)
     measured = chunk is None
     if premeasured:
         base = df.withColumns({CHUNK: F.col(premeasured), _LONG: F.col(f"{premeasured}_long")})
     elif measured:
-        base = with_chunk(df, keys, order[0], rows_per_chunk, long_flag=_LONG)
+        base = with_chunk(df, keys, order, rows_per_chunk, long_flag=_LONG)
     else:
         base = df.withColumn(CHUNK, chunk.cast("long"))
     group = [*keys, CHUNK]

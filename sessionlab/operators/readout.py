@@ -32,9 +32,14 @@ def _solve(g: np.ndarray, width: int, alpha: float) -> np.ndarray:
     return w
 
 
+def _labelled(df: DataFrame, label: str, n_classes: int) -> DataFrame:
+    """Rows that carry one of the classes; -1 (unlabelled) and nulls never train."""
+    return df.where(F.col(label).between(0, n_classes - 1))
+
+
 def ridge_readout(df: DataFrame, vec: str, width: int, label: str, n_classes: int, alpha: float) -> np.ndarray:
     """Class-balanced multi-output ridge on one-hot targets; a row counts with its class weight."""
-    weighted = with_class_weight(df.select(vec, label), label, "_cw")
+    weighted = with_class_weight(_labelled(df.select(vec, label), label, n_classes), label, "_cw")
     return _solve(collect_gram(block_sums(weighted, vec, width, label, n_classes, "_cw"), 1 + width + n_classes), width, alpha)
 
 
@@ -42,7 +47,8 @@ def forgetting_readout(
     df: DataFrame, vec: str, width: int, label: str, n_classes: int, alpha: float, forgetting: float, order: Sequence[str]
 ) -> np.ndarray:
     """Recursive-least-squares solution: the i-th of n rows counts with forgetting^(n - i)."""
-    weighted = with_class_weight(df.select(vec, label, *order), label, "_cw").withColumn("_one", F.lit(1))
+    df = _labelled(df.select(vec, label, *order), label, n_classes)
+    weighted = with_class_weight(df, label, "_cw").withColumn("_one", F.lit(1))
     r = scan(weighted, ["_one"], list(order), {"_i": ("rank",)})
     n = df.count()
     r = r.withColumn("_w", F.col("_cw") * F.pow(F.lit(forgetting), F.lit(n) - F.col("_i")))
@@ -67,7 +73,7 @@ def loso_readout(df: DataFrame, fold: str, vec: str, width: int, label: str, n_c
     also follow the training set.  Folds solve as small grouped tasks.
     """
     # per-class sums: class weights of a training set only rescale them
-    sums = block_sums(df, vec, width, label, n_classes, None, [fold, label])
+    sums = block_sums(_labelled(df, label, n_classes), vec, width, label, n_classes, None, [fold, label])
     m = 1 + width + n_classes
     total = sums.groupBy(label, "cell").agg(F.sum("s").alias("s")).collect()
     whole = np.zeros((n_classes, m * m))

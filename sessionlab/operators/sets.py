@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def union_sessions(parts: Sequence[DataFrame]) -> DataFrame:
     """Union of sessions whose columns differ."""
@@ -49,6 +51,16 @@ def top_k(df: DataFrame, by: Sequence[str], score, k: int, tie: Sequence[str] =
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def rank_by(df: DataFrame, score, tie: Sequence[str] = ()) -> DataFrame:
+    """Every row with its rank over all rows, however many: ranges are ordered, and a range's rank starts after the rows before it."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [score, *tie]
+    dealt = cut_lineage(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
+    before = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return dealt.withColumn("_inside", inside).join(before, "_part").select(*df.columns, (F.col("_inside") + F.coalesce("_before", F.lit(0))).cast("int").alias("rank"))
+
+
 def best_per(df: DataFrame, name: str, criteria: dict[str, str]) -> DataFrame:
     """Winner per criterion; ``criteria`` maps a column to ``max`` or ``min``; ties go to the smaller name."""
     rows = []

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import decompose as dc
 from ..operators import evaluate as ev
@@ -206,14 +207,48 @@ def x01(spark, d):
     return _run(spark, live.smooth_majority(s, KEYS, "event_id", "hit", 5, "ts", ttl="30 days"), "x01")
 
 
-@query("x02_resample_mean_stream")
+def _run_latest(spark, stream: DataFrame, name: str, keys) -> DataFrame:
+    """Run an aggregating stream in update mode and keep the last state of every key, so that the newest windows come out too."""
+    root = scratch(spark, name)
+
+    def put(batch, number):
+        batch.withColumn("_batch", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(f"{root}/out/n{number:09d}")
+
+    q = stream.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{root}/ckpt").trigger(availableNow=True).start()
+    q.awaitTermination()
+    values = [c for c in stream.columns if c not in keys]
+    states = spark.read.schema(T.StructType([*stream.schema, T.StructField("_batch", T.LongType())])).parquet(f"{root}/out/*")
+    last = states.groupBy(*keys).agg(F.max_by(F.struct(*values), "_batch").alias("_last"))
+    return last.select(*[c if c in keys else F.col(f"_last.{c}").alias(c) for c in stream.columns])
+
+
+@query(
+    "x02_resample_mean_stream",
+    sql(
+        """SELECT participant, session, CAST(floor(timestamp / 3600000) AS BIGINT) * 3600000 + 1704067200000 AS start_ms, round(avg(value), 6) + 0.0::DOUBLE AS value
+FROM sig GROUP BY participant, session, CAST(floor(timestamp / 3600000) AS BIGINT)""",
+        SIG,
+    ),
+)
 def x02(spark, d):
-    return _run(spark, live.resample_mean_stream(_stream(spark, d), KEYS, "ts", ["value"], "1 hour", "1 hour"), "x02")
+    out = _run_latest(spark, live.resample_mean_stream(_stream(spark, d), KEYS, "ts", ["value"], "1 hour", "1 hour"), "x02", [*KEYS, "ts"])
+    return out.select(*KEYS, F.unix_millis("ts").alias("start_ms"), r6("value").alias("value"))
 
 
-@query("x03_sliding_stats_stream")
+@query(
+    "x03_sliding_stats_stream",
+    sql(
+        """WITH k AS (SELECT participant, session, value, unnest([CAST(floor(timestamp / 86400000) AS BIGINT) - 1, CAST(floor(timestamp / 86400000) AS BIGINT)]) AS w FROM sig)
+SELECT participant, session, (w * 86400000 + 1704067200000) AS start_ms, count(*) AS n, round(avg(value), 6) AS value_mean, round(stddev_pop(value), 6) AS value_std, min(value) AS value_min, max(value) AS value_max
+FROM k GROUP BY participant, session, w HAVING count(*) >= 3""",
+        SIG,
+    ),
+)
 def x03(spark, d):
-    return _run(spark, live.sliding_stats(_stream(spark, d), KEYS, "ts", ["value"], "48 hours", "24 hours", need=3, lateness="1 hour"), "x03")
+    out = _run_latest(spark, live.sliding_stats(_stream(spark, d), KEYS, "ts", ["value"], "48 hours", "24 hours", need=3, lateness="1 hour"), "x03", [*KEYS, "start"])
+    return out.select(
+        *KEYS, F.unix_millis("start").alias("start_ms"), "n", r6("value_mean").alias("value_mean"), r6("value_std").alias("value_std"), "value_min", "value_max"
+    )
 
 
 @query("x04_marker_intervals_stream", sql("SELECT participant, session, start + t0 AS start, \"end\" + t0 AS \"end\", label, ord FROM iv", MARKERS, INTERVALS))
@@ -221,7 +256,7 @@ def x04(spark, d):
     t = F.col("event_type")
     name = F.when(t == "signup", "start_activity").when(t == "purchase", "end_activity").when(t == "view", "start_fatigue").when(t == "error", "end_fatigue").otherwise("tick")
     s = _stream(spark, d).withColumn("marker", name)
-    return _run(spark, live.marker_intervals_stream(s, LABELS, KEYS, "timestamp", "marker", "event_id", "ts"), "x04")
+    return _run(spark, live.marker_intervals_stream(s, LABELS, KEYS, "timestamp", "marker", "event_id", "ts", ttl="30 days"), "x04")
 
 
 @query("x05_dedup_stream", sql("SELECT DISTINCT participant, session, CAST(timestamp AS DOUBLE) AS timestamp FROM sig", SIG))

@@ -716,7 +716,7 @@ def m28(spark, d):
 
 @query("w32_rank_by_score", sql("SELECT model, score, CAST(row_number() OVER (ORDER BY score DESC, model) AS INTEGER) AS rank FROM cm", PRED, *FOLD_SCORES, SUMMARY))
 def w32(spark, d):
-    return st.top_k(_comparison(spark, d).select("model", "score"), [], F.col("score"), 100, ["model"])
+    return st.rank_by(_comparison(spark, d).select("model", "score"), F.col("score").desc(), ["model"])
 
 
 @query(

@@ -37,11 +37,12 @@ def _expire_after(state: GroupState, stamps: pd.Series, ttl_ms: int) -> None:
 
 
 def smooth_majority(
-    stream: DataFrame, keys: Sequence[str], order: str, flag: str, n: int, ts: str, lateness: str = "1 hour", ttl: str = "1 day"
+    stream: DataFrame, keys: Sequence[str], order: str, flag: str, n: int, ts: str, ttl: str, lateness: str = "1 hour"
 ) -> DataFrame:
     """Streaming last-``n`` majority per key, one output per event, in event order inside a batch.
 
-    The state is the last ``n`` decisions; a key idle for ``ttl`` of event time is forgotten.
+    The state is the last ``n`` decisions; a key idle for ``ttl`` of event time starts afresh, as a new recording would. Order holds
+    inside a micro-batch: a row that arrives in a later batch than its successors is smoothed where it arrives.
     """
     kfields = [stream.schema[k] for k in keys]
     out_schema = T.StructType([*kfields, stream.schema[order], T.StructField("smoothed", T.IntegerType())])
@@ -88,9 +89,12 @@ def sliding_stats(
 
 # ---------------------------------------------------------------- markers
 def marker_intervals_stream(
-    stream: DataFrame, labels: Sequence[str], keys: Sequence[str], time: str, marker: str, pos: str, ts: str, lateness: str = "1 hour", ttl: str = "30 days"
+    stream: DataFrame, labels: Sequence[str], keys: Sequence[str], time: str, marker: str, pos: str, ts: str, ttl: str, lateness: str = "1 hour"
 ) -> DataFrame:
-    """Online marker pairing: one row per closed interval, absolute times, in file order ``pos`` inside a batch."""
+    """Online marker pairing: one row per closed interval, absolute times, in file order ``pos`` inside a batch.
+
+    Starts still open ``ttl`` after a key's last event come out with a null end before they are forgotten, so none is lost unseen.
+    """
     out_schema = T.StructType(
         [
             *[stream.schema[k] for k in keys],
@@ -105,7 +109,10 @@ def marker_intervals_stream(
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState):
         if state.hasTimedOut:
+            left = [(*key, start, None, label, None) for label, start in dict(state.get[0]).items()]
             state.remove()
+            if left:
+                yield pd.DataFrame(left, columns=out_schema.names)
             return
         opened = dict(state.get[0]) if state.exists else {}
         rows = []

@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sessionlab.operators.neighbours import nearest
-from sessionlab.operators.ordered import explode_range, scan
+from sessionlab.operators.ordered import with_chunk, explode_range, scan
 from sessionlab.operators.quantile import leave_one_out_quantiles, quantiles
 
 
@@ -86,3 +86,13 @@ def test_nearest_is_exact_with_copies(spark, block_rows):
     assert len(got) == 3 * len(x)
     for q, part in got.groupby("qid"):
         np.testing.assert_allclose(np.sort(part["d2"]), np.sort(d2[q])[:3], atol=1e-12)
+
+
+@pytest.mark.parametrize("stamps", ["even", "stray", "equal", "burst"])
+def test_chunks_follow_rows_not_the_clock(spark, stamps):
+    rng = np.random.default_rng(4)
+    t = {"even": np.arange(20_000.0), "stray": np.append(0.0, 1.7e12 + np.arange(19_999.0)), "equal": np.zeros(20_000), "burst": np.exp(rng.normal(0, 6, 20_000))}[stamps]
+    df = spark.createDataFrame(pd.DataFrame({"k": 1, "t": t, "i": np.arange(20_000)}))
+    out = with_chunk(df, ["k"], ["t", "i"], rows_per_chunk=1000).toPandas()
+    assert out["_chunk"].value_counts().max() <= 2000
+    assert out.sort_values(["t", "i"])["_chunk"].is_monotonic_increasing

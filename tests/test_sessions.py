@@ -194,3 +194,44 @@ def test_metrics_class_sets(spark):
     f1 = [2 / 3, 1.0, 0.0]
     assert math.isclose(r["f1_macro"], sum(f1) / 3) and math.isclose(r["balanced_accuracy"], 0.75)
     assert pd.notna(r["recall_focus"]) and r["recall_focus"] == 0.0
+
+
+def test_peaks_do_not_depend_on_chunks(spark):
+    rng = np.random.default_rng(12)
+    n = 4000
+    x = np.round(np.cumsum(rng.normal(size=n)) * 0.2 + 3 * np.sin(np.arange(n) / 640) + np.where(np.arange(n) == 1418, 9, 0), 1)
+    df = frame(spark, [(float(i), float(v)) for i, v in enumerate(x)], "timestamp double, v double")
+    p = breathing.local_peaks(x)
+    p = p[breathing.by_distance(p, x[p], 25)]
+    want = [(int(i), float(x[i]), round(float(q), 9)) for i, q in zip(p, breathing.prominence(x, p))]
+    for i, _, q in want[::7]:  # the plain definition
+        left = next((k for k in range(i, -1, -1) if x[k] > x[i]), -1)
+        right = next((k for k in range(i, n) if x[k] > x[i]), n)
+        assert math.isclose(q, x[i] - max(x[left + 1 : i + 1].min(), x[i:right].min()), abs_tol=1e-9)
+    for rows in (50, 500, 10_000):
+        got = breathing.find_peaks(df, KEYS, "timestamp", "v", 25, chunk_rows=rows).orderBy("pos").collect()
+        assert [(r["pos"], r["height"], round(r["prominence"], 9)) for r in got] == want
+
+
+def test_labels_whose_own_intervals_overlap(spark):
+    iv = frame(spark, [(0.0, 100.0, "activity", 1), (10.0, 20.0, "activity", 2), (15.0, 60.0, "baseline", 3), (70.0, 80.0, "activity", 4)], "start double, `end` double, label string, ord long")
+    rows = frame(spark, [(5.0,), (12.0,), (15.0,), (20.0,), (50.0,), (61.0,), (75.0,), (90.0,), (100.0,)], "timestamp double")
+    got = values(joins.label_rows(rows, iv, ["baseline", "activity", "fatigue"], KEYS, "timestamp"), "label")
+    assert got == ["activity", "activity", "baseline", "baseline", "baseline", "activity", "activity", "activity", "activity"]
+
+
+def test_unlabelled_rows_do_not_train(spark):
+    from sessionlab.operators import readout
+
+    rows = [([1.0], 0), ([2.0], 0), ([3.0], 1), ([4.0], 1)]
+    clean = spark.createDataFrame(rows, "v array<double>, y int")
+    mixed = spark.createDataFrame(rows + [([9.0], -1), ([-5.0], None)], "v array<double>, y int")
+    np.testing.assert_allclose(readout.ridge_readout(mixed, "v", 1, "y", 2, 1.0), readout.ridge_readout(clean, "v", 1, "y", 2, 1.0))
+
+
+def test_forest_draws_at_any_size():
+    from sessionlab.operators.decompose import draw_limit
+
+    for n in (1, 500, 10**6, 10**10, 10**13):
+        share = (draw_limit(n, 256) + 2**63) / 2**64
+        assert 256 <= share * n <= 400 or share > 0.99 and n <= 384
