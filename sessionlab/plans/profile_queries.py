@@ -57,7 +57,7 @@ def _write_tree(spark, d, root):
         for i, f in enumerate(fs.globStatus(path(f"{flat}/*/*/*.csv"))):
             p, s_ = (x.split("=")[1] for x in f.getPath().toString().split("/")[-3:-1])
             fs.mkdirs(path(f"{root}/tree/{p}/{s_}"))
-            fs.rename(f.getPath(), path(f"{root}/tree/{p}/{s_}/{stem}_{i}.csv"))
+            fs.rename(f.getPath(), path(f"{root}/tree/{p}/{s_}/{stem}.csv" if stem == "exp_markers" else f"{root}/tree/{p}/{s_}/{stem}_{i}.csv"))
     return f"{root}/tree"
 
 

@@ -235,3 +235,27 @@ def test_forest_draws_at_any_size():
     for n in (1, 500, 10**6, 10**10, 10**13):
         share = (draw_limit(n, 256) + 2**63) / 2**64
         assert 256 <= share * n <= 400 or share > 0.99 and n <= 384
+
+
+def test_every_file_brings_its_own_header(spark, tmp_path):
+    def put(session, name, text):
+        path = tmp_path / "tree" / "p1" / session
+        path.mkdir(parents=True, exist_ok=True)
+        (path / name).write_text(text)
+
+    put("s1", "wrist_hr_0.csv", "timestamp,HR \n1,60\n2,61\n2,99\n")
+    put("s2", "wrist_hr_0.csv", "Quality, hr, Utc Time\n5,70,10\n5,,11\n\n7,72,12\n")
+    put("s3", "wrist_hr_0.csv", "hr,quality\n80,1\n")
+    put("s4", "wrist_hr_0.csv", "time,other\n1,1\n")
+    for session in ("s1", "s2", "s3", "s4", "s5"):
+        put(session, "exp_markers.csv", "utcTime, eventMarker\n1,\"start_activity, again\"\n")
+    put("s1", "exp_markers_old.csv", "utcTime,eventMarker\n1,start_activity\n")
+    root = str(tmp_path / "tree")
+    marks = sessions.read_markers(spark, root)
+    assert marks.count() == 5 and {r["marker"] for r in marks.collect()} == {"start_activity, again"}
+    good, warned = sessions.read_sensor_checked(spark, root, {"hr": ("wrist_hr", {"hr": "wrist_hr"})}, marks.select(*KEYS).distinct())
+    assert {(r["session"], r["warning"]) for r in warned.collect()} == {("s3", "missing clock"), ("s4", "no useful column"), ("s5", "missing file")}
+    got = sorted(tuple(r) for r in sessions.normalize_files(*sessions.read_tree_csv(spark, root, "wrist_hr"), {"hr": "wrist_hr"}).where("session <> 's4'").collect())
+    assert got == [("p1", "s1", 1.0, 60.0), ("p1", "s1", 2.0, 61.0), ("p1", "s2", 10.0, 70.0), ("p1", "s2", 12.0, 72.0)]
+    assert good["hr"].where("session = 's2'").count() == 3
+    assert sessions.read_breathing(spark, root) is None
