@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..dataset import build_dataset
 from ..operators import encode as en
 from ..operators import profile as pf
 from ..operators import sets as st
@@ -48,6 +49,7 @@ def _write_tree(spark, d, root):
     s = sig(spark, d)
     for stem, rows in (
         ("wrist_hr", s.where("event_type = 'click'").select(*KEYS, F.col("timestamp").alias(" Time_ms "), F.col("value").alias("HR"))),
+        ("wrist_ibi", s.where("event_type = 'view'").select(*KEYS, F.col("timestamp").alias("Timestamp"), F.col("value").alias(" duration"))),
         ("exp_markers", markers(spark, d).select(*KEYS, F.col("timestamp").alias("utcTime"), F.col("marker").alias("eventMarker"))),
     ):
         flat = f"{root}/{stem}-files"
@@ -75,6 +77,65 @@ def s01(spark, d):
     return src.read_sessions(spark, root, iv)["hr"]
 
 
+BUILD_SQL = """
+{streams},
+ span AS (SELECT participant, session, any_value(t0) AS t0, min(start) AS a, max("end") AS b, arg_max("end", ord) FILTER (label = 'activity') AS ae,
+ arg_max(start, ord) FILTER (label = 'fatigue') AS fs FROM iv GROUP BY ALL),
+ rel AS (SELECT u.participant, u.session, {relative} AS timestamp, wrist_hr, ibi, a, b, ae, fs FROM u JOIN span USING (participant, session)),
+ cov AS (SELECT r.participant, r.session, r.timestamp, arg_max(i.label, i.ord) AS l FROM rel r JOIN iv i ON r.participant = i.participant AND r.session = i.session
+  AND r.timestamp BETWEEN i.start AND i."end" GROUP BY ALL),
+ lab AS (SELECT rel.*, coalesce(l, CASE WHEN timestamp > ae AND timestamp < fs THEN 'pre_fatigue' ELSE 'unlabeled' END) AS label
+  FROM rel LEFT JOIN cov USING (participant, session, timestamp) WHERE timestamp BETWEEN a AND b),
+ fil AS (SELECT participant, session, timestamp, label, coalesce(last_value(wrist_hr IGNORE NULLS) OVER up, first_value(wrist_hr IGNORE NULLS) OVER down) AS wrist_hr,
+  coalesce(last_value(ibi IGNORE NULLS) OVER up, first_value(ibi IGNORE NULLS) OVER down) AS ibi FROM lab
+  WINDOW up AS (PARTITION BY participant, session ORDER BY timestamp ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+  down AS (PARTITION BY participant, session ORDER BY timestamp ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT CAST(participant AS VARCHAR) AS participant, CAST(session AS VARCHAR) AS session, timestamp, round(coalesce(wrist_hr, (SELECT quantile_cont(wrist_hr, 0.5) FROM fil)), 6) + 0.0::DOUBLE AS wrist_hr,
+ round(coalesce(ibi, (SELECT quantile_cont(ibi, 0.5) FROM fil)), 6) + 0.0::DOUBLE AS ibi,
+ CASE label WHEN 'baseline' THEN 0 WHEN 'activity' THEN 1 WHEN 'pre_fatigue' THEN 2 WHEN 'fatigue' THEN 3 ELSE -1 END AS label FROM fil
+"""
+
+
+def _build(spark, d, sync):
+    out = build_dataset(spark, _tree(spark, d), sync, LABELS, target_hz=1000.0 / HOUR)
+    return out.withColumns({c: r6(c) for c in ("wrist_hr", "ibi")})
+
+
+@query(
+    "build_dataset_no_sync",
+    sql(
+        BUILD_SQL.format(
+            streams="WITH u AS (SELECT participant, session, timestamp, max(value) FILTER (event_type = 'click') AS wrist_hr, max(value) FILTER (event_type = 'view') AS ibi FROM sig WHERE event_type IN ('click', 'view') GROUP BY ALL)",
+            relative="u.timestamp - t0",
+        ),
+        MARKERS, INTERVALS,
+    ),
+)
+def build_no_sync(spark, d):
+    return _build(spark, d, False)
+
+
+@query(
+    "build_dataset_sync",
+    sql(
+        BUILD_SQL.format(
+            streams="""WITH o AS (SELECT participant, session, floor((timestamp - t0) / 3600000) * 3600000 AS timestamp, event_type, avg(value) AS v FROM sig JOIN org USING (participant, session)
+ WHERE event_type IN ('click', 'view') GROUP BY ALL),
+ lo AS (SELECT participant, session, event_type, min(timestamp) AS x, max(timestamp) AS y FROM o GROUP BY ALL),
+ g AS (SELECT participant, session, event_type, unnest(generate_series(CAST(x AS BIGINT), CAST(y AS BIGINT), 3600000)) AS timestamp FROM lo),
+ f AS (SELECT g.participant, g.session, g.event_type, g.timestamp, v FROM g LEFT JOIN o USING (participant, session, event_type, timestamp)),
+ n AS (SELECT h.participant, h.session, h.timestamp, h.v AS wrist_hr, i.v AS ibi, row_number() OVER (PARTITION BY h.participant, h.session, h.timestamp ORDER BY abs(i.timestamp - h.timestamp), i.timestamp) AS k
+  FROM (FROM f WHERE event_type = 'click') h LEFT JOIN (FROM f WHERE event_type = 'view') i ON h.participant = i.participant AND h.session = i.session AND abs(i.timestamp - h.timestamp) <= 3600000),
+ u AS (SELECT participant, session, CAST(timestamp AS DOUBLE) AS timestamp, wrist_hr, ibi FROM n WHERE k = 1)""",
+            relative="u.timestamp",
+        ),
+        MARKERS, INTERVALS,
+    ),
+)
+def build_sync(spark, d):
+    return _build(spark, d, True)
+
+
 @query(
     "s02_normalize_sensor",
     sql("SELECT DISTINCT participant, session, timestamp, value FROM nul WHERE value IS NOT NULL", NULLABLE),
