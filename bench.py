@@ -15,6 +15,7 @@ HEADLINE = [
     "w08_ffill_bfill", "w14_window_stats", "w20_label_runs", "w25_overlapping_window_stats", "j01_asof_nearest", "j02_fuse_sensors_asof",
     "j03_fuse_sensors_outer", "j05_label_rows", "j07_window_rows", "j11_knn_within", "a02_missing", "a03_duplicates", "a04_describe", "a09_outliers",
     "a10_correlation", "a18_box_stats", "m01_robust_scale", "m04_zscore", "m13_loso_readout", "m20_metrics", "f10_pulse_features",
+    "x02_resample_mean_stream", "m06_smote_windows", "w30_breathing_rate",
 ]
 
 

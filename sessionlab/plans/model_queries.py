@@ -433,15 +433,32 @@ def m05b(spark, d):
     return _smote(spark, d)
 
 
-@query("m06_smote_windows")
+MD5 = "CAST('0x' || substr(md5(concat_ws('|', '42', {0})), 1, 13) AS BIGINT)"
+
+
+@query(
+    "m06_smote_windows",
+    sql(
+        f"""WITH c AS (SELECT session, label, count(*) AS n FROM vec GROUP BY ALL),
+ t AS (SELECT session, max(n) AS hi, min(n) AS lo, count(*) AS k FROM c GROUP BY ALL),
+ plan AS (SELECT session, label, n, hi - n AS need, least(5, lo - 1) AS k FROM c JOIN t USING (session) WHERE t.k >= 2 AND lo >= 2 AND hi > n),
+ d AS (SELECT session, label, n, k, unnest(generate_series(0, need - 1)) AS i FROM plan),
+ r AS (SELECT *, row_number() OVER (PARTITION BY session, label ORDER BY vec_id) AS pos FROM vec),
+ b AS (SELECT d.session, d.label, d.i, r.vec_id, r.vec, {MD5.format("d.session, d.label, d.i, 'pick'")} % d.k + 1 AS pick
+  FROM d JOIN r ON r.session = d.session AND r.label = d.label AND r.pos = {MD5.format("d.session, d.label, d.i, 'base'")} % d.n + 1),
+ q AS (SELECT DISTINCT session, label, vec_id, vec FROM b),
+ m AS (SELECT q.session, q.label, q.vec_id, o.vec_id AS nid, row_number() OVER (PARTITION BY q.session, q.label, q.vec_id ORDER BY list_distance(q.vec, o.vec), o.vec_id) AS pick
+  FROM q JOIN vec o ON o.session = q.session AND o.label = q.label AND o.vec_id <> q.vec_id)
+SELECT b.session, b.label, b.i, b.vec_id AS base_id, m.nid AS neighbour_id, CAST(len(b.vec) AS INTEGER) AS width
+FROM b JOIN m ON m.session = b.session AND m.label = b.label AND m.vec_id = b.vec_id AND m.pick = b.pick""",
+        VEC,
+    ),
+)
 def m06(spark, d):
     made = bl.smote_vectors(vec(spark, d), ["session"], "label", "vec_id", "vec")
     return made.select("session", "label", "i", "base_id", "neighbour_id", F.size("vec").alias("width"))
 
 
-MD5 = "CAST('0x' || substr(md5(concat_ws('|', '42', {0})), 1, 13) AS BIGINT)"
-
-
 @query(
     "m14_split_sessions",
     sql(
