@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..operators import decompose as dc
 from ..operators import evaluate as ev
+from ..operators import folds as fo
 from ..operators import joins as jn
 from ..operators import linear as ln
 from ..operators import readout as ro
@@ -119,6 +120,36 @@ def m13b(spark, d):
     return ro.loso_run(data, "session", [0, 1, 2, 3, 4], lambda train: ro.random_forest(10, 5).fit(train))
 
 
+FOLD_SIZES = """c AS (SELECT participant, session, label, count(*) AS n FROM sig WHERE label >= 0 GROUP BY ALL),
+ t AS (SELECT participant, session, participant % 3 AS fold, sum(n) AS n, CASE WHEN count(*) >= 2 AND min(n) >= 2 THEN count(*) * max(n) ELSE sum(n) END AS balanced FROM c GROUP BY ALL),
+ w AS (SELECT fold, CASE WHEN n >= 8 THEN (n - 8) // 4 + 1 ELSE 0 END AS plain, CASE WHEN balanced >= 8 THEN (balanced - 8) // 4 + 1 ELSE 0 END AS made FROM t)"""
+
+
+def _folds(spark, d):
+    rows = sig(spark, d).select(*KEYS, "timestamp", "value", "label", "event_id")
+    windows = fo.evaluation_windows(rows, KEYS, "event_id", "timestamp", ["value"], "label", 8, 4)
+    windows = tuple(w.withColumn("fold", (F.col("participant") % 3).cast("int")) for w in windows)
+    names = [f"value_{s}" for s in ("mean", "std", "min", "max", "median")]
+    return fo.run_folds(windows, "fold", [0, 1, 2], names, "label", ro.random_forest(5, 4), threshold=0.35)
+
+
+@query("m13_fold_pipeline")
+def m13c(spark, d):
+    return _folds(spark, d)
+
+
+@query(
+    "m13_fold_windows",
+    sql(
+        """SELECT CAST(f.fold AS INTEGER) AS fold, CAST(sum(CASE WHEN w.fold <> f.fold THEN made END) AS BIGINT) AS n_train, CAST(sum(CASE WHEN w.fold = f.fold THEN plain END) AS BIGINT) AS n_test
+FROM w, (SELECT unnest([0, 1, 2]) AS fold) f GROUP BY f.fold""",
+        SIG, FOLD_SIZES,
+    ),
+)
+def m13d(spark, d):
+    return _folds(spark, d).select("fold", F.col("n_train").cast("bigint").alias("n_train"), F.col("n_test").cast("bigint").alias("n_test"))
+
+
 @query("m17_boosted_trees")
 def m17(spark, d):
     data = cut_lineage(_ml(spark, d))
