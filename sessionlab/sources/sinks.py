@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_dataset(df: DataFrame, path: str, keys: Sequence[str], features: Sequence[str], label: str, fmt: str = "parquet") -> None:
-    """Keys, features and label in fixed order, partitioned by the first key."""
+def write_dataset(df: DataFrame, path: str, keys: Sequence[str], features: Sequence[str], label: str, fmt: str = "parquet", files: int = 8) -> None:
+    """Keys, features and label in fixed order, partitioned by the first key with at most ``files`` files each, however many tasks write."""
     out = df.select(*keys, *features, label)
     if fmt == "csv":
         out.write.mode("overwrite").option("header", True).csv(path)
     else:
-        out.write.mode("overwrite").partitionBy(keys[0]).format(fmt).save(path)
+        dealt = out.repartition(keys[0], F.pmod(F.xxhash64(*keys), F.lit(files)))
+        dealt.write.mode("overwrite").partitionBy(keys[0]).format(fmt).save(path)
 
 
 METRICS_SCHEMA = (
