@@ -112,7 +112,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges never has to sit in one task. Edges are written after every round; rounds grow with the logarithm of the longest path.
     """
     now = cut_lineage(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    mark = None
     for _ in range(max_rounds):
         # large star: every larger neighbour of x points to the smallest node around x
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -123,11 +122,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         joined = large.join(least, large["u"] == least["x"])
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select(F.col("x").alias("u"), F.col("m").alias("v")))
         now = cut_lineage(small.where("u <> v").distinct())
-        seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if mark == (seen["n"], seen["h"]):
+        # settled once all are stars: a node with one centre that has no centre itself
+        ends = now.select(F.col("u").alias("x"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionAll(now.select("v", F.lit(0), F.lit(1)))
+        if ends.groupBy("x").agg(F.sum("below").alias("below"), F.max("above").alias("above")).where("below + above > 1").isEmpty():
             roots = now.select(F.col("v").alias("node")).distinct()
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots.select("node", F.col("node").alias("component")))
-        mark = (seen["n"], seen["h"])
     raise RuntimeError(f"components have not settled after {max_rounds} rounds")
 
 

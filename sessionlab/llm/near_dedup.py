@@ -5,8 +5,8 @@ of the circle, shifted by k, over the document's shingles. So two permutations g
 
 Documents with equal sets are one class, and only classes go on. Classes that agree on a band share a bucket. In a bucket of up to SMALL
 classes every pair is verified. In a larger one, classes are verified against hubs, round after round with more hubs, until the bucket's
-classes are all linked or all its pairs are settled; nothing is skipped. Classes that cannot reach the threshold with
-any other of a large bucket, because too many of their shingles occur nowhere else, leave it first; that bound is exact.
+classes are all linked or all its pairs are settled; nothing is skipped. Before that, classes that share a rare shingle (held by at most
+SMALL of them) are paired outright, and classes that could not reach the threshold with common shingles alone leave; that bound is exact.
 
 Defined results: null texts and texts without words have empty sets, are linked with nothing and stay; fewer than five words are one
 shingle; repeated rows are copies; of null ids the component is that of the ids around them, null if there are none.
@@ -24,7 +24,7 @@ from sessionlab.session import broadcast_if_small, cut_lineage
 
 from .common import WordHashes, arrow_batch, components, mix64, numbered, slices, texts_of, window_hashes
 
-WORDS, BANDS, ROWS, SMALL = 5, 25, 5, 8
+WORDS, BANDS, ROWS, SMALL, HUBS = 5, 25, 5, 8, 4
 _HASHES = WordHashes()
 
 
@@ -109,7 +109,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", tex
 
 
 def _may_link(percent: int):
-    """Upper bound of the overlap against the threshold, from sizes n and shingles s that some other set holds too."""
+    """Upper bound of the overlap against the threshold, from sizes n and numbers s of common shingles."""
     most = F.least("s", "hub_s")
     return 100 * most >= percent * (F.col("n") + F.col("hub_n") - most)
 
@@ -129,45 +129,53 @@ def bucket_members(keyed: DataFrame) -> DataFrame:
 
 def link(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(node, component) from bucket members (key, node, n, size) and the sets (node, hashes) of all of them."""
-    spark = members.sparkSession
     # small buckets: all pairs, at most SMALL - 1 a class
     small = members.where(F.col("size") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "n"))).alias("all"))
     pairs = small.select(F.posexplode("all").alias("i", "x"), "all").select("x", F.explode(F.expr("slice(all, i + 2, size(all))")).alias("y"))
     near = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
-    pairs = pairs.where(near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    links = cut_lineage(verified(pairs, sets, percent))
+    pairs = pairs.where(near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
-    # large buckets: classes that may link at all, then hubs, the most ordinary classes first
+    # large buckets: classes that share a rare shingle are paired; others can only have their common shingles in common, and classes
+    # with too few of those leave; then hubs, the most ordinary classes first
     large = members.where(F.col("size") > SMALL)
-    inside = large.select("node").distinct()
-    tokens = sets.join(inside, "node", "left_semi").select("node", F.explode("hashes").alias("h"))
-    alone = tokens.groupBy("h").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count("*").alias("alone"))
-    large = large.join(alone, "node", "left").withColumn("s", F.col("n") - F.coalesce("alone", F.lit(0))).select("key", "node", "n", "s")
+    tokens = sets.join(large.select("node").distinct(), "node", "left_semi").select("node", F.explode("hashes").alias("h"))
+    rare = cut_lineage(tokens.join(tokens.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") <= SMALL), "h"))
+    sharing = rare.where("c > 1").groupBy("h").agg(F.sort_array(F.collect_list("node")).alias("all"))
+    sharing = sharing.select(F.posexplode("all").alias("i", "a"), "all").select("a", F.explode(F.expr("slice(all, i + 2, size(all))")).alias("b"))
+    pairs = pairs.unionByName(sharing)
+    large = large.join(rare.groupBy("node").agg(F.count("*").alias("rare")), "node", "left").withColumn("s", F.col("n") - F.coalesce("rare", F.lit(0))).select("key", "node", "n", "s")
     least = large.groupBy("key").agg(F.min("n").alias("least"))
     reach = F.col("s") * 100 >= percent * (F.col("n") + F.greatest("least", "s") - F.col("s"))
-    rest = cut_lineage(large.join(least, "key").where(reach).drop("least"))
-    settled = spark.createDataFrame([], "key bigint, hub bigint")
-    hubs = 1
-    labels = components(links)
+    rest = cut_lineage(large.join(least, "key").where(reach).drop("least").withColumn("label", F.col("node")))
+    labels, hubs = None, HUBS
     while True:
-        now = rest.join(settled.select("key", F.col("hub").alias("node")), ["key", "node"], "left_anti")
-        now = now.join(labels.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-        now = cut_lineage(now.join(mixed, "key"))
-        # the first hubs of each bucket come from an aggregate that keeps that many, not from a window over the bucket
+        # the hubs of a bucket come from an aggregate that keeps that many, not from a window over the bucket
         order = F.struct((-F.col("s") / F.col("n")).alias("rank"), "node", "n", "s", "label")
-        picked = now.groupBy("key", (F.xxhash64("node") % hubs).alias("share")).agg(F.min(order).alias("hub"))
-        picked = cut_lineage(picked.select("key", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.s").alias("hub_s"), F.col("hub.label").alias("hub_label")))
-        if picked.isEmpty():
+        picked = rest.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(hubs)).alias("share")).agg(F.min(order).alias("hub"))
+        picked = cut_lineage(picked.select("key", *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("node", "n", "s", "label")]))
+        found = rest.join(picked, "key").where((F.col("label") != F.col("hub_label")) & _may_link(percent))
+        found = found.select(F.least("node", "hub_node").alias("a"), F.greatest("node", "hub_node").alias("b"))
+        new = cut_lineage(verified((pairs.unionAll(found) if labels is None else found).distinct(), sets, percent))
+        if labels is None:
+            labels = cut_lineage(components(new))
+        else:
+            # only the labels of both ends are joined up: a graph of components, not of classes
+            name = lambda c: F.coalesce(f"{c}_label", c).alias(c)
+            lifted = new
+            for c in "ab":
+                lifted = lifted.join(labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_label")), c, "left")
+            moved = components(lifted.select(name("a"), name("b"))).select(F.col("node").alias("label"), F.col("component").alias("to"))
+            fresh = moved.join(labels.select(F.col("node").alias("label")), "label", "left_anti").select(F.col("label").alias("node"), F.col("to").alias("component"))
+            labels = labels.withColumnRenamed("component", "label").join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("component"))
+            labels = cut_lineage(labels.unionByName(fresh))
+        # hubs have met all of their bucket and leave it; a bucket of one label is settled
+        rest = rest.join(picked.select("key", F.col("hub_node").alias("node")), ["key", "node"], "left_anti").drop("label")
+        rest = rest.join(labels.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        mixed = rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+        rest = cut_lineage(rest.join(mixed, "key"))
+        if rest.isEmpty():
             return labels
-        found = now.join(picked, "key").where((F.col("label") != F.col("hub_label")) & _may_link(percent))
-        pairs = found.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        new = cut_lineage(verified(pairs, sets, percent))
-        settled = cut_lineage(settled.unionByName(picked.select("key", "hub")))
-        if not new.isEmpty():
-            links = cut_lineage(links.unionByName(new))
-            labels = components(links)
-        hubs *= 4
+        hubs *= HUBS
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
