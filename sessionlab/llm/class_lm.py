@@ -26,7 +26,8 @@ from sessionlab.session import cut_lineage
 
 from .common import arrow_batch, crc32_mod, slices, texts_of
 
-BLOCK_TOKENS = 1_000_000
+#: Tokens of a block (one long text may exceed it): larger blocks repeat fewer words in their lists; and tokens handled at a time.
+BLOCK_TOKENS, STEP_TOKENS = 3_000_000, 250_000
 #: Words that take part in the exchange, their classes, classes of endings, and passes over the corpus.
 CLUSTERED, CLASSES, ENDINGS, PASSES = 16_384, 48, 48, 3
 ALL_CLASSES, END_CLASS = CLASSES + ENDINGS + 1, CLASSES + ENDINGS
@@ -53,20 +54,27 @@ class Numbers(dict):
 
 
 def blocks(docs: DataFrame, folds: int = 5, held_out: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Blocks of whole texts: block, doc_ids, held (by text), sizes, tokens, words and their counts in training texts. The end is the empty word."""
-    schema = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.binary()), ("tokens", pa.binary()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
+    """Blocks of whole texts as rows: one with at = -1 holds doc_ids, held (by text), sizes and tokens; the others each hold one of its words.
+
+    A word's row has its number in the block (at) and its count in the block's training texts (n). The end of a text is the empty word, number 0.
+    """
+    names = {"block": pa.int64(), "at": pa.int32(), "word": pa.string(), "n": pa.int64(), "doc_ids": pa.list_(pa.int64()), "held": pa.list_(pa.bool_()), "sizes": pa.binary(), "tokens": pa.binary()}
+    schema = pa.schema(list(names.items()))
 
     def run(batches):
         part, made = TaskContext.get().partitionId(), 0
-        numbers, ids, held, tokens = Numbers({b"": 0}), [], [], []
+        numbers, ids, held, tokens, total = Numbers({b"": 0}), [], [], [], 0
 
         def block():
-            all_tokens = np.concatenate(tokens)
-            sizes = np.array([len(t) for t in tokens])
-            counts = np.bincount(all_tokens[np.repeat(~np.array(held), sizes)], minlength=len(numbers))
-            return arrow_batch(schema, [[part << 32 | made], [ids], [held], [packed(sizes)], [packed(all_tokens)], [[w.decode() for w in numbers]], [counts]])
+            all_tokens, sizes, words = np.concatenate(tokens), np.array([len(t) for t in tokens]), list(numbers)
+            counts = np.bincount(all_tokens[np.repeat(~np.array(held), sizes)], minlength=len(words))
+            name = part << 32 | made
+            yield arrow_batch(schema, [[name], [-1], [None], [None], [ids], [held], [packed(sizes)], [packed(all_tokens)]])
+            for at in range(0, len(words), 20_000):
+                some = words[at : at + 20_000]
+                none = [None] * len(some)
+                yield arrow_batch(schema, [np.full(len(some), name), np.arange(at, at + len(some)), [w.decode() for w in some], counts[at : at + len(some)], none, none, none, none])
 
-        total = 0
         for b in slices(batches):
             for doc_id, out, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts_of(b), strict=True):
                 words = text.lower().split()
@@ -76,14 +84,14 @@ def blocks(docs: DataFrame, folds: int = 5, held_out: int = 1, id_col: str = "do
                 held.append(out)
                 total += len(words)
                 if total >= BLOCK_TOKENS:
-                    yield block()
+                    yield from block()
                     made += 1
                     numbers, ids, held, tokens, total = Numbers({b"": 0}), [], [], [], 0
         if ids:
-            yield block()
+            yield from block()
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), (crc32_mod(F.col(id_col), folds) == held_out).alias("held"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "block bigint, doc_ids array<bigint>, held array<boolean>, sizes binary, tokens binary, words array<string>, counts array<bigint>")
+    return rows.mapInArrow(run, "block bigint, at int, word string, n bigint, doc_ids array<bigint>, held array<boolean>, sizes binary, tokens binary")
 
 
 class Corpus:
@@ -91,7 +99,7 @@ class Corpus:
 
     def __init__(self, docs: DataFrame, folds: int = 5, held_out: int = 1, clustered: int = CLUSTERED, **columns):
         raw = cut_lineage(blocks(docs, folds, held_out, **columns))
-        entries = raw.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w")).select("block", "at", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
+        entries = raw.where("at >= 0").select("block", "at", "word", "n")
         vocabulary = cut_lineage(entries.where("n > 0").groupBy("word").agg(F.sum("n").alias("count")))
         totals = vocabulary.agg(F.sum("count").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("word") == "", F.col("count"))).alias("ends")).first()
         self.tokens, self.words = totals["n"] or 0, totals["v"]
@@ -108,21 +116,20 @@ class Corpus:
         self.class_words[END_CLASS], self.class_tokens[END_CLASS] = 1, totals["ends"] or 0
         key = F.coalesce("top", (-1 - ending).cast("int"))
         found = entries.select("block", "at", "word").join(known.select("word", "count", "top"), "word", "left")
-        found = found.groupBy("block").agg(F.collect_list(F.struct("at", F.coalesce("count", F.lit(0)).alias("count"), key.alias("key"))).alias("entries"))
-        self.coded = cut_lineage(raw.drop("words", "counts").join(found, "block").mapInArrow(self._pack, "block bigint, doc_ids array<bigint>, held array<boolean>, sizes binary, tokens binary, counts binary, keys binary"))
+        # count and key share a number, so that a word's row stays short on its way back to the block
+        found = found.select("block", "at", (F.shiftleft(F.coalesce("count", F.lit(0)).cast("bigint"), 16) + key + ENDINGS).alias("value"))
+        payload = raw.where("at < 0").select(F.col("block").alias("of"), "doc_ids", "held", "sizes", "tokens")
+        ddl = "of bigint, doc_ids array<bigint>, held array<boolean>, sizes binary, tokens binary, counts binary, keys binary"
+        self.coded = cut_lineage(payload.groupBy("of").cogroup(found.groupBy("block")).applyInArrow(self._pack, ddl))
 
     @staticmethod
-    def _pack(batches):
-        for batch in batches:
-            for k in range(batch.num_rows):
-                entries = batch.column(5)[k].values
-                at = entries.field(0).to_numpy()
-                counts, keys = np.empty(len(at), dtype=np.int64), np.empty(len(at), dtype=np.int64)
-                counts[at], keys[at] = entries.field(1).to_numpy(), entries.field(2).to_numpy()
-                row = [batch.column(c)[k].as_py() for c in range(5)] + [zstandard.compress(counts.tobytes(), 1), packed(keys)]
-                names = ["block", "doc_ids", "held", "sizes", "tokens", "counts", "keys"]
-                types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 4]
-                yield arrow_batch(pa.schema(list(zip(names, types, strict=True))), [[x] for x in row])
+    def _pack(payload: pa.Table, entries: pa.Table) -> pa.Table:
+        """A block with the counts and keys of its words as arrays in the order of their numbers."""
+        values = np.empty(entries.num_rows, dtype=np.int64)
+        values[entries.column("at").to_numpy()] = entries.column("value").to_numpy()
+        counts, keys = values >> 16, (values & 0xFFFF) - ENDINGS
+        out = payload.append_column("counts", pa.array([zstandard.compress(counts.tobytes(), 1)], pa.binary()))
+        return out.append_column("keys", pa.array([packed(keys)], pa.binary()))
 
 
 def class_of(keys: np.ndarray, classes: np.ndarray, end_at: int = 0) -> np.ndarray:
@@ -147,15 +154,16 @@ def context_counts(corpus: Corpus, classes: np.ndarray) -> tuple[np.ndarray, np.
             for k in range(batch.num_rows):
                 tokens, sizes, keys = (unpacked(batch.column(c)[k].as_py()) for c in (0, 1, 2))
                 train = np.repeat(~np.array(batch.column(3)[k].as_py(), dtype=bool), sizes)
-                local = class_of(keys, classes)[tokens]
-                left = np.concatenate([[END_CLASS], local[:-1]])
-                right = np.concatenate([local[1:], [END_CLASS]])
-                word = keys[tokens]
-                here = np.flatnonzero(train & (word >= 0) & (tokens > 0))
-                for part in np.array_split(here, max(1, len(here) // 250_000)):
-                    cells += np.bincount(word[part] * width + left[part], minlength=len(cells))
-                    cells += np.bincount(word[part] * width + ALL_CLASSES + right[part], minlength=len(cells))
-                moves += np.bincount(left[train] * ALL_CLASSES + local[train], minlength=len(moves))
+                local = class_of(keys, classes).astype(np.int16)[tokens]
+                for at in range(0, len(tokens), STEP_TOKENS):
+                    some = slice(at, at + STEP_TOKENS)
+                    here, own, kept = local[some].astype(np.int64), keys[tokens[some]].astype(np.int64), train[some]
+                    left = np.concatenate([[local[at - 1] if at else END_CLASS], here[:-1]])
+                    right = np.concatenate([here[1:], local[at + STEP_TOKENS :][:1], [END_CLASS]])[: len(here)]
+                    moves += np.bincount((left * ALL_CLASSES + here)[kept], minlength=len(moves))
+                    word = kept & (own >= 0) & (tokens[some] > 0)
+                    for side, classes_there in ((0, left), (ALL_CLASSES, right)):
+                        cells += np.bincount(own[word] * width + side + classes_there[word], minlength=len(cells))
         if moves.any():
             task = TaskContext.get().partitionId() % 32
             parts = [cells[c * CHUNK * width : (c + 1) * CHUNK * width] for c in range(chunks)]
@@ -211,15 +219,24 @@ class ClassModel:
         self.move = (moves + BACKOFF * share) / (moves.sum(axis=1, keepdims=True) + BACKOFF)
         self.emission_base = class_tokens + 0.5 * (class_words + 1)
 
-    def block_scores(self, tokens: np.ndarray, counts: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 probabilities of every token: unigram and model."""
-        local = class_of(keys, self.classes)
+    def block_scores(self, tokens: np.ndarray, sizes: np.ndarray, counts: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probabilities of every text of a block: unigram and model."""
+        local = class_of(keys, self.classes).astype(np.int16)
         unigram = (counts + 0.5) / (self.tokens + 0.5 * (self.words + 1))
-        emission = (counts + 0.5) / self.emission_base[local]
-        at = local[tokens]
-        before = np.concatenate([[END_CLASS], at[:-1]])
-        mixed = LAMBDA * self.move[before, at] * emission[tokens] + (1 - LAMBDA) * unigram[tokens]
-        return np.log10(unigram)[tokens], np.log10(mixed)
+        emission = LAMBDA * (counts + 0.5) / self.emission_base[local]
+        log_unigram, rest = np.log10(unigram), (1 - LAMBDA) * unigram
+        base, own = np.zeros(len(sizes)), np.zeros(len(sizes))
+        text = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        for at in range(0, len(tokens), STEP_TOKENS):
+            some = slice(at, at + STEP_TOKENS)
+            t, where = tokens[some], text[some]
+            here = local[t]
+            before = np.concatenate([[local[tokens[at - 1]] if at else END_CLASS], here[:-1]])
+            mixed = np.log10(self.move[before, here] * emission[t] + rest[t])
+            first = where[0]
+            base[first : where[-1] + 1] += np.bincount(where - first, log_unigram[t])
+            own[first : where[-1] + 1] += np.bincount(where - first, mixed)
+        return base, own
 
 
 def score(docs: DataFrame, folds: int = 5, held_out: int = 1, passes: int = PASSES, **columns) -> DataFrame:
@@ -237,9 +254,9 @@ def score(docs: DataFrame, folds: int = 5, held_out: int = 1, passes: int = PASS
                 tokens, sizes, keys = (unpacked(batch.column(c)[k].as_py()) for c in (0, 1, 2))
                 counts = np.frombuffer(zstandard.decompress(batch.column(5)[k].as_py()), dtype=np.int64)
                 starts = np.cumsum(sizes) - sizes
-                base, own = m.block_scores(tokens, counts, keys)
-                known = np.add.reduceat((counts > 0)[tokens].astype(np.int64), starts)
-                columns = [batch.column(4)[k].as_py(), batch.column(3)[k].as_py(), sizes, known, np.full(len(sizes), m.tokens), np.add.reduceat(base, starts), np.add.reduceat(own, starts)]
+                base, own = m.block_scores(tokens, sizes, counts, keys)
+                known = np.add.reduceat((counts > 0)[tokens], starts, dtype=np.int64)
+                columns = [batch.column(4)[k].as_py(), batch.column(3)[k].as_py(), sizes, known, np.full(len(sizes), m.tokens), base, own]
                 yield arrow_batch(schema, columns)
 
     ddl = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"

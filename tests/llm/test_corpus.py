@@ -240,6 +240,7 @@ def test_top_k_matches_brute_force(spark, monkeypatch, spread):
 
 def test_scores_match_counts_and_probabilities_sum_to_one(spark, monkeypatch):
     monkeypatch.setattr(class_lm, "BLOCK_TOKENS", 400)
+    monkeypatch.setattr(class_lm, "STEP_TOKENS", 150)
     monkeypatch.setattr(class_lm, "CLUSTERED", 60)
     rnd = random.Random(6)
     rows = [(k, " ".join(words(rnd, rnd.randint(0, 60), 150)).upper() + " é.", "s") for k in range(120)] + [(None, "w1 w2", "s"), (500, None, "s"), (501, "", "s"), (3, "w3 w4", "s"), (502, "zz " * 3000, "s")]
