@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, slices, texts_of
+from .common import arrow_batch, slices, smallest_hashes, texts_of
 
 KINDS = ["email", "ip", "card", "phone"]
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -277,7 +277,7 @@ def fit(texts: list[str], most: int = TRAIN_WINDOWS, seed: int = 6) -> Tagger |
 def train(docs: DataFrame, most: int = TRAIN_DOCS, text_col: str = "text") -> Tagger | None:
     """A tagger fitted on at most ``most`` documents with a digit or @, those whose texts have the smallest hashes; only they reach the driver."""
     short = docs.select(F.col(text_col).alias("text")).where("text RLIKE '[0-9@]' AND length(text) <= 20000")
-    rows = short.select(F.xxhash64("text").alias("h"), "text").orderBy("h", "text").limit(most).select("text").toArrow()
+    rows = smallest_hashes(short, ["text"], most).toArrow()
     return fit(rows.column("text").to_pylist())
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, arrow_batch, slices, texts_of, window_hashes
+from .common import WordHashes, arrow_batch, slices, smallest_hashes, texts_of, window_hashes
 
 #: Statistics of a document with the sign of their effect on quality: -1 can only lower it, 0 is free.
 FEATURES = {
@@ -140,9 +140,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, where=None
     """Trees fitted on at most ``rows`` labelled documents, those whose ids have the smallest hashes; None without both classes."""
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label_col).alias("label")).where("doc_id IS NOT NULL AND label IS NOT NULL")
     known = known.where(where) if where is not None else known
-    known = known.groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    known = smallest_hashes(known.groupBy("doc_id").agg(F.min("label").alias("label")), ["doc_id"], rows)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    found = features_of(known.select("doc_id").join(texts, "doc_id")).join(known, "doc_id").select("x", "label").orderBy(F.xxhash64("x"), "label").limit(rows).toArrow()
+    # at most ``rows`` ids are broadcast, so texts needn't travel
+    found = features_of(texts.join(F.broadcast(known.select("doc_id")), "doc_id")).join(known, "doc_id").select("x", "label").orderBy(F.xxhash64("x"), "label").limit(rows).toArrow()
     y = found.column("label").to_numpy().astype(float)
     if len(np.unique(y)) < 2:
         return None

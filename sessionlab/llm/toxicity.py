@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, crc32_mod, slices, texts_of, worker_cache
+from .common import arrow_batch, crc32_mod, slices, smallest_hashes, texts_of, worker_cache
 
 BUCKETS, DIM, PASSAGE, GRAMS = 1 << 16, 8, 8, (3, 4, 5)
 CACHE_WORDS = 300_000
@@ -143,9 +143,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS,
     """
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id IS NOT NULL AND label IN (0, 1)")
     known = known.where(crc32_mod(F.col("doc_id"), folds) != held_out).groupBy("doc_id").agg(F.max("label").alias("label"))
-    parts = [known.where(f"label = {k}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
+    parts = [smallest_hashes(known.where(f"label = {k}"), ["doc_id"], per_class) for k in (0, 1)]
     chosen = parts[0].unionAll(parts[1])
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(chosen, "doc_id")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
     rows = rows.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * per_class).select("text", "label").toArrow()
     return fit(texts_of(rows), np.array(rows.column("label").to_pylist(), dtype=float))
 
