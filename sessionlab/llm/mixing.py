@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionlab.session import cut_lineage
+from sessionlab.session import broadcast_if_small, cut_lineage
 
 from .common import WORD, numbered, running_sums
 
@@ -86,5 +86,6 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixture itself: the rows of ``docs`` with all their columns, each as often as it was drawn."""
     rows, number = numbered(docs)
     drawn = plan(cut_lineage(rows.select(*narrow(rows), F.col(number).alias("row"))), **options).where("copies > 0")
-    drawn = drawn.select(F.col("row").alias(number), F.expr("sequence(1, int(copies))").alias(f"{number}_copies"))
-    return rows.join(drawn, number).select(*docs.columns, F.explode(f"{number}_copies").alias(f"{number}_copy")).drop(f"{number}_copy")
+    drawn = cut_lineage(drawn.select(F.col("row").alias(number), F.col("copies").cast("int").alias(f"{number}_copies")))
+    repeated = rows.join(broadcast_if_small(drawn), number).withColumn(f"{number}_copies", F.expr(f"sequence(1, {number}_copies)"))
+    return repeated.select(*docs.columns, F.explode(f"{number}_copies").alias(f"{number}_copy")).drop(f"{number}_copy")

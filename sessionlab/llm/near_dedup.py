@@ -74,7 +74,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold, compared in full."""
+    """The distinct pairs (a, b) whose sets reach the threshold, compared in full; only sets of these pairs travel."""
 
     def run(batches):
         for batch in batches:
@@ -89,8 +89,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    first = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("left_set")), "a")
-    both = first.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("right_set")), "b")
+    pairs = cut_lineage(pairs)
+    side = lambda c, name: broadcast_if_small(pairs).join(sets.select(F.col("node").alias(c), F.col("hashes").alias(name)), c).select("a", "b", name)
+    both = side("a", "left_set").join(side("b", "right_set"), ["a", "b"])
     return both.select("a", "b", "left_set", "right_set").mapInArrow(run, "a bigint, b bigint")
 
 
@@ -204,4 +205,4 @@ def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row")
     one = found.where("component IS NOT NULL").groupBy("component").agg(F.min(order).alias("least")).select(F.col("least.row").alias(number))
     stay = one.unionAll(found.where("component IS NULL").select(F.col("row").alias(number)))
-    return rows.join(stay, number, "left_semi").drop(number)
+    return rows.join(broadcast_if_small(cut_lineage(stay)), number, "left_semi").drop(number)
