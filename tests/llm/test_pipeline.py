@@ -50,6 +50,31 @@ def test_pipeline_equals_plain_stages(spark):
     assert got == +want
 
 
+def test_near_duplicates_go_from_eighty_percent_on(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    base = [f"w{k}" for k in range(100)]  # 96 shingles; two changed inner words leave 86 of 106, three leave 81 of 111
+    two, three = [*base[:30], "x", *base[31:60], "y", *base[61:]], [*base[:20], "p", *base[21:45], "q", *base[46:70], "r", *base[71:]]
+    docs = docs.unionByName(spark.createDataFrame([(10**9 + k, " ".join(t), "en", "s", 1) for k, t in enumerate((base, two, three))], docs.schema))
+    rows = [(r.doc_id, set(near_dedup.shingle_set((r.text or "").encode()).tolist())) for r in docs.collect()]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, (_, x) in enumerate(rows):
+        for b, (_, y) in enumerate(rows[:a]):
+            if x and 100 * len(x & y) >= 80 * len(x | y):
+                root[find(a)] = find(b)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[find(k)] = min(i, least.get(find(k), i))
+    got = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, DATA).collect())
+    assert got == sorted(i for k, (i, x) in enumerate(rows) if not x or i == least[find(k)])
+    assert 10**9 + 1 not in got and 10**9 + 2 in got
+
+
 @pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
 def test_stages_take_empty_tables_and_odd_rows(spark, name):
     stage = dict(corpus_pipeline.STAGES)[name]
