@@ -134,6 +134,21 @@ def test_repeated_passages_are_found_wherever_they_stand(spark):
     assert substring_dedup.repeated_passages(df.limit(0)).count() == 0
 
 
+def test_bands_miss_few_paragraphs_at_the_threshold():
+    rnd, alike, missed = random.Random(12), 0, 0
+    while alike < 3000:
+        a = words(rnd, substring_dedup.PARAGRAPH, 10**6)
+        b = [*a[:-2], "other", a[-1]]
+        x, y = ({tuple(t[k : k + 5]) for k in range(21)} for t in (a, b))
+        if 100 * len(x & y) >= 80 * len(x | y):  # brute force: 19 of 23 shingles
+            alike += 1
+            ka, kb = (substring_dedup.paragraphs(" ".join(t).encode())[2] for t in (a, b))
+            missed += not (ka == kb).any()
+    assert missed <= 0.008 * alike
+    miss = (1 - 0.8**substring_dedup.ROWS) ** substring_dedup.BANDS
+    assert miss <= (1 - 0.8) ** 3  # what three bands of one row miss
+
+
 def plain_targets(sizes, weights=(1, 2, 3), cap=3):
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode("utf-32-be")) + [None] * (None in sizes)
     weight = {s: weights[k % len(weights)] for k, s in enumerate(names)}
