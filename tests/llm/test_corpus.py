@@ -149,6 +149,30 @@ def test_bands_miss_few_paragraphs_at_the_threshold():
     assert miss <= (1 - 0.8) ** 3  # what three bands of one row miss
 
 
+def test_repeats_are_marked_to_their_edges_and_edited_ones_found(spark):
+    rnd = random.Random(21)
+    fresh = lambda n: words(rnd, n, 10**9)
+    rows, lengths, changes = [], {}, {}
+    for k in range(40):  # verbatim, from 25 words on
+        passage = fresh(25 + k)
+        lengths[2 * k + 1] = len(passage)
+        rows += [(2 * k, fresh(60) + passage + fresh(60)), (2 * k + 1, fresh(31) + passage + fresh(47))]
+    for k in range(200, 320):  # edited, 50 words with one to three of them changed; the first forty in the middle
+        passage, other = fresh(50), None
+        places = [25] if k < 240 else rnd.sample(range(50), 1 + k % 3)
+        other = [f"c{k}" if j in places else w for j, w in enumerate(passage)]
+        edges = [-1, *sorted(places), 50]
+        changes[2 * k + 1] = (len(places), max(b - a - 1 for a, b in zip(edges, edges[1:], strict=False)))
+        rows += [(2 * k, fresh(60) + passage + fresh(60)), (2 * k + 1, fresh(31) + other + fresh(47))]
+    got = {r.doc_id: r for r in substring_dedup.repeated_passages(frame(spark, [(i, " ".join(t), "s") for i, t in rows])).where("removed").collect()}
+    for i, n in lengths.items():
+        assert (got[i].first_word, n) == (31, got[i].n_words) or (31 - 2 <= got[i].first_word <= 31 and n <= got[i].n_words <= n + 4)
+    assert all(i in got and got[i].kept_doc_id == i - 1 for i, (_, run) in changes.items() if run >= 25)
+    for n in (1, 2, 3):
+        found = [i in got for i, (c, _) in changes.items() if c == n]
+        print(f"{n} of 50 words changed: {sum(found)} of {len(found)} passages found")
+
+
 def plain_targets(sizes, weights=(1, 2, 3), cap=3):
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode("utf-32-be")) + [None] * (None in sizes)
     weight = {s: weights[k % len(weights)] for k, s in enumerate(names)}
