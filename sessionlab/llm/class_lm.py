@@ -5,8 +5,10 @@ counted and joined with the corpus-wide counts, which come back to the block as
 text and no table of words has to fit anywhere. Every text is split once.
 
 The CLUSTERED most frequent words are spread over CLASSES classes by exchange: each pass counts, over all training tokens, the classes
-left and right of each such word, and moves every word to the class that gains most mutual information. All other words
-have the class of their ending, the end of a text its own. A token's probability mixes class transition times emission with its
+left and right of each such word, and moves every word to the class that gains most mutual information (all words at once, against one
+table that holds their own counts, so this is a batch form of the exchange). Meanwhile all other words have the class of their ending;
+then each of them that occurs in training texts goes to its best class by the same gain, in Spark, from its counts summed over blocks.
+Only unseen words keep the class of their ending; the end of a text has its own. A token's probability mixes class transition times emission with its
 smoothed unigram; a class keeps one emission slot for unseen words, so probabilities over known words and the unseen one sum to one.
 
 Defined results: null and empty texts are one end token; repeated rows are scored alike; without training texts every token has
@@ -95,7 +97,7 @@ def blocks(docs: DataFrame, folds: int = 5, held_out: int = 1, id_col: str = "do
 
 
 class Corpus:
-    """Coded blocks with each word's corpus count and class key (number among the clustered words, or -1 - ending), and the totals."""
+    """Coded blocks with each word's corpus count and class key (number among the clustered words, -1 - ending, or -1 - ENDINGS - class), and the totals."""
 
     def __init__(self, docs: DataFrame, folds: int = 5, held_out: int = 1, clustered: int = CLUSTERED, **columns):
         raw = cut_lineage(blocks(docs, folds, held_out, **columns))
@@ -115,26 +117,98 @@ class Corpus:
             self.class_words[CLASSES + r["e"]], self.class_tokens[CLASSES + r["e"]] = r["v"], r["n"]
         self.class_words[END_CLASS], self.class_tokens[END_CLASS] = 1, totals["ends"] or 0
         key = F.coalesce("top", (-1 - ending).cast("int"))
-        found = entries.select("block", "at", "word").join(known.select("word", "count", "top"), "word", "left")
+        found = entries.select("block", "at", "word", F.xxhash64("word").alias("id")).join(known.select("word", "count", "top"), "word", "left")
         # count and key share a number, so that a word's row stays short on its way back to the block
-        found = found.select("block", "at", (F.shiftleft(F.coalesce("count", F.lit(0)).cast("bigint"), 16) + key + ENDINGS).alias("value"))
+        found = found.select("block", "at", "id", (F.shiftleft(F.coalesce("count", F.lit(0)).cast("bigint"), 16) + key + ENDINGS).alias("value"))
         payload = raw.where("at < 0").select(F.col("block").alias("of"), "doc_ids", "held", "sizes", "tokens")
-        ddl = "of bigint, doc_ids array<bigint>, held array<boolean>, sizes binary, tokens binary, counts binary, keys binary"
+        ddl = "of bigint, doc_ids array<bigint>, held array<boolean>, sizes binary, tokens binary, counts binary, keys binary, ids binary"
         self.coded = cut_lineage(payload.groupBy("of").cogroup(found.groupBy("block")).applyInArrow(self._pack, ddl))
 
     @staticmethod
     def _pack(payload: pa.Table, entries: pa.Table) -> pa.Table:
         """A block with the counts and keys of its words as arrays in the order of their numbers."""
         values = np.empty(entries.num_rows, dtype=np.int64)
-        values[entries.column("at").to_numpy()] = entries.column("value").to_numpy()
+        ids = np.empty(entries.num_rows, dtype=np.int64)
+        at = entries.column("at").to_numpy()
+        values[at], ids[at] = entries.column("value").to_numpy(), entries.column("id").to_numpy()
         counts, keys = values >> 16, (values & 0xFFFF) - ENDINGS
         out = payload.append_column("counts", pa.array([zstandard.compress(counts.tobytes(), 1)], pa.binary()))
-        return out.append_column("keys", pa.array([packed(keys)], pa.binary()))
+        out = out.append_column("keys", pa.array([packed(keys)], pa.binary()))
+        return out.append_column("ids", pa.array([zstandard.compress(ids.tobytes(), 1)], pa.binary()))
+
+    def assign_rest(self, classes: np.ndarray, moves: np.ndarray) -> None:
+        """Every training word that took no part in the exchange goes to its best class; keys and totals follow."""
+        gain, width = gains(moves), 2 * ALL_CLASSES
+        both = np.concatenate([gain[:, :CLASSES], gain[:CLASSES].T])
+        schema = pa.schema([("id", pa.int64()), ("block", pa.int64()), ("at", pa.int32()), ("n", pa.int64()), ("cells", pa.list_(pa.int64()))])
+        placed = pa.schema([("block", pa.int64()), ("at", pa.int32()), ("class", pa.int32()), ("n", pa.int64()), ("lead", pa.bool_())])
+
+        def count(batches):
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    tokens, sizes, keys = (unpacked(batch.column(c)[k].as_py()) for c in (0, 1, 2))
+                    counts, ids = (np.frombuffer(zstandard.decompress(batch.column(c)[k].as_py()), dtype=np.int64) for c in (4, 5))
+                    train = np.repeat(~np.array(batch.column(3)[k].as_py(), dtype=bool), sizes)
+                    rest = (keys < 0) & (counts > 0)
+                    rest[0] = False
+                    local = class_of(keys, classes).astype(np.int16)[tokens]
+                    places = np.flatnonzero(train & rest[tokens])
+                    left = np.where(places > 0, local[places - 1], END_CLASS)
+                    right = local[places + 1] + ALL_CLASSES  # a text ends in its end, so a word has a neighbour there
+                    own = tokens[places].astype(np.int64) * width
+                    cells, times = np.unique(np.concatenate([own + left, own + right]), return_counts=True)
+                    words = np.flatnonzero(rest)
+                    starts = np.searchsorted(cells, np.append(words, len(keys)).astype(np.int64) * width)
+                    values = times.astype(np.int64) << 8 | cells % width
+                    block = batch.column(6)[k].as_py()
+                    for at in range(0, len(words), 20_000):
+                        some = words[at : at + 20_000]
+                        bounds = starts[at : at + len(some) + 1]
+                        lists = pa.ListArray.from_arrays(pa.array(bounds - bounds[0], pa.int32()), pa.array(values[bounds[0] : bounds[-1]], pa.int64()))
+                        yield arrow_batch(schema, [ids[some], np.full(len(some), block), some, counts[some], lists])
+
+        def place(rows):
+            ids = rows.column("id").to_numpy()
+            lead = np.append(True, ids[1:] != ids[:-1])
+            word = np.cumsum(lead) - 1
+            cells = rows.column("cells").combine_chunks()
+            values = cells.flatten().to_numpy()
+            sizes = np.diff(cells.offsets.to_numpy())
+            at = np.repeat(word, sizes) * width + (values & 255)
+            total = np.bincount(at, values >> 8, (word[-1] + 1) * width).reshape(-1, width)
+            best = np.round(total @ both, 6).argmax(axis=1)
+            return arrow_batch(placed, [rows.column("block").to_numpy(), rows.column("at").to_numpy(), best[word], rows.column("n").to_numpy(), lead])
+
+        def choose(batches):
+            waiting = None  # rows of the last word so far
+            for batch in batches:
+                for piece in slices([batch], 4096):
+                    rows = pa.Table.from_batches([piece])
+                    rows = rows if waiting is None else pa.concat_tables([waiting, rows])
+                    cut = int(np.searchsorted(rows.column("id").to_numpy(), rows.column("id")[-1].as_py()))
+                    if cut:
+                        yield place(rows.slice(0, cut))
+                    waiting = rows.slice(cut)
+            if waiting is not None:
+                yield place(waiting)
+
+        def renew(payload: pa.Table, found: pa.Table) -> pa.Table:
+            keys = unpacked(payload.column("keys")[0].as_py()).copy()
+            keys[found.column("at").to_numpy()] = -1 - ENDINGS - found.column("class").to_numpy()
+            return payload.set_column(payload.schema.get_field_index("keys"), "keys", pa.array([packed(keys)], pa.binary()))
+
+        sent = self.coded.select("tokens", "sizes", "keys", "held", "counts", "ids", "of").mapInArrow(count, "id bigint, block bigint, at int, n bigint, cells array<bigint>")
+        found = sent.repartition("id").sortWithinPartitions("id").mapInArrow(choose, "block bigint, at int, class int, n bigint, lead boolean")
+        found = cut_lineage(found)
+        self.class_words[: CLASSES + ENDINGS] = self.class_tokens[: CLASSES + ENDINGS] = 0
+        for r in found.where("lead").groupBy("class").agg(F.count("*").alias("v"), F.sum("n").alias("n")).collect():
+            self.class_words[r["class"]], self.class_tokens[r["class"]] = r["v"], r["n"]
+        self.coded = cut_lineage(self.coded.groupBy("of").cogroup(found.groupBy("block")).applyInArrow(renew, self.coded.schema))
 
 
 def class_of(keys: np.ndarray, classes: np.ndarray, end_at: int = 0) -> np.ndarray:
     """Classes of a block's words; its first word is the end."""
-    out = np.where(keys >= 0, classes[np.maximum(keys, 0)] if len(classes) else 0, CLASSES - 1 - keys)
+    out = np.where(keys >= 0, classes[np.maximum(keys, 0)] if len(classes) else 0, np.where(keys < -ENDINGS, -1 - ENDINGS - keys, CLASSES - 1 - keys))
     out[end_at] = END_CLASS
     return out
 
@@ -191,6 +265,13 @@ def _cells_back(data: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(data), dtype=np.int64)
 
 
+def gains(moves: np.ndarray) -> np.ndarray:
+    """Pointwise mutual information of each class before each class."""
+    smooth = moves + 0.1
+    left, right = smooth.sum(axis=1), smooth.sum(axis=0)
+    return np.log(smooth * smooth.sum() / (left[:, None] * right[None, :]))
+
+
 def exchange(corpus: Corpus, passes: int = PASSES) -> tuple[np.ndarray, np.ndarray]:
     """Classes of the clustered words and the class transitions under them.
 
@@ -200,9 +281,7 @@ def exchange(corpus: Corpus, passes: int = PASSES) -> tuple[np.ndarray, np.ndarr
     classes = np.minimum(np.arange(len(corpus.top_counts)), CLASSES - 1)
     for _ in range(passes):
         cells, moves = context_counts(corpus, classes)
-        smooth = moves + 0.1
-        left, right = smooth.sum(axis=1), smooth.sum(axis=0)
-        gain = np.log(smooth * smooth.sum() / (left[:, None] * right[None, :]))
+        gain = gains(moves)
         scores = cells[:, 0] @ gain[:, :CLASSES] + cells[:, 1] @ gain[:CLASSES].T
         classes = scores.argmax(axis=1) if len(scores) else classes
     return classes, context_counts(corpus, classes)[1]
@@ -242,7 +321,9 @@ class ClassModel:
 def score(docs: DataFrame, folds: int = 5, held_out: int = 1, passes: int = PASSES, **columns) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every text."""
     corpus = Corpus(docs, folds, held_out, **columns)
-    model = ClassModel(corpus, *exchange(corpus, passes))
+    classes, moves = exchange(corpus, passes)
+    corpus.assign_rest(classes, moves)
+    model = ClassModel(corpus, classes, context_counts(corpus, classes)[1])
     given = docs.sparkSession.sparkContext.broadcast(model)  # of the model's size, whatever the corpus
     names = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
     schema = pa.schema(list(names.items()))

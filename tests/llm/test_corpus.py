@@ -304,3 +304,27 @@ def test_scores_match_counts_and_probabilities_sum_to_one(spark, monkeypatch):
         unseen = sum(model.move[before, c] * 0.5 / model.emission_base[c] for c in range(class_lm.ALL_CLASSES))
         assert abs(seen + unseen - 1) < 1e-9
     assert class_lm.score(df.limit(0)).count() == 0
+
+
+def test_rare_words_have_the_class_of_their_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(class_lm, "BLOCK_TOKENS", 500)
+    rnd = random.Random(3)
+    names, deeds = [f"n{k}" for k in range(60)], [f"d{k}" for k in range(60)]  # all endings in both, each word seen a few times
+    pick = lambda some: rnd.choice(some[:5] if rnd.random() < 0.5 else some)
+    rows = [(k, " ".join(w for _ in range(8) for w in ("the", pick(names), "will", pick(deeds), "so")), "s") for k in range(150)]
+    corpus = class_lm.Corpus(frame(spark, rows), clustered=13)  # the three common words and five of each kind
+    classes, moves = class_lm.exchange(corpus)
+    corpus.assign_rest(classes, moves)
+    by_word = collections.defaultdict(set)
+    number = {r.h: r.w for r in spark.createDataFrame([(w,) for w in names + deeds], "w string").selectExpr("xxhash64(w) AS h", "w").collect()}
+    for r in corpus.coded.collect():
+        keys, ids = class_lm.unpacked(r["keys"]), np.frombuffer(class_lm.zstandard.decompress(r["ids"]), dtype=np.int64)
+        counts = np.frombuffer(class_lm.zstandard.decompress(r["counts"]), dtype=np.int64)
+        for i, c, n in zip(ids.tolist(), class_lm.class_of(keys, classes).tolist(), counts.tolist(), strict=True):
+            if i in number and n:
+                by_word[number[i]].add(c)
+    assert len(by_word) > 100 and all(len(c) == 1 and max(c) < class_lm.CLASSES for c in by_word.values())
+    first, second = ({c for w in some for c in by_word[w]} for some in (names, deeds))
+    assert not first & second
+    model = class_lm.ClassModel(corpus, classes, class_lm.context_counts(corpus, classes)[1])
+    assert model.emission_base.sum() == pytest.approx(corpus.tokens + 0.5 * (corpus.words + class_lm.ALL_CLASSES))
