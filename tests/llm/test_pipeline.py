@@ -31,7 +31,7 @@ def test_pipeline_equals_plain_stages(spark):
 
     for a in range(len(rows)):
         for b in range(a):
-            if sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
                 root[find(a)] = find(b)
     least = {}
     for k, r in enumerate(rows):
