@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, class_lm, mixing, near_dedup, pii, quality, substring_dedup, topk, toxicity, url_filter
+from . import bpe, class_lm, mixing, near_dedup, pii, quality, spelling, substring_dedup, topk, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -137,3 +137,41 @@ def op9_class_lm(spark, sf_dir):
 @query("op1_substring_dedup")
 def op1_substring_dedup(spark, sf_dir):
     return substring_dedup.repeated_passages(table(spark, sf_dir, "documents")).drop("doc")
+
+
+def crc32_sql(codes: str) -> str:
+    """SQL for the unsigned crc32 of a list of bytes: eight shifts a byte."""
+    bits = f"flatten(list_transform({codes}, lambda b: [b, 0, 0, 0, 0, 0, 0, 0]))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bits}), lambda c, x: xor(xor(c, x) >> 1, 3988292384 * (xor(c, x) & 1))), 4294967295)"
+
+
+def utf8_sql(text: str) -> str:
+    """SQL for the UTF-8 bytes of a text of code points below 2048."""
+    return f"flatten(list_transform(string_split({text}, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [(192 + (unicode(c) >> 6))::BIGINT, (128 + (unicode(c) & 63))::BIGINT] END))"
+
+
+SPELLING_SQL = r"""
+WITH RECURSIVE runs AS (
+    SELECT coalesce(doc_id::VARCHAR, 'null') AS d, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r FROM documents),
+per AS (SELECT d, r, count(*) AS n FROM runs WHERE length(r) >= 7 GROUP BY d, r),
+h AS (SELECT r, n, {crc} AS h FROM per),
+v AS MATERIALIZED (
+    SELECT CASE WHEN h % 31 = 0 THEN left(r, (h % length(r))::INT) || substr(r, (h % length(r))::INT + 2) ELSE r END AS word, sum(n)::BIGINT AS n
+    FROM h GROUP BY 1 HAVING length(word) >= 7 AND sum(n) >= 2),
+cut AS MATERIALIZED (SELECT DISTINCT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM v, unnest(range(1, length(word) + 1)) AS t(i)),
+near AS (
+    SELECT DISTINCT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+    UNION SELECT c.word, v.word, v.n FROM cut c JOIN v ON c.rest = v.word
+    UNION SELECT v.word, c.word, c.n FROM cut c JOIN v ON c.rest = v.word),
+best AS (SELECT word, count(*) AS n_near, arg_min(near, (-near_n, encode(near))) AS near, max(near_n) AS near_n FROM near GROUP BY word),
+f AS MATERIALIZED (
+    SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN near_n >= 10 * v.n THEN near END AS form, CASE WHEN near_n >= 10 * v.n THEN near_n END AS form_n
+    FROM v LEFT JOIN best ON v.word = best.word),
+chain AS (SELECT word, word AS here, 0 AS k FROM f UNION ALL SELECT chain.word, f.form, k + 1 FROM chain JOIN f ON f.word = chain.here WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM f JOIN (SELECT word, arg_max(here, k) AS root FROM chain GROUP BY word) c ON c.word = f.word
+""".replace("{crc}", crc32_sql(utf8_sql("d || ':' || r")))
+
+
+@query("op11_spelling", SPELLING_SQL)
+def op11_spelling(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"))
