@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, class_lm, mixing, near_dedup, pii, quality, spelling, substring_dedup, topk, toxicity, url_filter
+from . import bpe, class_lm, mixing, near_dedup, periodic, pii, quality, spelling, substring_dedup, topk, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -175,3 +175,30 @@ SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM f JOIN (SELECT word,
 @query("op11_spelling", SPELLING_SQL)
 def op11_spelling(spark, sf_dir):
     return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+RUNS_SQL = r"""
+WITH given AS (SELECT doc_id, coalesce(doc_id::VARCHAR, 'null') AS d, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+hashed AS (SELECT doc_id, w, len(w)::BIGINT AS n, {crc} AS h FROM given),
+tail AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n ELSE n END AS a, 3 + (h // 10) % 8 AS k FROM hashed),
+made AS MATERIALIZED (SELECT doc_id, n, list_transform(range(n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // k) END + 1]) AS w FROM tail),
+grams AS MATERIALIZED (SELECT doc_id, i, array_to_string(w[i + 1 : i + 16], ' ') AS gram FROM made, unnest(range(n - 15)) AS t(i)),
+equal AS (SELECT a.doc_id, b.i - a.i AS q, a.i FROM grams a JOIN grams b ON a.doc_id = b.doc_id AND a.gram = b.gram AND a.i < b.i),
+islands AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM equal),
+stretches AS (SELECT doc_id, q, min(i) AS start, count(*) + 15 + q AS length FROM islands GROUP BY doc_id, q, island),
+runs AS MATERIALIZED (SELECT doc_id, start, length, min(q) AS period FROM stretches WHERE length >= greatest(24, 3 * q) GROUP BY doc_id, start, length),
+listed AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed FROM runs GROUP BY doc_id),
+ranked AS (
+    SELECT a.*, row_number() OVER (PARTITION BY doc_id ORDER BY (SELECT count(*) FROM runs b WHERE b.doc_id = a.doc_id AND b.length * a.period > a.length * b.period), start, period) AS place FROM runs a),
+dropped AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+words AS (SELECT doc_id, i, w[i + 1] AS word FROM made, unnest(range(n)) AS t(i)),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN dropped USING (doc_id, i) GROUP BY doc_id)
+SELECT m.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, r.start::BIGINT AS start, r.length::BIGINT AS length, r.period::BIGINT AS period, (1000 * r.length // r.period)::BIGINT AS exponent_milli,
+    sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(k.text, '')) AS collapsed_sha256
+FROM made m LEFT JOIN listed l ON l.doc_id = m.doc_id LEFT JOIN ranked r ON r.doc_id = m.doc_id AND place = 1 LEFT JOIN kept k ON k.doc_id = m.doc_id
+""".replace("{crc}", crc32_sql(utf8_sql("d")))
+
+
+@query("op12_periodic", RUNS_SQL)
+def op12_periodic(spark, sf_dir):
+    return periodic.digests(table(spark, sf_dir, "documents"), altered=periodic.repeated_tail)
