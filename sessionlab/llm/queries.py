@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, class_lm, mixing, near_dedup, periodic, pii, quality, spelling, substring_dedup, topk, toxicity, url_filter
+from . import bpe, chat, class_lm, mixing, near_dedup, periodic, pii, quality, spelling, substring_dedup, topk, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -202,3 +202,42 @@ FROM made m LEFT JOIN listed l ON l.doc_id = m.doc_id LEFT JOIN ranked r ON r.do
 @query("op12_periodic", RUNS_SQL)
 def op12_periodic(spark, sf_dir):
     return periodic.digests(table(spark, sf_dir, "documents"), altered=periodic.repeated_tail)
+
+
+CHAT_EXTRA = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+CHAT_SQL = r"""
+WITH RECURSIVE given AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL VALUES {extra}),
+turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM given),
+counted AS (
+    SELECT *, row_number() OVER o - 1 AS place, 4 + len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS tokens,
+        length(regexp_replace(text, '{escape}', '\1\\\2\3', 'g')) AS size, length(regexp_replace(role, '{escape}', '\1\\\2\3', 'g')) AS role_size
+    FROM turns WINDOW o AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+placed AS (
+    SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY place) - tokens AS start, place = 0 AND role = 'system' AS leads,
+        size + CASE role WHEN 'user' THEN 15 WHEN 'system' THEN 13 WHEN 'assistant' THEN 9 ELSE role_size + 23 END AS chars
+    FROM counted),
+roomy AS MATERIALIZED (SELECT p.*, greatest(384 - coalesce(h.tokens, 0), 1) AS room, CASE WHEN h.tokens IS NULL THEN 0 ELSE 1 END AS head FROM placed p LEFT JOIN placed h ON h.conv_id = p.conv_id AND h.leads),
+cut AS (
+    SELECT conv_id, place, start, tokens, chars, start AS window_start FROM roomy WHERE place = head
+    UNION ALL
+    SELECT r.conv_id, r.place, r.start, r.tokens, r.chars, CASE WHEN r.place % 512 <> 0 AND r.start + r.tokens - c.window_start <= r.room THEN c.window_start ELSE r.start END
+    FROM cut c JOIN roomy r ON r.conv_id = c.conv_id AND r.place = c.place + 1),
+windows AS (SELECT DISTINCT conv_id, window_start FROM cut),
+chars AS (
+    SELECT conv_id, chars FROM cut
+    UNION ALL SELECT c.conv_id, c.chars FROM cut c JOIN windows w ON w.conv_id = c.conv_id AND w.window_start >= c.start + c.tokens AND w.window_start <= c.start + 128
+    UNION ALL SELECT r.conv_id, r.chars FROM roomy r LEFT JOIN windows w ON w.conv_id = r.conv_id WHERE r.leads),
+total AS (SELECT conv_id, sum(chars)::BIGINT AS formatted_chars FROM chars GROUP BY conv_id),
+told AS (
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+        coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '') AS learnt
+    FROM placed GROUP BY conv_id)
+SELECT t.conv_id, n_turns, turns_sha256, length(learnt)::BIGINT AS loss_chars, sha256(learnt) AS loss_sha256, formatted_chars FROM told t JOIN total USING (conv_id)
+""".replace("{extra}", ", ".join(map(str, CHAT_EXTRA))).replace("{escape}", r"([\[<])(\\*)(" + chat.CONTROL + ")")
+
+
+@query("op13_chat", CHAT_SQL)
+def op13_chat(spark, sf_dir):
+    extra = spark.sql(f"SELECT * FROM VALUES {', '.join(map(str, CHAT_EXTRA))} AS t(conv_id, turn, role, text)")
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.digests(chat.format_windows(given))
