@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import boosting as bo
 from ..operators import decompose as dc
 from ..operators import evaluate as ev
 from ..operators import folds as fo
 from ..operators import joins as jn
 from ..operators import linear as ln
 from ..operators import readout as ro
+from ..operators import search as se
 from ..operators import windows as wn
 from ..operators.neighbours import as_vector
 from ..session import cut_lineage
 from ..streaming import live
-from .bindings import HOUR, KEYS, SIG, r6, sig, sql, table, vec
+from .bindings import HOUR, KEYS, SIG, VEC, r6, sig, sql, table, vec
 from .model_queries import _centroids
 from .profile_queries import scratch
 from .registry import query
@@ -150,11 +153,20 @@ def m13d(spark, d):
     return _folds(spark, d).select("fold", F.col("n_train").cast("bigint").alias("n_train"), F.col("n_test").cast("bigint").alias("n_test"))
 
 
+CLASSES = list(range(10))
+TREES = bo.Params(rounds=8, depth=3, learning_rate=0.3, bins=32)
+
+
 @query("m17_boosted_trees")
 def m17(spark, d):
+    """Every vector scored by the trees that left its session out."""
     data = cut_lineage(_ml(spark, d))
-    model = ro.boosted_trees(3, 3).fit(data)
-    return model.transform(data).select("vec_id", F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"))
+    models = bo.fit(data, "vec", DIM, "label", CLASSES, TREES, "weight", "session", [0, 1, 2, 3, 4])
+    out = None
+    for m in models:
+        part = m.predict(data.where(F.col("session") == m.left_out), "vec", CLASSES).select("vec_id", F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("m17_left_out_against_majority")
@@ -162,7 +174,7 @@ def m17b(spark, d):
     """Macro F1 on each left-out session: boosted trees against the most frequent class of the other sessions."""
     data = cut_lineage(_ml(spark, d))
     folds = [0, 1, 2, 3, 4]
-    own = ro.loso_run(data, "session", folds, lambda train: ro.boosted_trees(3, 3).fit(train)).select("session", F.col("f1_macro"))
+    own = bo.left_out_scores(data, "vec", DIM, "label", CLASSES, "session", folds, TREES, "weight").select("session", F.col("f1_macro"))
     counts = data.groupBy("session", F.col("label").cast("int").alias("label")).agg(F.count("*").alias("n"))
     rest = counts.select("label", "n", F.col("session").alias("of")).withColumn("session", F.explode(F.array(*[F.lit(f) for f in folds]))).where("of <> session")
     common = rest.groupBy("session", "label").agg(F.sum("n").alias("n")).groupBy("session").agg(F.max_by("label", F.struct("n", (-F.col("label")).alias("l"))).alias("p"))
@@ -170,6 +182,23 @@ def m17b(spark, d):
     return own.join(plain.select("session", F.col("f1_macro").alias("f1_majority")), "session")
 
 
+EDGES = [-0.15, -0.05, 0.05, 0.15]
+
+
+@query(
+    "m17_histogram_sums",
+    sql(
+        f"""SELECT CAST(cls AS INTEGER) AS cls, CAST(feature - 1 AS INTEGER) AS feature, CAST({" + ".join(f"(x > {e})::INT" for e in EDGES)} AS INTEGER) AS bin,
+ round(sum(0.1::DOUBLE - CASE WHEN label = cls THEN 1 ELSE 0 END), 6) + 0.0 AS gradient, round(sum(0.09::DOUBLE), 6) AS curvature, count(*) AS rows
+FROM (SELECT label, unnest(vec) AS x, generate_subscripts(vec, 1) AS feature FROM vec), (SELECT unnest(range(10)) AS cls) GROUP BY ALL""",
+        VEC,
+    ),
+)
+def m17c(spark, d):
+    out = bo.root_histograms(vec(spark, d), "vec", "label", CLASSES, [np.array(EDGES)] * DIM)
+    return out.withColumns({"gradient": r6("gradient"), "curvature": r6("curvature")})
+
+
 @query("t03_feature_importances")
 def t03(spark, d):
     model = ro.random_forest(10, 5).fit(_ml(spark, d))
@@ -185,6 +214,23 @@ def m18(spark, d):
     return spark.createDataFrame([(i, float(s)) for i, s in enumerate(scores)], "candidate int, f1_macro double")
 
 
+SPACE = {"depth": se.Whole(1, 3), "learning_rate": se.Real(0.05, 0.6, log=True), "l2": se.Real(0.1, 10.0, log=True), "rows": se.Real(0.6, 1.0), "features": se.Choice((0.5, 1.0))}
+
+
+@query("m18_drawn_search")
+def m18b(spark, d):
+    """Four drawn candidates on one, two and four left-out sessions, the better half going on."""
+    data = cut_lineage(_ml(spark, d))
+
+    def evaluate(params, folds):
+        chosen = bo.Params(rounds=3, bins=16, **params)
+        return {r.session: r.f1_macro for r in bo.left_out_scores(data, "vec", DIM, "label", CLASSES, "session", folds, chosen, "weight").collect()}
+
+    trials = se.halving(se.draw(SPACE, 4), [0, 1, 2, 3], evaluate)
+    rows = [(t.candidate, len(t.scores), t.mean, *[float(t.params[k]) for k in sorted(SPACE)]) for t in trials]
+    return spark.createDataFrame(rows, "candidate int, n_folds int, f1_macro double, " + ", ".join(f"{k} double" for k in sorted(SPACE)))
+
+
 @query("m23_ridge_readout")
 def m23(spark, d):
     v = vec(spark, d)
