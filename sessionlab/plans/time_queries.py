@@ -457,9 +457,30 @@ def w27(spark, d):
     return _peaks(spark, d).select(*KEYS, "window_id", F.explode(sg.refractory(F.col("peaks"), 5)).alias("i"))
 
 
-@query("w28_find_peaks")
+@query(
+    "w28_find_peaks",
+    sql(
+        """WITH RECURSIVE rows_ AS (SELECT participant, session, timestamp, value, row_number() OVER (PARTITION BY participant, session ORDER BY timestamp, value) - 1 AS r FROM sig WHERE value IS NOT NULL),
+ turns AS (SELECT *, CASE WHEN value = lag(value) OVER w THEN 0 ELSE 1 END AS new FROM rows_ WINDOW w AS (PARTITION BY participant, session ORDER BY r)),
+ flats AS (SELECT *, sum(new) OVER (PARTITION BY participant, session ORDER BY r) AS flat FROM turns),
+ runs AS (SELECT participant, session, flat, any_value(value) AS height, (min(r) + max(r)) // 2 AS pos FROM flats GROUP BY participant, session, flat),
+ beside AS (SELECT *, lag(height) OVER w AS before, lead(height) OVER w AS after FROM runs WINDOW w AS (PARTITION BY participant, session ORDER BY flat)),
+ tops AS (SELECT *, row_number() OVER (PARTITION BY participant, session ORDER BY height DESC, pos DESC) AS k FROM beside WHERE height > before AND height > after),
+ kept AS (SELECT participant, session, k, [pos] AS held FROM tops WHERE k = 1
+  UNION ALL SELECT t.participant, t.session, t.k, CASE WHEN len(list_filter(held, lambda p: abs(p - t.pos) < 3)) = 0 THEN list_append(held, t.pos) ELSE held END
+   FROM kept JOIN tops t ON t.participant = kept.participant AND t.session = kept.session AND t.k = kept.k + 1),
+ peaks AS (SELECT participant, session, unnest(max_by(held, k)) AS pos FROM kept GROUP BY participant, session),
+ high AS (SELECT p.*, r.timestamp, r.value AS height FROM peaks p JOIN rows_ r ON r.participant = p.participant AND r.session = p.session AND r.r = p.pos),
+ edge AS (SELECT h.participant, h.session, h.pos, h.timestamp, h.height, coalesce(max(CASE WHEN r.r < h.pos AND r.value > h.height THEN r.r END), -1) AS a,
+   coalesce(min(CASE WHEN r.r > h.pos AND r.value > h.height THEN r.r END), 1000000000) AS b FROM high h JOIN rows_ r ON r.participant = h.participant AND r.session = h.session GROUP BY ALL),
+ base AS (SELECT e.participant, e.session, e.timestamp, e.pos, e.height, min(CASE WHEN r.r <= e.pos THEN r.value END) AS low_a, min(CASE WHEN r.r >= e.pos THEN r.value END) AS low_b
+   FROM edge e JOIN rows_ r ON r.participant = e.participant AND r.session = e.session AND r.r > e.a AND r.r < e.b GROUP BY ALL)
+SELECT participant, session, timestamp, CAST(pos AS BIGINT) AS pos, height, round(height - greatest(low_a, low_b), 6) + 0.0::DOUBLE AS prominence FROM base WHERE height - greatest(low_a, low_b) >= 50""",
+        SIG,
+    ),
+)
 def w28(spark, d):
-    return br.find_peaks(sig(spark, d), KEYS, "timestamp", "value", distance=3, min_prominence=50.0)
+    return br.find_peaks(sig(spark, d), KEYS, "timestamp", "value", distance=3, min_prominence=50.0).withColumn("prominence", r6("prominence"))
 
 
 @query("w29_bandpass")

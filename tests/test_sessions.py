@@ -196,6 +196,42 @@ def test_metrics_class_sets(spark):
     assert pd.notna(r["recall_focus"]) and r["recall_focus"] == 0.0
 
 
+def test_next_higher_chunk_equals_a_plain_search(spark):
+    rng = np.random.default_rng(2)
+    chunks = [(k, i, float(rng.integers(0, 40) + 40 * (rng.random() < 0.01)), float(-rng.integers(0, 40))) for k in (1, 2) for i in range(700 if k == 1 else 9)]
+    asked = [(k, int(i), p, float(rng.integers(0, 80)), int(w), 5.0) for p, (k, i, w) in enumerate((k, i, w) for k in (1, 2) for i in rng.integers(0, 700 if k == 1 else 9, 60) for w in (-1, 1))]
+    got = breathing.next_higher(
+        spark.createDataFrame(asked, "k int, _k long, pos long, height double, way int, low double"), spark.createDataFrame(chunks, "k int, id long, hi double, lo double"), ["k"]
+    ).collect()
+    by = {(k, i): (hi, lo) for k, i, hi, lo in chunks}
+    want = []
+    for k, i, p, height, way, low in asked:
+        at = i + way
+        while (k, at) in by and by[k, at][0] <= height:
+            low = min(low, by[k, at][1])
+            at += way
+        want.append((p, low, at if (k, at) in by else None))
+    assert sorted((r.pos, r.low, r["at"]) for r in got) == sorted(want)
+
+
+def test_sessions_stream_through_tasks_whole(spark):
+    rng = np.random.default_rng(6)
+    rows = [(None if k == 3 else k, "é" * (k % 2), float(t), float(v)) for k in range(40) for t, v in enumerate(rng.normal(size=int(rng.integers(1, 60))))]
+    df = spark.createDataFrame(rows, "participant int, session string, timestamp double, v double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = sorted((r.participant or -1, r.timestamp, r.pos, r.height, r.prominence) for r in breathing.find_peaks(df, KEYS, "timestamp", "v", 3).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = []
+    for k in range(40):
+        x = np.array([v for p, _, _, v in rows if p == (None if k == 3 else k)])
+        p = breathing.local_peaks(x)
+        p = p[breathing.by_distance(p, x[p], 3)]
+        want += [(-1 if k == 3 else k or -1, float(i), int(i), float(x[i]), float(q)) for i, q in zip(p, breathing.prominence(x, p), strict=True)]
+    assert got == sorted(want)
+
+
 def test_peaks_do_not_depend_on_chunks(spark):
     rng = np.random.default_rng(12)
     n = 4000
@@ -208,7 +244,7 @@ def test_peaks_do_not_depend_on_chunks(spark):
         left = next((k for k in range(i, -1, -1) if x[k] > x[i]), -1)
         right = next((k for k in range(i, n) if x[k] > x[i]), n)
         assert math.isclose(q, x[i] - max(x[left + 1 : i + 1].min(), x[i:right].min()), abs_tol=1e-9)
-    for rows in (50, 500, 10_000):
+    for rows in (5, 50, 500, 500_000):
         got = breathing.find_peaks(df, KEYS, "timestamp", "v", 25, chunk_rows=rows).orderBy("pos").collect()
         assert [(r["pos"], r["height"], round(r["prominence"], 9)) for r in got] == want
 
