@@ -18,10 +18,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import arrow_batch, slices, texts_of, worker_cache
+from .common import CACHE_LENGTH, CACHE_WORDS, arrow_batch, slices, texts_of, worker_cache
 
-#: Words whose ids a worker remembers before it starts afresh.
-CACHE_WORDS = 300_000
 END = "\n"  # stands for the end-of-word suffix inside automaton keys; the byte alphabet has no newline
 NEVER = 1 << 60
 
@@ -144,9 +142,11 @@ class WordBpe:
             for word in self.words.findall(part.replace("Σ", "σ").lower()):
                 ids = cache.get(word)
                 if ids is None:
-                    if len(cache) >= CACHE_WORDS:
-                        cache.clear()
-                    ids = cache[word] = np.array(self.encode_word(word), dtype="<u4").tobytes()
+                    ids = np.array(self.encode_word(word), dtype="<u4").tobytes()
+                    if len(word) <= CACHE_LENGTH:
+                        if len(cache) >= CACHE_WORDS:
+                            cache.clear()
+                        cache[word] = ids
                 pieces.append(ids)
         return np.frombuffer(b"".join(pieces), dtype="<u4")
 

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionlab.session import cut_lineage
+from sessionlab.session import cut_lineage, release
 
 from .common import arrow_batch, crc32_mod, slices, texts_of
 
@@ -123,6 +123,7 @@ class Corpus:
         payload = raw.where("at < 0").select(F.col("block").alias("of"), "doc_ids", "held", "sizes", "tokens")
         ddl = "of bigint, doc_ids array<bigint>, held array<boolean>, sizes binary, tokens binary, counts binary, keys binary, ids binary"
         self.coded = cut_lineage(payload.groupBy("of").cogroup(found.groupBy("block")).applyInArrow(self._pack, ddl))
+        release(raw, vocabulary)
 
     @staticmethod
     def _pack(payload: pa.Table, entries: pa.Table) -> pa.Table:
@@ -203,7 +204,8 @@ class Corpus:
         self.class_words[: CLASSES + ENDINGS] = self.class_tokens[: CLASSES + ENDINGS] = 0
         for r in found.where("lead").groupBy("class").agg(F.count("*").alias("v"), F.sum("n").alias("n")).collect():
             self.class_words[r["class"]], self.class_tokens[r["class"]] = r["v"], r["n"]
-        self.coded = cut_lineage(self.coded.groupBy("of").cogroup(found.groupBy("block")).applyInArrow(renew, self.coded.schema))
+        older, self.coded = self.coded, cut_lineage(self.coded.groupBy("of").cogroup(found.groupBy("block")).applyInArrow(renew, self.coded.schema))
+        release(older, found)
 
 
 def class_of(keys: np.ndarray, classes: np.ndarray, end_at: int = 0) -> np.ndarray:

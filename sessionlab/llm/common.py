@@ -8,6 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -17,8 +18,10 @@ from sessionlab.session import cut_lineage
 
 #: Rows handled at a time inside an Arrow batch, so that Python copies stay small beside the batch.
 SLICE_ROWS = 256
-#: Words whose hashes a worker remembers before it starts afresh.
-CACHE_WORDS = 300_000
+#: Words that a worker remembers before it starts afresh, and the longest it remembers: together they bound a cache in bytes.
+CACHE_WORDS, CACHE_LENGTH = 300_000, 64
+#: Text bytes handled at a time inside an Arrow batch; a longer text comes alone.
+SLICE_BYTES = 4 << 20
 #: Java and Python form of the word pattern: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -29,9 +32,20 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Parts of at most ``rows`` rows whose ``text`` column, if there is one, holds about SLICE_BYTES at most."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        ends = None
+        if "text" in batch.schema.names:
+            sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(sizes, dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            to = min(at + rows, batch.num_rows)
+            if ends is not None:
+                before = int(ends[at - 1]) if at else 0
+                to = min(to, max(at + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right"))))
+            yield batch.slice(at, to - at)
+            at = to
 
 
 def arrow_batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
@@ -42,15 +56,21 @@ class WordHashes(dict):
     """Word to 64-bit hash; looks like a dict so that ``map(hashes.__getitem__, words)`` runs in C."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= CACHE_LENGTH:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = value
         return value
 
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+#: One for all operators, since a worker serves several of them in turn; ``worker_cache`` empties it when a worker turns to another model.
+WORD_HASHES = WordHashes()
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Bijective scrambling of 64-bit values."""
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
@@ -156,5 +176,6 @@ def worker_cache(store: dict, key, make: Callable):
     """A worker keeps one object per kind; another key replaces it."""
     if key not in store:
         store.clear()
+        WORD_HASHES.clear()
         store[key] = make()
     return store[key]

@@ -22,15 +22,14 @@ from pyspark.sql import functions as F
 
 from sessionlab.session import broadcast_if_small, cut_lineage
 
-from .common import WordHashes, arrow_batch, components, mix64, numbered, slices, texts_of, window_hashes
+from .common import WORD_HASHES, arrow_batch, components, mix64, numbered, slices, texts_of, window_hashes
 
 WORDS, BANDS, ROWS, SMALL, HUBS = 5, 25, 5, 8, 4
-_HASHES = WordHashes()
 
 
 def shingle_set(text: bytes, words: int = WORDS) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct shingles, A-Z in lower case."""
-    return np.unique(window_hashes(_HASHES.of(text.lower().split()), words))
+    return np.unique(window_hashes(WORD_HASHES.of(text.lower().split()), words))
 
 
 def circulant_signatures(sets: list[np.ndarray], bands: int = BANDS, rows: int = ROWS) -> np.ndarray:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, arrow_batch, slices, smallest_hashes, texts_of, window_hashes
+from .common import WORD_HASHES, arrow_batch, slices, smallest_hashes, texts_of, window_hashes
 
 #: Statistics of a document with the sign of their effect on quality: -1 can only lower it, 0 is free.
 FEATURES = {
@@ -26,7 +26,6 @@ SYMBOLS = b"#*$%&|<>"
 DIGITS, UPPERS = b"0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Most labelled rows that the trees are fitted on.
 TRAIN_ROWS = 20_000
-_HASHES = WordHashes()
 
 
 def _count(text: bytes, of: bytes) -> int:
@@ -43,7 +42,7 @@ def statistics(text: bytes) -> tuple[list[int], list[float]]:
     symbols = _count(text, SYMBOLS)
     lines = [x for x in text.split(b"\n") if x.split()]
     dup_lines = len(lines) - len(set(lines))
-    hashes = _HASHES.of(words)
+    hashes = WORD_HASHES.of(words)
     repeated = 0
     if n >= 3:
         _, place, times = np.unique(window_hashes(hashes, 3), return_inverse=True, return_counts=True)

@@ -28,19 +28,18 @@ from pyspark.sql import functions as F
 
 from sessionlab.session import broadcast_if_small, cut_lineage
 
-from .common import WordHashes, arrow_batch, mix64, slices, texts_of, window_hashes
+from .common import WORD_HASHES, arrow_batch, mix64, slices, texts_of, window_hashes
 from .near_dedup import bucket_members, link
 
 WORDS, PARAGRAPH, WINNOW, BANDS, ROWS = 5, 25, 21, 5, 2
 SHINGLES = PARAGRAPH - WORDS + 1
 #: Words of a seed, and seeds in a row of which the smallest hash counts: a run of PARAGRAPH words holds them all.
 SEED, SEED_WINNOW = 16, 10
-_HASHES = WordHashes()
 
 
 def paragraphs(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First words of a text's paragraphs, their shingle hashes and their keys by band."""
-    words = _HASHES.of(text.lower().split())
+    words = WORD_HASHES.of(text.lower().split())
     if len(words) < PARAGRAPH:
         return np.zeros(0, np.int64), np.zeros((0, SHINGLES), np.uint64), np.zeros((0, BANDS), np.uint64)
     h = window_hashes(words, WORDS)
@@ -61,7 +60,7 @@ def paragraphs(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def seeds(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First words of a text's seeds, their keys, and the shingle hashes of the whole text."""
-    words = _HASHES.of(text.lower().split())
+    words = WORD_HASHES.of(text.lower().split())
     if len(words) < PARAGRAPH:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     h = window_hashes(words, WORDS)

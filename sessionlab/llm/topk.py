@@ -6,9 +6,12 @@ are long enough for one of its queries: in a bucket, that score over both length
 candidate must lie in a feasible interval on each of the query's strongest coordinates (sorted per bucket and searched); where it is low, the
 length alone cuts the bucket. What is left is verified by the exact product.
 
-Defined results: vectors that are null, empty, or hold null or non-finite components take no part, nor do rows without an id or with
-a component of 2^20 or more (whose products may not fit 64 bits); vectors of different dimension never meet; a query never meets
-its own row, but meets repeated rows; ties go to the smaller id; fewer than k candidates give fewer rows.
+Products are computed in doubles where these are exact, else in 64-bit integers, else, for very large components, in Python's integers.
+
+Defined results: vectors that are null, empty, or hold null or non-finite components take no part, nor do rows without an id; whole
+numbers beyond 2^62 count as 2^62 with their sign, and scores beyond 2^63 - 1 as that with theirs; vectors of different
+dimension never meet; a query never meets its own row, but meets repeated rows; ties go to the smaller id; fewer than k candidates give
+fewer rows.
 """
 
 from __future__ import annotations
@@ -27,6 +30,9 @@ from .common import arrow_batch
 BUCKET, QUERIES, FOCUS = 4096, 1024, 3
 #: Local cosine above which coordinates prune better than length.
 STEEP = 0.6
+#: Whole numbers stop here, so that they fit 64 bits with room.
+LIMIT = float(1 << 62)
+MOST = 2**63 - 1
 BLOCK = "block bigint, dim int, longest double, shortest double, ids binary, rows binary, vectors binary"
 FOUND = "q_block bigint, query_row bigint, query_id bigint, vec_id bigint, cand_row bigint, score bigint"
 
@@ -34,10 +40,10 @@ FOUND = "q_block bigint, query_row bigint, query_id bigint, vec_id bigint, cand_
 def scaled(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(row, vec_id, v, norm2, dim) of the vectors that take part."""
     x = rows.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("x"), F.monotonically_increasing_id().alias("row"))
-    usable = F.forall("x", lambda c: c.isNotNull() & (F.abs(c) < float(1 << 20)) & ~F.isnan(c))
+    usable = F.forall("x", lambda c: c.isNotNull() & (F.abs(c) < float("inf")) & ~F.isnan(c))
     x = x.where(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & (F.size("x") > 0) & usable)
-    v = x.select("row", "vec_id", F.transform("x", lambda c: F.floor(c * 256).cast("bigint")).alias("v"))
-    return v.select("row", "vec_id", "v", F.aggregate("v", F.lit(0).cast("bigint"), lambda a, c: a + c * c).alias("norm2"), F.size("v").alias("dim"))
+    v = x.select("row", "vec_id", F.transform("x", lambda c: F.floor(F.greatest(F.least(c * 256, F.lit(LIMIT)), F.lit(-LIMIT))).cast("bigint")).alias("v"))
+    return v.select("row", "vec_id", "v", F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double")).alias("norm2"), F.size("v").alias("dim"))
 
 
 def blocks(vectors: DataFrame, size: int) -> DataFrame:
@@ -76,8 +82,8 @@ class Bucket:
         self.v, self.length = v[order], length[order]
         self.ids, self.rows = np.frombuffer(ids, dtype=np.int64)[order], np.frombuffer(rows, dtype=np.int64)[order]
         self.unit = self.v / np.maximum(self.length, 1e-300)[:, None]
-        self.exact = float(np.abs(v).max(initial=0)) ** 2 * dim < 2**53
-        self.numbers = self.v.astype(float) if self.exact else self.v
+        self.largest = float(np.abs(v).max(initial=0))
+        self.numbers = self.v.astype(float)
         self.sorted: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def coordinate(self, f: int):
@@ -90,7 +96,8 @@ class Bucket:
         """Places in the bucket that may score ``least`` or more."""
         if q_length == 0:
             return np.arange(len(self.ids)) if least <= 0 else np.zeros(0, dtype=np.int64)
-        needed = least / q_length - 1e-6
+        needed = least / q_length
+        needed -= abs(needed) * 1e-9 + 1e-6
         end = int(np.searchsorted(-self.length, -needed, side="right")) if needed > 0 else len(self.ids)  # length pruning
         if not end:
             return np.zeros(0, dtype=np.int64)
@@ -114,10 +121,15 @@ class Bucket:
     def top(self, q: np.ndarray, q_row: int, least: float, k: int):
         at = self.candidates(q, float(np.sqrt((q.astype(float) ** 2).sum())), least)
         at = at[self.rows[at] != q_row]
-        if self.exact and float(np.abs(q).max(initial=0)) * float(np.abs(self.numbers).max(initial=0)) * len(q) < 2**53:
-            scores = (self.numbers[at] @ q.astype(float)).astype(np.int64) if len(at) < len(self.ids) // 2 else (self.numbers @ q.astype(float)).astype(np.int64)[at]
-        else:
+        most = float(np.abs(q).max(initial=0)) * self.largest * len(q)
+        if most < 2**53:
+            whole = q.astype(float)
+            scores = (self.numbers[at] @ whole).astype(np.int64) if len(at) < len(self.ids) // 2 else (self.numbers @ whole).astype(np.int64)[at]
+        elif most < 2**62:
             scores = self.v[at] @ q
+        else:
+            exact = self.v[at].astype(object) @ q.astype(object)
+            scores = np.array([min(max(x, -MOST), MOST) for x in exact], dtype=np.int64)
         keep = np.flatnonzero(scores >= least)
         keep = keep[np.lexsort((self.ids[at[keep]], -scores[keep]))[:k]]
         return self.ids[at[keep]], self.rows[at[keep]], scores[keep]
@@ -157,7 +169,7 @@ def top_k(rows: DataFrame, query_rule: str = "vec_id % 50 = 0", k: int = 5, id_c
     ready = cut_lineage(queries.join(per, "q_block", "left"))
     # a bucket is too short for a block if even its longest query doesn't reach the block's lowest floor there
     full = (F.col("n") == F.octet_length("q_rows") / 8) & (F.col("lowest") > 0)
-    reach = F.col("q_longest") * F.col("b_longest") + 1 >= F.when(full, F.col("lowest")).otherwise(F.lit(float("-inf")))
+    reach = F.col("q_longest") * F.col("b_longest") * (1 + 1e-9) + 1 >= F.when(full, F.col("lowest")).otherwise(F.lit(float("-inf")))
     plan = ready.select("dim", "q_block", "q_longest", "lowest", "n", "q_rows").join(buckets.select("dim", "b_block", "b_longest"), "dim").where(reach).select("q_block", "b_block")
     found = _meet(plan.join(ready, "q_block").join(buckets.drop("dim"), "b_block"), k)
     best = W.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id", "cand_row")

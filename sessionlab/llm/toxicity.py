@@ -20,10 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, crc32_mod, slices, smallest_hashes, texts_of, worker_cache
+from .common import CACHE_LENGTH, CACHE_WORDS, arrow_batch, crc32_mod, slices, smallest_hashes, texts_of, worker_cache
 
 BUCKETS, DIM, PASSAGE, GRAMS = 1 << 16, 8, 8, (3, 4, 5)
-CACHE_WORDS = 300_000
 #: Most labelled documents of each class that the model is fitted on.
 TRAIN_PER_CLASS = 3_000
 
@@ -83,6 +82,8 @@ class Model:
             if words:
                 passages = (dict.fromkeys(words[at : at + PASSAGE]) for at in range(0, len(words), PASSAGE))
                 worst[k] = max(sum(map(logit, p)) for p in passages) / PASSAGE
+        for w in [w for w in new if len(w) > CACHE_LENGTH]:
+            del cache[w]
         return 1 / (1 + np.exp(-np.clip(np.array(worst) + self.bias, -30, 30)))
 
 

@@ -7,7 +7,9 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+import xxhash
 from tokenizers import Tokenizer
 
 from sessionlab.llm import bpe, class_lm, common, mixing, near_dedup, substring_dedup, topk
@@ -253,7 +255,7 @@ def test_encoding_equals_the_library_and_round_trips(spark):
     assert bpe.round_trip_digests(df.limit(0), TOKENIZER).count() == 0
 
 
-@pytest.mark.parametrize("spread", ["random", "copies", "lengths"])
+@pytest.mark.parametrize("spread", ["random", "copies", "lengths", "large"])
 def test_top_k_matches_brute_force(spark, monkeypatch, spread):
     monkeypatch.setattr(topk, "BUCKET", 37)
     monkeypatch.setattr(topk, "QUERIES", 4)
@@ -264,19 +266,35 @@ def test_top_k_matches_brute_force(spark, monkeypatch, spread):
     if spread == "lengths":
         v *= np.exp(rng.normal(0, 3, (600, 1)))
         v[:20] = v[20] * np.linspace(0.99, 1.01, 20)[:, None]
+    if spread == "large":
+        v[100:110, 2] = 2.0**21
+        v[200:210, 1] = -(2.0**40)
+        v[300, 0], v[400, 0], v[401, 3] = 2.0**50, 2.0**100, -(2.0**60)
     rows = [(k, [float(np.float32(c)) for c in x], 1) for k, x in enumerate(v)]
     rows += [(700, None, 1), (750, [1.0, None] * 3, 1), (800, [float("nan")] * 6, 1), (850, [float("inf")] * 6, 1), (900, [0.0] * 6, 1), (950, [1.0, 2.0], 1), (951, [1.5, -2.0], 1), (None, [9.0] * 6, 1), (50, rows[50][1], 1), (1000, [], 1)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, score int")
-    fine = [(k, [math.floor(256 * c) for c in x]) for k, x, _ in rows if k is not None and x and all(c is not None and math.isfinite(c) for c in x)]
+    fine = [(k, [min(max(math.floor(256 * c), -(2**62)), 2**62) for c in x]) for k, x, _ in rows if k is not None and x and all(c is not None and math.isfinite(c) for c in x)]
     want = []
     for at, (q, x) in enumerate(fine):
         if q % 50 == 0:
-            best = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), k) for other, (k, y) in enumerate(fine) if other != at and len(y) == len(x))[:5]
+            best = sorted((-min(max(sum(a * b for a, b in zip(x, y, strict=True)), 1 - 2**63), 2**63 - 1), k) for other, (k, y) in enumerate(fine) if other != at and len(y) == len(x))[:5]
             want += [(q, n + 1, k, -s) for n, (s, k) in enumerate(best)]
     assert sorted(tuple(r) for r in topk.top_k(df).collect()) == sorted(want)
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_memory_held_by_workers_is_bounded_in_bytes():
+    hashes = common.WordHashes()
+    words = [b"w%d" % k + b"x" * 5000 for k in range(200)]
+    assert hashes.of(words).tolist() == [xxhash.xxh3_64_intdigest(w) for w in words] and not hashes
+    texts = ["a" * 10, None, "b" * 6_000_000, "", "c" * 3_000_000, "d" * 3_000_000, *["e"] * 600]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    parts = list(common.slices([batch.slice(1)]))
+    assert pa.Table.from_batches(parts).column("doc_id").to_pylist() == list(range(1, len(texts)))
+    assert [p.num_rows for p in parts[:2]] == [1, 1] and max(p.num_rows for p in parts) <= 256
+    assert all(p.num_rows == 1 or sum(len(t or "") for t in p.column("text").to_pylist()) <= common.SLICE_BYTES for p in parts)
+
+
 def test_scores_match_counts_and_probabilities_sum_to_one(spark, monkeypatch):
     monkeypatch.setattr(class_lm, "BLOCK_TOKENS", 400)
     monkeypatch.setattr(class_lm, "STEP_TOKENS", 150)
