@@ -18,8 +18,8 @@ from ..operators import search as se
 from ..operators import windows as wn
 from ..operators.neighbours import as_vector
 from ..session import cut_lineage
-from ..streaming import live
-from .bindings import HOUR, KEYS, SIG, VEC, r6, sig, sql, table, vec
+from ..streaming import live, ordered
+from .bindings import HOUR, KEYS, ORIGIN, SIG, VEC, r6, sig, sql, table, vec
 from .model_queries import _centroids
 from .profile_queries import scratch
 from .registry import query
@@ -350,6 +350,58 @@ def x04(spark, d):
     return _run(spark, live.marker_intervals_stream(s, LABELS, KEYS, "timestamp", "marker", "event_id", "ts", ttl="30 days"), "x04")
 
 
+def _late_stream(spark, d, name: str) -> DataFrame:
+    """The events as a stream of four batches whose rows arrive up to six hours out of order, and a closing row that moves the watermark past them."""
+    root = scratch(spark, name)
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).select("user_id", "ts", "value", "event_type", "event_id")
+    arrival = F.unix_seconds("ts") + F.pmod(F.hash("event_id"), F.lit(6 * 3600))
+    span = e.agg(F.min(arrival).alias("a"), F.max(arrival).alias("b")).first()
+    part = F.floor((arrival - span["a"]) * 4 / (span["b"] - span["a"] + 1))
+    for k in range(4):
+        e.where(part == k).coalesce(1).write.parquet(f"{root}/in/b{k}")
+    closing = e.agg(F.max("ts").alias("ts")).select(F.lit(-1).cast("bigint").alias("user_id"), (F.col("ts") + F.expr("interval 40 days")).alias("ts"), F.lit(0.0).alias("value"), F.lit("view").alias("event_type"), F.lit(-1).cast("bigint").alias("event_id"))
+    closing.write.parquet(f"{root}/in/b4")
+    raw = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{root}/in")
+    return raw.select(F.col("user_id").alias("participant"), F.floor((F.dayofmonth("ts") - 1) / 11).cast("int").alias("session"), "ts", "value", "event_type", "event_id")
+
+
+def _run_rocksdb(spark, make, name: str) -> DataFrame:
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    ordered.use_rocksdb(spark)
+    try:
+        return _run(spark, make(), name).where("participant <> -1")
+    finally:
+        spark.conf.set(key, before)
+
+
+@query(
+    "x01_majority_in_event_order",
+    sql(
+        """SELECT participant, session, event_id, CAST(avg(CASE WHEN value > 40 THEN 1.0::DOUBLE ELSE 0 END) OVER (PARTITION BY participant, session ORDER BY timestamp, event_id
+ ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) > 0.5 AS INTEGER) AS smoothed FROM sig""",
+        SIG,
+    ),
+)
+def x01b(spark, d):
+    def make():
+        s = _late_stream(spark, d, "x01_late").withColumn("hit", (F.col("value") > 40).cast("int"))
+        return ordered.smooth_majority(s, KEYS, "event_id", "hit", 5, "ts", ttl="100 days", lateness="7 hours")
+
+    return _run_rocksdb(spark, make, "x01_ordered")
+
+
+@query("x04_intervals_in_event_order", sql("SELECT participant, session, start + t0 AS start, \"end\" + t0 AS \"end\", label, ord FROM iv", MARKERS, INTERVALS))
+def x04b(spark, d):
+    def make():
+        t = F.col("event_type")
+        name = F.when(t == "signup", "start_activity").when(t == "purchase", "end_activity").when(t == "view", "start_fatigue").when(t == "error", "end_fatigue").otherwise("tick")
+        s = _late_stream(spark, d, "x04_late").withColumn("marker", name)
+        return ordered.marker_intervals(s, LABELS, KEYS, "marker", "event_id", "ts", ttl="100 days", lateness="7 hours", origin_ms=ORIGIN)
+
+    return _run_rocksdb(spark, make, "x04_ordered")
+
+
 @query("x05_dedup_stream", sql("SELECT DISTINCT participant, session, CAST(timestamp AS DOUBLE) AS timestamp FROM sig", SIG))
 def x05(spark, d):
     s = _stream(spark, d)
