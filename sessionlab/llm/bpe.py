@@ -96,7 +96,7 @@ class WordBpe:
         k = a << 17 | b
         got = self.pairs.get(k)
         if got is None:
-            if len(self.pairs) >= 4 * CACHE_WORDS:
+            if len(self.pairs) >= 2 * CACHE_WORDS:
                 self.pairs.clear()
             got = self.pairs[k] = self._stable(a, b)
         return got

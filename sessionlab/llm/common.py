@@ -19,7 +19,7 @@ from sessionlab.session import cut_lineage
 #: Rows handled at a time inside an Arrow batch, so that Python copies stay small beside the batch.
 SLICE_ROWS = 256
 #: Words that a worker remembers before it starts afresh, and the longest it remembers: together they bound a cache in bytes.
-CACHE_WORDS, CACHE_LENGTH = 300_000, 64
+CACHE_WORDS, CACHE_LENGTH = 200_000, 64
 #: Text bytes handled at a time inside an Arrow batch; a longer text comes alone.
 SLICE_BYTES = 4 << 20
 #: Java and Python form of the word pattern: runs of anything but ASCII white space.
