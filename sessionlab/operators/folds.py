@@ -18,8 +18,15 @@ from .readout import with_features
 from .windows import window_stats
 
 
+def balanced_rows(rows: DataFrame, keys: Sequence[str], id_col: str, time: str, signals: Sequence[str], label: str, unlabelled: int = -1) -> DataFrame:
+    """Labelled rows with oversampled ones, told apart by ``_tie``; written once."""
+    known = rows.where(F.col(label) != unlabelled)
+    return cut_lineage(smote(known, keys, signals, label, id_col, time).withColumn("_tie", F.monotonically_increasing_id()))
+
+
 def evaluation_windows(
-    rows: DataFrame, keys: Sequence[str], id_col: str, time: str, signals: Sequence[str], label: str, size: int, step: int, unlabelled: int = -1
+    rows: DataFrame, keys: Sequence[str], id_col: str, time: str, signals: Sequence[str], label: str, size: int, step: int, unlabelled: int = -1,
+    balanced: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(training, test, unlabelled) window statistics, each written once for all folds.
 
@@ -27,8 +34,7 @@ def evaluation_windows(
     from the rows as they are.
     """
     known = rows.where(F.col(label) != unlabelled)
-    balanced = smote(known, keys, signals, label, id_col, time).withColumn("_tie", F.monotonically_increasing_id())
-    balanced = cut_lineage(balanced)
+    balanced = balanced_rows(rows, keys, id_col, time, signals, label, unlabelled) if balanced is None else balanced
     train = window_stats(balanced, keys, [time, "_tie"], signals, size, step, label=label)
     test = window_stats(known, keys, [time, id_col], signals, size, step, label=label)
     open_rows = rows.where(F.col(label) == unlabelled)
@@ -36,20 +42,39 @@ def evaluation_windows(
     return cut_lineage(train), cut_lineage(test), cut_lineage(unknown.withColumn(label, F.lit(None).cast(rows.schema[label].dataType)))
 
 
+def scaled_windows(windows: DataFrame, scaler: dict[str, tuple[float, float]], features: Sequence[str]) -> DataFrame:
+    """Window statistics as if the rows had been scaled before: (x - center) / scale, for deviations x / scale.
+
+    ``features`` are named <signal>_<statistic>; a scaler is positive, so order statistics keep their rows.
+    """
+    out = {}
+    for name in features:
+        signal, stat = name.rsplit("_", 1)
+        center, scale = scaler.get(signal, (0.0, 1.0))
+        out[name] = F.col(name) / F.lit(scale) if stat == "std" else (F.col(name) - F.lit(center)) / F.lit(scale)
+    return windows.withColumns(out)
+
+
 def run_folds(
     windows: tuple[DataFrame, DataFrame, DataFrame], fold: str, folds: Sequence, features: Sequence[str], label: str, estimator,
-    threshold: float = PSEUDO_LABEL_MIN, parallelism: int = 4,
+    threshold: float = PSEUDO_LABEL_MIN, parallelism: int = 4, scalers: DataFrame | None = None, exclude_test_session: bool = False,
 ) -> DataFrame:
     """Per left-out fold: scores of the refitted model, with the numbers of training, test and pseudo-labelled windows.
 
     A fold is fitted on the balanced windows of the others with class weights; unlabelled windows whose top probability is above the
     threshold join under their predicted class, weights follow, and the model is fitted again. Folds without a test window
-    are left out.
+    are left out. ``scalers`` (fold, column, center, scale; see ``robust_fit_folds``) scale a fold's windows by what its training rows say.
+    With ``exclude_test_session`` the unlabelled windows of the left-out fold don't become pseudo-labels.
     """
-    train_all, test_all, unknown = (w.withColumn("_v", as_vector(features)).select(fold, "_v", label) for w in windows)
+    # a scaler per fold and signal: of the evaluation's size, whatever the rows
+    known = {} if scalers is None else {(r[fold], r["column"]): (r["center"], r["scale"]) for r in scalers.where(F.col(fold).isin(list(folds))).collect()}
 
     def one(value):
+        own = {column: v for (of, column), v in known.items() if of == value}
+        vectors = [scaled_windows(w, own, features) if own else w for w in windows]
+        train_all, test_all, unknown = (w.withColumn("_v", as_vector(features)).select(fold, "_v", label) for w in vectors)
         train, test = train_all.where(F.col(fold) != F.lit(value)), test_all.where(F.col(fold) == F.lit(value))
+        unknown = unknown.where(F.col(fold) != F.lit(value)) if exclude_test_session else unknown
         first = estimator.fit(with_features(train, "_v", label))
         guess = first.transform(with_features(unknown.withColumn(label, F.lit(0)), "_v", label, weight=False))
         accepted = pseudo_label(guess.withColumn("_p", vector_to_array("probability")), "_p", threshold)

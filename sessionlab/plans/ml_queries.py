@@ -14,6 +14,7 @@ from ..operators import folds as fo
 from ..operators import joins as jn
 from ..operators import linear as ln
 from ..operators import readout as ro
+from ..operators import scale as sc
 from ..operators import search as se
 from ..operators import windows as wn
 from ..operators.neighbours import as_vector
@@ -141,6 +142,18 @@ def m13c(spark, d):
     return _folds(spark, d)
 
 
+@query("m13_fold_pipeline_scaled")
+def m13e(spark, d):
+    """Scaled by each fold's balanced training rows; unlabelled windows of the left-out fold stay out."""
+    rows = sig(spark, d).select(*KEYS, "timestamp", "value", "label", "event_id")
+    balanced = fo.balanced_rows(rows, KEYS, "event_id", "timestamp", ["value"], "label")
+    fold = (F.col("participant") % 3).cast("int")
+    windows = fo.evaluation_windows(rows, KEYS, "event_id", "timestamp", ["value"], "label", 8, 4, balanced=balanced)
+    scalers = sc.robust_fit_folds(balanced.withColumn("fold", fold), ["fold"], ["value"])
+    names = [f"value_{s}" for s in ("mean", "std", "min", "max", "median")]
+    return fo.run_folds(tuple(w.withColumn("fold", fold) for w in windows), "fold", [0, 1, 2], names, "label", ro.random_forest(5, 4), threshold=0.35, scalers=scalers, exclude_test_session=True)
+
+
 @query(
     "m13_fold_windows",
     sql(
