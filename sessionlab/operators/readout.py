@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
@@ -119,8 +119,8 @@ def reservoir_features(
 ) -> DataFrame:
     """Leaky tanh reservoir over each window's sequence of vectors and the summary of its states.
 
-    Weights are broadcast; the recurrence runs for all windows of an Arrow batch at once.  Several
-    sensors: call once per sequence column and concatenate.
+    Weights are broadcast; the recurrence runs for all windows of an Arrow batch at once.  For several
+    sensors see ``sensor_reservoirs``.
     """
     shared = df.sparkSession.sparkContext.broadcast(reservoir_weights(n_in, units, sparsity, radius, input_scaling, seed))
     keep = [c for c in df.columns if c != seq]
@@ -151,6 +151,61 @@ def reservoir_features(
     return df.select(*keep, seq).mapInPandas(run, schema)
 
 
+def sensor_reservoirs(
+    df: DataFrame, sensors: Mapping[str, int], units: int = 50, leak: float = 0.3, sparsity: float = 0.9, radius: float = 0.9, input_scaling: float = 1.0,
+    washout: int = 0, summary: str = "last_mean_std", seed: int = 42, out: str = "features", cells: int = 1 << 21,
+) -> DataFrame:
+    """One reservoir a sensor, their summaries concatenated in the order of ``sensors`` (sequence column to number of inputs).
+
+    Sensors run at their own rates, so their sequences differ in length; windows of like length share a padded batch of at most ``cells``
+    values, in which a mask ends each window where its sequence ends. A sensor that a window lacks (null or empty) gives zeros and a 1
+    in ``missing``. Sensor k has the weights of seed + k.
+    """
+    weights = [reservoir_weights(n, units, sparsity, radius, input_scaling, seed + k) for k, n in enumerate(sensors.values())]
+    shared = df.sparkSession.sparkContext.broadcast(weights)
+    keep = [c for c in df.columns if c not in sensors]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema) + f", {out} array<double>, missing array<int>"
+    columns = list(sensors.items())
+
+    def states(seqs: list, n_in: int, w_in: np.ndarray, w: np.ndarray) -> np.ndarray:
+        lengths = np.array([len(s) for s in seqs])
+        longest = int(lengths.max())
+        u = np.zeros((len(seqs), longest, n_in))
+        for k, s in enumerate(seqs):
+            u[k, : len(s)] = np.array([list(v) for v in s], dtype=float)
+        skip = np.where(washout < lengths, washout, lengths - 1)
+        x = np.zeros((len(seqs), units))
+        total, square = np.zeros_like(x), np.zeros_like(x)
+        for t in range(longest):
+            on = t < lengths
+            x = np.where(on[:, None], (1 - leak) * x + leak * np.tanh(u[:, t] @ w_in.T + x @ w.T), x)
+            counted = (on & (t >= skip))[:, None]
+            total, square = total + counted * x, square + counted * x * x
+        mean = total / (lengths - skip)[:, None]
+        parts = {"last": [x], "last_mean": [x, mean], "last_mean_std": [x, mean, np.sqrt(np.maximum(square / (lengths - skip)[:, None] - mean**2, 0.0))]}[summary]
+        return np.hstack(parts)
+
+    def run(batches):
+        width = units * {"last": 1, "last_mean": 2, "last_mean_std": 3}[summary]
+        for pdf in batches:
+            whole, missing = np.zeros((len(pdf), len(columns) * width)), np.ones((len(pdf), len(columns)), dtype=int)
+            for k, (name, n_in) in enumerate(columns):
+                seqs = pdf[name].tolist()
+                there = sorted((i for i, s in enumerate(seqs) if s is not None and len(s)), key=lambda i: len(seqs[i]))
+                missing[there, k] = 0
+                at = 0
+                while at < len(there):
+                    to = at + 1
+                    while to < len(there) and (to + 1 - at) * len(seqs[there[to]]) * (n_in + units) <= cells:
+                        to += 1
+                    some = there[at:to]
+                    whole[some, k * width : (k + 1) * width] = states([seqs[i] for i in some], n_in, *shared.value[k])
+                    at = to
+            yield pdf[keep].assign(**{out: whole.tolist(), "missing": missing.tolist()})
+
+    return df.select(*keep, *sensors).mapInPandas(run, schema)
+
+
 # ---------------------------------------------------------------- tree models, cross-validation, tuning
 class MacroF1(Evaluator):
     """Macro F1 over classes of truth or prediction (Spark's own f1 is weighted by support)."""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -265,6 +265,19 @@ def m25(spark, d):
     return out.select(*KEYS, "window_id", "label", F.transform("features", lambda x: F.round(x, 6)).alias("features"))
 
 
+@query("m25_sensor_reservoirs")
+def m25b(spark, d):
+    """Windows of a session's views, clicks and purchases by row number, each event type a sensor with a length of its own."""
+    s = sig(spark, d).withColumn("value", F.col("value") / 100)
+    rank = F.row_number().over(Window.partitionBy(*KEYS).orderBy(*ORDER))
+    kept = lambda kind: F.sort_array(F.collect_list(F.when(F.col("event_type") == kind, F.struct("rn", F.array("value").alias("v")))))
+    kinds = ("view", "click", "purchase")
+    w = s.withColumn("rn", rank).groupBy(*KEYS, F.expr("(rn - 1) div 8").alias("window_id")).agg(*[kept(k).alias(k) for k in kinds])
+    w = w.select(*KEYS, "window_id", *[F.col(f"{k}.v").alias(k) for k in kinds])
+    out = ro.sensor_reservoirs(w, {k: 1 for k in kinds}, units=8, washout=1)
+    return out.select(*KEYS, "window_id", "missing", F.transform("features", lambda x: F.round(x, 6)).alias("features"))
+
+
 @query("m29_kernel_vote")
 def m29(spark, d):
     v = vec(spark, d)
