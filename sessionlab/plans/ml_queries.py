@@ -280,10 +280,14 @@ def m25b(spark, d):
 
 @query("m29_kernel_vote")
 def m29(spark, d):
-    v = vec(spark, d)
-    _, marks = _centroids(v.where("session <> 0"))
-    k = jn.landmark_kernel(v, "vec", marks)
-    out = ro.kernel_vote(k.where("session <> 0"), k.where("session = 0"), "label", "vec_id")
+    """Every session's vectors by the landmarks and class means of the other sessions."""
+    v = cut_lineage(vec(spark, d))
+    out = None
+    for fold in range(5):
+        _, marks = _centroids(v.where(F.col("session") != fold))
+        k = cut_lineage(jn.landmark_kernel(v, "vec", marks))
+        part = ro.kernel_vote(k.where(F.col("session") != fold), k.where(F.col("session") == fold), "label", "vec_id")
+        out = part if out is None else out.unionByName(part)
     return out
 
 
