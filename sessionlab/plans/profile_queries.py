@@ -52,15 +52,9 @@ def _write_tree(spark, d, root):
         ("wrist_ibi", s.where("event_type = 'view'").select(*KEYS, F.col("timestamp").alias("Timestamp"), F.col("value").alias(" duration"))),
         ("exp_markers", markers(spark, d).select(*KEYS, F.col("timestamp").alias("utcTime"), F.col("marker").alias("eventMarker"))),
     ):
-        flat = f"{root}/{stem}-files"
-        rows.repartition(*KEYS).sortWithinPartitions(*KEYS, rows.columns[2]).write.partitionBy(*KEYS).option("header", True).csv(flat)
-        fs = spark._jvm.org.apache.hadoop.fs.Path(flat).getFileSystem(spark._jsc.hadoopConfiguration())
-        path = spark._jvm.org.apache.hadoop.fs.Path
-        for i, f in enumerate(fs.globStatus(path(f"{flat}/*/*/*.csv"))):
-            p, s_ = (x.split("=")[1] for x in f.getPath().toString().split("/")[-3:-1])
-            fs.mkdirs(path(f"{root}/tree/{p}/{s_}"))
-            fs.rename(f.getPath(), path(f"{root}/tree/{p}/{s_}/{stem}.csv" if stem == "exp_markers" else f"{root}/tree/{p}/{s_}/{stem}_{i}.csv"))
-    return f"{root}/tree"
+        dealt = rows.repartition(*KEYS).sortWithinPartitions(*KEYS, rows.columns[2])
+        dealt.withColumn("file", F.lit(stem)).write.mode("append").partitionBy(*KEYS, "file").option("header", True).csv(root)
+    return root
 
 
 @query(
