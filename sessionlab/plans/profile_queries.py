@@ -12,9 +12,10 @@ from ..operators import profile as pf
 from ..operators import sets as st
 from ..operators import timeseries as ts
 from ..operators import windows as wn
+from ..operators.comoments import corr_matrix_wide
 from ..session import ensure_checkpoint_dir
 from ..sources import sessions as src
-from ..sources import sinks
+from ..sources import sinks, store
 from .bindings import DUPES, HOUR, KEYS, MARKERS, NULLABLE, PRED, SIG, dupes, markers, nullable, pred, r6, sensor, sig, sql, table
 from .registry import query
 from .time_queries import BOUNDS, INTERVALS, LABELS, ORDER, ROWS, TWIN, _interval_table, _wins
@@ -187,16 +188,15 @@ def s06(spark, d):
     return back.select(F.col("participant").cast("long").alias("participant"), "session", "timestamp", "value", "label")
 
 
-@query(
-    "s07_upsert_metrics",
-    sql(
-        """SELECT 'A' AS model, fold, CAST(avg(CASE WHEN y = p THEN 1.0 ELSE 0.0 END) AS DOUBLE) AS f1_macro FROM pred GROUP BY fold
+METRICS_SQL = sql(
+    """SELECT 'A' AS model, fold, CAST(avg(CASE WHEN y = p THEN 1.0 ELSE 0.0 END) AS DOUBLE) AS f1_macro FROM pred GROUP BY fold
 UNION ALL SELECT 'B', fold, 1.0 - CAST(avg(CASE WHEN y = p THEN 1.0 ELSE 0.0 END) AS DOUBLE) FROM pred GROUP BY fold""",
-        PRED,
-    ),
+    PRED,
 )
-def s07(spark, d):
-    store = scratch(spark, "metrics")
+
+
+def _metric_documents(spark, d):
+    """Documents of models A (first version), B and A (second version)."""
     acc = pred(spark, d).groupBy("fold").agg(F.avg(F.when(F.col("y") == F.col("p"), 1.0).otherwise(0.0)).alias("f1"))
 
     def doc(model, score):
@@ -209,10 +209,24 @@ def s07(spark, d):
             F.create_map(F.lit("alpha"), F.lit("1")).alias("params"), "folds", F.lit(model).alias("model"),
         )
 
-    sinks.upsert_metrics(store, doc("A", F.lit(0.0) * F.col("f1")))
-    sinks.upsert_metrics(store, doc("B", 1 - F.col("f1")))
-    sinks.upsert_metrics(store, doc("A", F.col("f1")))
-    out = sinks.read_metrics(spark, store).select("model", F.explode("folds").alias("f"))
+    return doc("A", F.lit(0.0) * F.col("f1")), doc("B", 1 - F.col("f1")), doc("A", F.col("f1"))
+
+
+@query("s07_upsert_metrics", METRICS_SQL)
+def s07(spark, d):
+    path = scratch(spark, "metrics")
+    for doc in _metric_documents(spark, d):
+        sinks.upsert_metrics(path, doc)
+    out = sinks.read_metrics(spark, path).select("model", F.explode("folds").alias("f"))
+    return out.select("model", "f.fold", "f.f1_macro")
+
+
+@query("s07_document_store", METRICS_SQL)
+def s07_store(spark, d):
+    path = scratch(spark, "documents")
+    for doc, model, version in zip(_metric_documents(spark, d), "ABA", (0, 0, 1), strict=True):
+        store.upsert(doc, path, "model", {model: version})
+    out = store.read(spark, path, "model", sinks.METRICS_SCHEMA).select("model", F.explode("folds").alias("f"))
     return out.select("model", "f.fold", "f.f1_macro")
 
 
@@ -600,6 +614,20 @@ def a10(spark, d):
     return pf.corr_matrix(_qa(spark, d), QA).withColumn("r", F.col("r") + F.lit(0.0))
 
 
+@query(
+    "a10_correlation_wide",
+    """WITH lng AS (SELECT vec_id, j, CAST(embedding[j + 1] AS DOUBLE) AS v FROM (SELECT vec_id, embedding, unnest(range(0, len(embedding))) AS j FROM embeddings)
+ WHERE (vec_id + j) % 5 <> 0)
+SELECT concat('e', x.j) AS a, concat('e', y.j) AS b, round(corr(x.v, y.v), 3) + 0.0::DOUBLE AS r FROM lng x JOIN lng y USING (vec_id) WHERE y.j < x.j GROUP BY x.j, y.j""",
+)
+def a10_wide(spark, d):
+    e = table(spark, d, "embeddings")
+    width = e.agg(F.max(F.size("embedding"))).first()[0] or 0
+    cols = [f"e{j}" for j in range(width)]
+    wide = e.select(*[F.when((F.col("vec_id") + j) % 5 != 0, F.get("embedding", F.lit(j))).alias(c) for j, c in enumerate(cols)])
+    return corr_matrix_wide(wide, cols).withColumn("r", F.col("r") + F.lit(0.0))
+
+
 @query(
     "a11_stats_by_label",
     sql(

@@ -11,6 +11,7 @@ from ..operators import breathing as br
 from ..operators import timeseries as ts
 from ..operators import windows as wn
 from ..operators.ordered import scan, steps
+from ..operators.sliding import sliding_medians
 from ..session import cut_lineage
 from .bindings import HOUR, KEYS, MARKERS, NULLABLE, SIG, markers, nullable, r6, sensor, sig, sql
 from .registry import query
@@ -414,6 +415,17 @@ def w25(spark, d):
     return out.withColumns({"value_mean": r6("value_mean"), "value_std": r6("value_std")})
 
 
+@query(
+    "w25_sliding_medians",
+    sql(
+        """SELECT participant, session, window_id, min(timestamp) AS start, round(median(value), 6) AS value_median FROM win GROUP BY participant, session, window_id""",
+        NULLABLE, ROWS.replace("FROM sig", "FROM nul"), _wins(16, 2),
+    ),
+)
+def w25_medians(spark, d):
+    return sliding_medians(nullable(spark, d), KEYS, ORDER, ["value"], 16, 2).withColumn("value_median", r6("value_median"))
+
+
 PEAKS = """pk AS (SELECT * FROM (SELECT participant, session, window_id, rn, value, rn - window_id * 8 AS i, lag(value, 1) OVER w AS a1, lag(value, 2) OVER w AS a2,
  lead(value, 1) OVER w AS b1, lead(value, 2) OVER w AS b2, avg(value) OVER v + 0.3::DOUBLE * (max(value) OVER v - avg(value) OVER v) AS th FROM win
  WINDOW w AS (PARTITION BY participant, session, window_id ORDER BY rn), v AS (PARTITION BY participant, session, window_id))
