@@ -12,6 +12,7 @@ from ..operators import evaluate as ev
 from ..operators import joins as jn
 from ..operators import profile as pf
 from ..operators import scale as sc
+from ..operators import sketches
 from ..operators import sets as st
 from ..operators import timeseries as ts
 from ..operators import windows as wn
@@ -387,6 +388,11 @@ def m03(spark, d):
     return sc.robust_fit_folds(sig(spark, d), KEYS, ["value"]).withColumns({"center": r6("center"), "scale": r6("scale")})
 
 
+@query("m03_sketched_folds")
+def m03_sketched(spark, d):
+    return sketches.robust_fit_folds(sketches.sketch(sig(spark, d), KEYS, ["value"]), KEYS).withColumns({"center": r6("center"), "scale": r6("scale")})
+
+
 @query(
     "m03_moments_folds",
     sql(
