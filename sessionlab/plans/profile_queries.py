@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import functions as F
 
+from ..constants import MARKER_FILE
 from ..dataset import build_dataset
 from ..operators import encode as en
 from ..operators import profile as pf
@@ -15,7 +17,7 @@ from ..operators import windows as wn
 from ..operators.comoments import corr_matrix_wide
 from ..session import ensure_checkpoint_dir
 from ..sources import sessions as src
-from ..sources import sinks, store
+from ..sources import sinks, store, tree
 from .bindings import DUPES, HOUR, KEYS, MARKERS, NULLABLE, PRED, SIG, dupes, markers, nullable, pred, r6, sensor, sig, sql, table
 from .registry import query
 from .time_queries import BOUNDS, INTERVALS, LABELS, ORDER, ROWS, TWIN, _interval_table, _wins
@@ -165,6 +167,16 @@ def s04(spark, d):
     return src.read_markers(spark, _tree(spark, d)).drop("pos")
 
 
+@query("s04_stream_markers", sql("SELECT CAST(participant AS VARCHAR) AS participant, CAST(session AS VARCHAR) AS session, timestamp, marker FROM markers", MARKERS))
+def s04_stream(spark, d):
+    root, out, done = _tree(spark, d), scratch(spark, "markers"), scratch(spark, "progress")
+    time.sleep(1.5 * tree.SETTLE / 1e9)  # files that were written just now are not at rest yet
+    new = tree.new_rows(spark, root, MARKER_FILE, ["utctime", "eventmarker"], True)
+    rows = new.select(*KEYS, F.col("c_utctime").cast("double").alias("timestamp"), F.col("c_eventmarker").alias("marker"))
+    rows.writeStream.format("parquet").option("checkpointLocation", done).trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.schema(rows.schema).parquet(out)
+
+
 @query(
     "s05_read_metadata",
     "SELECT CASE WHEN c_custkey < 10 THEN lpad(CAST(c_custkey AS VARCHAR), 2, '0') ELSE CAST(c_custkey AS VARCHAR) END AS participant, c_acctbal AS balance, "
