@@ -111,15 +111,17 @@ def soft_label_report(df: DataFrame, truth: str, probs: Sequence[str]) -> DataFr
 def signed_ranks(df: DataFrame, a: str, b: str) -> DataFrame:
     """W+, W-, W, number of pairs and tie correction of the Wilcoxon signed-rank test.
 
-    Ranks come from counts per distinct difference and a running sum, so ties and size do not matter.
+    Ranks come from counts per distinct difference and a running sum, so ties and size do not matter. The tie correction grows with the
+    cube of the counts: it is an exact decimal, since from 2 097 152 pairs on a long may not hold it.
     """
     d = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select((F.col(a) - F.col(b)).alias("d")).where("d <> 0")
     g = d.groupBy(F.abs("d").alias("m")).agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col("d") > 0).alias("pos")).withColumn("_k", F.lit(1))
     g = scan(g, ["_k"], ["m"], {"cum": ("cumsum", "c")})
     rank = F.col("cum") - F.col("c") + (F.col("c") + 1) / 2.0
+    c = F.col("c").cast("decimal(12,0)")  # a cube of it has 38 digits at most
     r = g.agg(
         F.sum(rank * F.col("pos")).alias("w_plus"), F.sum(rank * (F.col("c") - F.col("pos"))).alias("w_minus"), F.sum("c").alias("n"),
-        F.sum(F.col("c") * F.col("c") * F.col("c") - F.col("c")).alias("ties"),
+        F.sum((c * c).cast("decimal(24,0)") * c - F.col("c")).cast("decimal(38,0)").alias("ties"),
     )
     return r.withColumn("w", F.least("w_plus", "w_minus"))
 

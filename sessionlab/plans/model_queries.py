@@ -16,6 +16,7 @@ from ..operators import sketches
 from ..operators import sets as st
 from ..operators import timeseries as ts
 from ..operators import windows as wn
+from ..session import cut_lineage
 from .bindings import HOUR, KEYS, MARKERS, NULLABLE, PRED, SIG, VEC, nullable, pred, r6, sensor, sig, sql, table, vec
 from .registry import query
 from .time_queries import BOUNDS, INTERVALS, LABELS, ORDER, ROWS, TWIN, _bounds, _interval_table, _intervals, _wins
@@ -703,7 +704,9 @@ def _pairs(spark, d):
 SELECT sum(rk * pos) AS w_plus, sum(rk * (c - pos)) AS w_minus, CAST(sum(c) AS BIGINT) AS n, CAST(sum(c * c * c - c) AS BIGINT) AS ties, least(sum(rk * pos), sum(rk * (c - pos))) AS w FROM r""",
 )
 def m27(spark, d):
-    return ev.signed_ranks(_pairs(spark, d), "a", "b")
+    """The tie correction as a bigint as long as it fits, as an exact decimal(38,0) beyond, where the SQL's own bigint overflows."""
+    out = cut_lineage(ev.signed_ranks(_pairs(spark, d), "a", "b"))
+    return out if (out.first()["ties"] or 0) >= 2**63 else out.withColumn("ties", F.col("ties").cast("bigint"))
 
 
 @query("m27_wilcoxon")

@@ -10,3 +10,11 @@ def test_a_table_whose_files_are_small_but_whose_rows_are_many_is_not_broadcast(
     hint = "ResolvedHint (strategy=broadcast)"
     assert hint not in broadcast_if_small(cut_lineage(keys))._jdf.queryExecution().analyzed().toString()
     assert hint in broadcast_if_small(cut_lineage(keys.limit(1000)))._jdf.queryExecution().analyzed().toString()
+
+def test_tie_corrections_beyond_a_long(spark):
+    from sessionlab.operators.evaluate import signed_ranks, wilcoxon
+
+    pairs = spark.range(3_200_000).select(F.lit(2.0).alias("a"), F.when(F.col("id") % 8 == 0, 1.0).otherwise(3.0).alias("b"))
+    assert int(signed_ranks(pairs, "a", "b").first()["ties"]) == 3_200_000**3 - 3_200_000
+    row = wilcoxon(pairs, "a", "b").first()
+    assert row["n"] == 3_200_000 and row["ties"] == float(3_200_000**3 - 3_200_000) and row["p"] == 0.0
