@@ -9,13 +9,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of a first key that one file takes before its rows are dealt to several.
+ROWS_PER_FILE = 1_000_000
+
+
 def write_dataset(df: DataFrame, path: str, keys: Sequence[str], features: Sequence[str], label: str, fmt: str = "parquet", files: int = 8) -> None:
-    """Keys, features and label in fixed order, partitioned by the first key with at most ``files`` files each, however many tasks write."""
+    """Keys, features and label in fixed order, partitioned by the first key with at most ``files`` files each, however many tasks write.
+
+    Only keys of more than ``ROWS_PER_FILE`` rows have several files, so their number follows keys and rows.
+    """
     out = df.select(*keys, *features, label)
     if fmt == "csv":
         out.write.mode("overwrite").option("header", True).csv(path)
     else:
-        dealt = out.repartition(keys[0], F.pmod(F.xxhash64(*keys), F.lit(files)))
+        first, share = f"_{keys[0]}_of", f"_{keys[0]}_share"
+        sizes = out.groupBy(F.col(keys[0]).alias(first)).agg(F.count(F.lit(1)).alias(share)).where(F.col(share) > ROWS_PER_FILE)
+        split = F.when(F.col(share).isNotNull(), F.pmod(F.xxhash64(*keys), F.least(F.lit(files), F.ceil(F.col(share) / ROWS_PER_FILE))))
+        # one row for ROWS_PER_FILE rows at most
+        dealt = out.join(F.broadcast(sizes), F.col(keys[0]).eqNullSafe(F.col(first)), "left").withColumn(share, F.coalesce(split, F.lit(0))).drop(first)
+        tasks = 8 * df.sparkSession.sparkContext.defaultParallelism
+        dealt = dealt.repartition(tasks, keys[0], share).drop(share)
         dealt.write.mode("overwrite").partitionBy(keys[0]).format(fmt).save(path)
 
 

@@ -18,3 +18,15 @@ def test_tie_corrections_beyond_a_long(spark):
     assert int(signed_ranks(pairs, "a", "b").first()["ties"]) == 3_200_000**3 - 3_200_000
     row = wilcoxon(pairs, "a", "b").first()
     assert row["n"] == 3_200_000 and row["ties"] == float(3_200_000**3 - 3_200_000) and row["p"] == 0.0
+
+
+def test_only_long_keys_have_several_files(spark, tmp_path, monkeypatch):
+    from sessionlab.sources import sinks
+
+    monkeypatch.setattr(sinks, "ROWS_PER_FILE", 50)
+    rows = spark.range(300).selectExpr("if(id < 200, null, if(id < 220, 1, 2)) AS p", "id AS t", "double(id) AS v", "0 AS label")
+    path = str(tmp_path / "set")
+    sinks.write_dataset(rows, path, ["p", "t"], ["v"], "label")
+    count = {d.name: len(list(d.glob("*.parquet"))) for d in (tmp_path / "set").iterdir() if d.is_dir()}
+    assert count["p=1"] == 1 and 1 < count["p=2"] <= 2 and 1 < count["p=__HIVE_DEFAULT_PARTITION__"] <= 4
+    assert sorted(r.t for r in spark.read.parquet(path).collect()) == list(range(300))
