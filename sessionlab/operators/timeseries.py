@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -234,10 +235,12 @@ def thin_min_gap(df: DataFrame, keys: Sequence[str], time: str, period: float) -
 
     Greedy and sequential, yet chunked: inside a chunk every possible first kept row (those
     within one period of its start) is followed to the last row it keeps; the chunk summaries
-    are chained per session; then each chunk replays its own part.
+    are chained per session; then each chunk replays its own part. Sessions of one chunk are only replayed, many in
+    one pass of a task over sorted rows. Rows whose keys are null belong to no session and are left out.
     """
     keys = list(keys)
-    base = with_chunk(df.select(*keys, F.col(time).cast("double").alias("_t")).distinct(), keys, "_t", name=CK)
+    rows = df.select(*keys, F.col(time).cast("double").alias("_t")).dropna(subset=keys).distinct()
+    base = with_chunk(rows, keys, "_t", name=CK, long_flag="_long")
     ktypes = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in base.select(*keys).schema)
 
     def follow(key, pdf):
@@ -255,7 +258,7 @@ def thin_min_gap(df: DataFrame, keys: Sequence[str], time: str, period: float) -
             out.insert(i, k, key[i])
         return out
 
-    summary = base.groupBy(*keys, CK).applyInPandas(follow, f"{ktypes}, {CK} long, _entry double, _exit double, _end double")
+    summary = base.where("_long").select(*keys, "_t", CK).groupBy(*keys, CK).applyInPandas(follow, f"{ktypes}, {CK} long, _entry double, _exit double, _end double")
 
     def chain(key, pdf):
         last, rows = -np.inf, []
@@ -269,17 +272,21 @@ def thin_min_gap(df: DataFrame, keys: Sequence[str], time: str, period: float) -
 
     starts = summary.groupBy(*keys).applyInPandas(chain, f"{ktypes}, {CK} long, _from double")
 
-    def replay(key, pdf):
-        ts = np.sort(pdf["_t"].to_numpy())
-        jump = _jumps(ts, period)
-        i, kept = int(np.searchsorted(ts, pdf["_from"].iloc[0])), []
-        while i < len(ts):
-            kept.append(ts[i])
-            i = jump[i]
-        out = pd.DataFrame({time: kept})
-        for i, k in enumerate(keys):
-            out.insert(i, k, key[i])
-        return out
-
-    placed = base.join(starts, [*keys, CK])
-    return placed.groupBy(*keys, CK).applyInPandas(replay, f"{ktypes}, {time} double")
+    def replay(batches):
+        now, last, n = None, None, len(keys) + 1
+        for batch in batches:
+            kept = []
+            for *key, t, start in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                if key != now:
+                    now, last = key, None
+                if t is None or t != t:  # stamps that are none come last and are kept
+                    kept.append(True)
+                    continue
+                kept.append(t >= last + period if last is not None else start is None or t >= start)
+                last = t if kept[-1] else last
+            out = batch.filter(pa.array(kept, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*out.columns[: n - 1], out.column(n)], [*keys, time])
+
+    placed = base.join(starts, [*keys, CK], "left").where("NOT _long OR _from IS NOT NULL").select(*keys, CK, "_t", "_from")
+    dealt = placed.repartition(*keys, CK).sortWithinPartitions(*keys, CK, F.col("_t").asc_nulls_last())
+    return dealt.mapInArrow(replay, f"{ktypes}, {time} double")

@@ -96,3 +96,27 @@ def test_chunks_follow_rows_not_the_clock(spark, stamps):
     out = with_chunk(df, ["k"], ["t", "i"], rows_per_chunk=1000).toPandas()
     assert out["_chunk"].value_counts().max() <= 2000
     assert out.sort_values(["t", "i"])["_chunk"].is_monotonic_increasing
+
+
+def test_only_long_sessions_are_thinned_chunk_by_chunk(spark, monkeypatch):
+    from sessionlab.operators import ordered, timeseries
+
+    rows = spark.range(4000).selectExpr("if(id < 3900, id % 300, if(id < 3990, 300, null)) AS p", "double(id * 7919 % 1009) AS t")
+
+    def thinned():
+        return sorted((r.p, r.t) for r in timeseries.thin_min_gap(rows, ["p"], "t", 50.0).collect())
+
+    want = []
+    for p in range(301):
+        last = None
+        for t in sorted({k * 7919 % 1009 for k in range(3990) if (k % 300 if k < 3900 else 300) == p}):
+            if last is None or t >= last + 50:
+                last = t
+                want.append((p, float(t)))
+    assert thinned() == want
+    monkeypatch.setattr(ordered, "ROWS_PER_CHUNK", 20)
+    assert thinned() == want
+    # with sessions of one chunk, rows of all sessions go through one Python pass
+    monkeypatch.setattr(ordered, "ROWS_PER_CHUNK", 2_000_000)
+    plan = timeseries.thin_min_gap(rows, ["p"], "t", 50.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan
