@@ -1,6 +1,7 @@
 """Streaming operators that follow event order even when rows arrive out of order.
 
-Rows wait in a map state, keyed by event time and order number, until the watermark has passed them; an event-time timer then hands
+Rows wait in a list state, with event time and order number, until the watermark has passed them; it is written and read as a whole, since
+every call of the state store costs the same, whether for a row or for all of a key; an event-time timer then hands
 them on in order, one after another, to a small step that carries a list or map state. So the result is that of the batch twin for
 every row that is not later than the watermark allows, however micro-batches cut the stream. A key that stays idle for ``ttl`` of
 event time is closed and forgotten. The state store must be RocksDB (``use_rocksdb``).
@@ -30,38 +31,51 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        place = T.StructType([T.StructField("ms", T.LongType()), T.StructField("number", T.LongType())])
-        self.waiting = handle.getMapState("waiting", place, T.StructType([T.StructField("value", self.value_type)]))
+        row = T.StructType([T.StructField("ms", T.LongType()), T.StructField("number", T.LongType()), T.StructField("value", self.value_type)])
+        self.waiting = handle.getListState("waiting", row)
         self.latest = handle.getValueState("latest", T.StructType([T.StructField("ms", T.LongType())]))
         self.open_state(handle)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first, last = None, self.latest.get()[0] if self.latest.exists() else None
+        before = self.latest.get()
+        first, last, new = None, None if before is None else before[0], []
         for pdf in rows:
             stamps = (pdf[self.ts].astype("int64") // {"datetime64[ns]": 10**6, "datetime64[us]": 10**3, "datetime64[ms]": 1}[str(pdf[self.ts].dtype)]).tolist()
             for ms, number, value in zip(stamps, pdf[self.order].tolist(), pdf[self.value].tolist(), strict=True):
-                self.waiting.updateValue((ms, int(number)), (value,))
+                new.append((ms, int(number), value))
                 first = ms if first is None else min(first, ms)
                 last = ms if last is None else max(last, ms)
-        self.latest.update((last,))
+        if first is None:
+            return
+        self.waiting.appendList(new)
+        if before is None or last > before[0]:
+            self.latest.update((last,))
         self.handle.registerTimer(max(first, timerValues.getCurrentWatermarkInMs() + 1))
         self.handle.registerTimer(last + self.ttl)
-        yield pd.DataFrame(columns=self.names)
+        yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        held = sorted((place, value[0]) for place, value in self.waiting.iterator())
-        out = []
-        for (ms, number), value in held:
+        held = {(ms, number): value for ms, number, value in self.waiting.get()}  # of rows equal in both the last counts
+        out, left = [], []
+        for (ms, number), value in sorted(held.items(), key=lambda x: x[0]):
             if ms > now:
-                self.handle.registerTimer(ms)
-                break
-            self.waiting.removeKey((ms, number))
-            out += self.take(key, ms, number, value)
-        if not self.waiting.exists() and self.latest.exists() and self.latest.get()[0] + self.ttl <= now:
-            out += self.finish(key)
-            self.latest.clear()
-        yield pd.DataFrame(out, columns=self.names)
+                left.append((ms, number, value))
+            else:
+                out += self.take(key, ms, number, value)
+        if left:
+            self.handle.registerTimer(left[0][0])
+            if len(left) < len(held):
+                self.waiting.put(left)
+        else:
+            if held:
+                self.waiting.clear()
+            latest = self.latest.get()
+            if latest is not None and latest[0] + self.ttl <= now:
+                out += self.finish(key)
+                self.latest.clear()
+        if out:
+            yield pd.DataFrame(out, columns=self.names)
 
     def finish(self, key) -> list[tuple]:
         return []

@@ -72,3 +72,75 @@ def test_intervals_follow_event_order_and_open_ones_come_out(spark, rocksdb, tmp
     low = min(w[1] for w in want)
     seen = [(r.participant, r.start - base + low, None if r.end is None else r.end - base + low, r.label, r.ord) for r in got.collect()]
     assert sorted(seen, key=repr) == sorted(want, key=repr) and any(w[2] is None for w in want)
+
+
+def test_a_keys_rows_cost_one_call_of_the_state_store():
+    import pandas as pd
+
+    from sessionlab.streaming import ordered
+
+    calls = []
+
+    class Value:
+        held = None
+
+        def get(self):
+            return self.held
+
+        def update(self, x):
+            self.held = x
+
+        def clear(self):
+            self.held = None
+
+    class Rows:
+        held = ()
+
+        def get(self):
+            return iter(self.held)
+
+        def appendList(self, rows):
+            calls.append("append")
+            self.held = [*self.held, *rows]
+
+        def put(self, rows):
+            calls.append("put")
+            self.held = list(rows)
+
+        def clear(self):
+            calls.append("clear")
+            self.held = ()
+
+    class Handle:
+        def getListState(self, name, schema):
+            return Rows()
+
+        def getValueState(self, name, schema):
+            return Value()
+
+        def registerTimer(self, at):
+            pass
+
+    class Clock:
+        now = 0
+
+        def getCurrentWatermarkInMs(self):
+            return self.now
+
+    class Plain(ordered.InOrder):
+        def open_state(self, handle):
+            pass
+
+        def take(self, key, ms, number, value):
+            return [(*key, ms, number, value)]
+
+    plain = Plain(["k"], "ts", "n", "v", None, 10**9, ["k", "ms", "n", "v"])
+    plain.init(Handle())
+    clock = Clock()
+    rows = pd.DataFrame({"ts": pd.to_datetime([30, 10, 20, 20], unit="ms"), "n": [3, 1, 2, 2], "v": [7, 8, 9, 5]})
+    assert list(plain.handleInputRows((1,), iter([rows]), clock)) == []
+    clock.now = 20
+    assert [tuple(r) for r in next(plain.handleExpiredTimer((1,), clock, None)).itertuples(index=False)] == [(1, 10, 1, 8), (1, 20, 2, 5)]
+    clock.now = 40
+    assert [tuple(r) for r in next(plain.handleExpiredTimer((1,), clock, None)).itertuples(index=False)] == [(1, 30, 3, 7)]
+    assert calls == ["append", "put", "clear"]
