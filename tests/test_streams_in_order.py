@@ -76,6 +76,7 @@ def test_intervals_follow_event_order_and_open_ones_come_out(spark, rocksdb, tmp
 
 def test_a_keys_rows_cost_one_call_of_the_state_store():
     import pandas as pd
+    from pyspark.sql import types as T
 
     from sessionlab.streaming import ordered
 
@@ -134,7 +135,7 @@ def test_a_keys_rows_cost_one_call_of_the_state_store():
         def take(self, key, ms, number, value):
             return [(*key, ms, number, value)]
 
-    plain = Plain(["k"], "ts", "n", "v", None, 10**9, ["k", "ms", "n", "v"])
+    plain = Plain(["k"], "ts", "n", "v", T.IntegerType(), 10**9, ["k", "ms", "n", "v"])
     plain.init(Handle())
     clock = Clock()
     rows = pd.DataFrame({"ts": pd.to_datetime([30, 10, 20, 20], unit="ms"), "n": [3, 1, 2, 2], "v": [7, 8, 9, 5]})
