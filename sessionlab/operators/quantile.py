@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small, cut_lineage
+from .ordered import scan
 
 COARSE = 256  # buckets per factor of two
 FINE = 4096  # sub-buckets per coarse bucket
@@ -104,6 +105,10 @@ def select_ranks(values: DataFrame, group: Sequence[str], probs: Sequence[float]
     ranked = ranked.withColumn("_hi", F.col("_below") + F.col("_fbelow") + F.col("_in")).withColumn("_lo", F.col("_hi") - F.col("_c"))
     at = [F.max(F.when((r >= F.col("_lo")) & (r < F.col("_hi")), F.col("value"))).alias(f"_a{i}") for i, r in enumerate(wanted)]
     picked = ranked.groupBy(*group, "n").agg(*at)
+    return _interpolated(picked, group, probs, low)
+
+
+def _interpolated(picked: DataFrame, group: Sequence[str], probs: Sequence[float], low: Sequence[Column]) -> DataFrame:
     out = []
     for i, p in enumerate(probs):
         frac = F.lit(float(p)) * (F.col("n") - 1) - low[i]
@@ -115,25 +120,32 @@ def select_ranks(values: DataFrame, group: Sequence[str], probs: Sequence[float]
 def leave_one_out_quantiles(df: DataFrame, fold: Sequence[str], cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
     """Quantiles of all rows outside each fold, for every fold in one job: (fold..., column, n, q0, ...).
 
-    Bucket counts of a training set are the total minus the fold's own, so raw rows are never
-    copied per fold; only the values of the buckets that hold the wanted ranks are.
+    A rank outside a fold is a rank among all rows: with j of the fold's own rows before it, rank r outside is rank r + j overall. So distinct
+    values get their overall ranks once, each fold counts its own rows before the wanted places, and the places are looked up
+    in the order of all values. The work grows with rows and folds, not with their product.
     """
     fold = list(fold)
-    own = melt(df, fold, cols).groupBy(*fold, "column", "value").agg(F.count(F.lit(1)).alias("_c"))
-    own = cut_lineage(own.withColumn("_b", bucket(F.col("value"))))
-    own_hist = own.groupBy(*fold, "column", "_b").agg(F.sum("_c").alias("_o"))
-    # a few thousand buckets per column, written once; a shuffle on the column name alone would fill few tasks
-    total_hist = cut_lineage(own_hist.groupBy("column", "_b").agg(F.sum("_o").alias("_t")))
-    members = own_hist.select(*fold, "column").distinct()
-    hist = members.join(broadcast_if_small(total_hist), "column").join(own_hist, [*fold, "column", "_b"], "left")
-    hist = hist.select(*fold, "column", "_b", (F.col("_t") - F.coalesce("_o", F.lit(0))).alias("_c")).where("_c > 0")
-    target = cut_lineage(target_buckets(hist, [*fold, "column"], probs))
-    wanted = target.select("column", "_b").distinct()
-    total = own.join(broadcast_if_small(cut_lineage(wanted)), ["column", "_b"], "left_semi").groupBy("column", "_b", "value").agg(F.sum("_c").alias("_t"))
-    mine = own.select(*fold, "column", "_b", "value", F.col("_c").alias("_o"))
-    values = total.join(broadcast_if_small(target), ["column", "_b"]).join(mine, [*fold, "column", "_b", "value"], "left")
-    values = values.withColumn("_c", F.col("_t") - F.coalesce("_o", F.lit(0))).where("_c > 0").drop("_t", "_o")
-    return select_ranks(values, [*fold, "column"], probs)
+    own = cut_lineage(melt(df, fold, cols).groupBy(*fold, "column", "value").agg(F.count(F.lit(1)).alias("_c")))
+    every = scan(own.groupBy("column", "value").agg(F.sum("_c").alias("_t")), ["column"], ["value"], {"_upto": ("cumsum", "_t")})
+    every = cut_lineage(every)
+    group = [*fold, "column"]
+    mine = scan(own.join(every.select("column", "value", "_upto"), ["column", "value"]), group, ["value"], {"_o": ("cumsum", "_c")})
+    total = every.groupBy("column").agg(F.sum("_t").alias("_all"))
+    sizes = own.dropna(subset=fold).groupBy(*group).agg(F.sum("_c").alias("_n"))
+    n = sizes.join(F.broadcast(total), "column").select(*group, (F.col("_all") - F.col("_n")).alias("n")).where("n > 0")
+    low, wanted = _ranks(probs)
+    # rows outside the fold up to an own value: if no more than the rank, the wanted place comes after that value
+    before = [F.coalesce(F.sum(F.when(F.col("_upto") - F.col("_o") <= r, F.col("_c"))), F.lit(0)) for r in wanted]
+    places = mine.join(n, group).groupBy(*group, "n").agg(*[(F.first(r) + b).alias(f"_p{i}") for i, (r, b) in enumerate(zip(wanted, before))])
+    places = cut_lineage(places)
+    asked = places.select("column", F.explode(F.array(*[F.col(f"_p{i}") for i in range(len(wanted))])).alias("_at")).distinct()
+    order = every.select("column", (F.col("_upto") - F.col("_t")).alias("_at"), F.lit(0).alias("_asks"), "value")
+    order = order.unionByName(asked.select("column", "_at", F.lit(1).alias("_asks"), F.lit(None).cast("double").alias("value")))
+    # the value at a place is the last one that begins there or before
+    at = scan(order, ["column"], ["_at", "_asks"], {"_found": ("last", "value")}).where("_asks = 1").select("column", "_at", "_found")
+    each = places.select(*group, "n", F.posexplode(F.array(*[F.col(f"_p{i}") for i in range(len(wanted))])).alias("_i", "_at")).join(at, ["column", "_at"])
+    picked = each.groupBy(*group, "n").agg(*[F.max(F.when(F.col("_i") == i, F.col("_found"))).alias(f"_a{i}") for i in range(len(wanted))])
+    return _interpolated(picked, group, probs, low)
 
 
 def wide_quantiles(quantile_rows: DataFrame, cols: Sequence[str], names: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
