@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +20,8 @@ from ..session import broadcast_if_small, cut_lineage
 from .ordered import scan
 
 BLOCK_ROWS = 4096
+#: Queries compared at a time, and pairs summed at a time.
+QUERIES, PAIRS = 256, 1 << 18
 
 
 def squared_distance(a, b):
@@ -31,31 +33,102 @@ def as_vector(cols: Sequence[str]):
     return F.array(*[F.col(c).cast("double") for c in cols])
 
 
-def _best_in_block(k: int, skip_self: bool):
-    """Cogroup body: k best data rows for every query of one (query block, data block) pair."""
-
-    def best(queries: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
-        if queries.empty or data.empty:
-            return pd.DataFrame({"qid": [], "nid": [], "d2": []}).astype({"qid": "int64", "nid": "int64", "d2": "float64"})
-        x = np.asarray(queries["vec"].tolist(), dtype=np.float64)
-        y = np.asarray(data["vec"].tolist(), dtype=np.float64)
-        qid, nid = queries["qid"].to_numpy(), data["nid"].to_numpy()
-        found = []
-        for lo in range(0, len(x), 256):
-            part = x[lo : lo + 256]
-            d2 = np.zeros((len(part), len(y)))
-            for j in range(x.shape[1]):
-                d2 += (part[:, j : j + 1] - y[:, j]) ** 2
-            if skip_self:
-                d2[qid[lo : lo + 256, None] == nid[None, :]] = np.inf
-            take = min(k, d2.shape[1])
-            order = np.lexsort((np.broadcast_to(nid, d2.shape), d2), axis=1)[:, :take]
-            rows = np.repeat(qid[lo : lo + 256], take)
-            found.append(pd.DataFrame({"qid": rows, "nid": nid[order].ravel(), "d2": np.take_along_axis(d2, order, 1).ravel()}))
-        out = pd.concat(found, ignore_index=True)
-        return out[np.isfinite(out["d2"])]
-
-    return best
+def _close(x: np.ndarray, y: np.ndarray, qid: np.ndarray, nid: np.ndarray, k: int, skip_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of y, squared distance) of the k nearest rows of y for every row of x, ranked by distance and nid.
+
+    Wide vectors are first compared by a matrix product; all pairs that its rounding error leaves open are summed term by term.
+    """
+    width = x.shape[1]
+    rough, slack = None, 0.0
+    if width > 4:
+        nx, ny = (x * x).sum(axis=1), (y * y).sum(axis=1)
+        with np.errstate(all="ignore"):
+            rough = nx[:, None] + ny - 2.0 * (x @ y.T)
+        slack = 8 * (width + 8) * np.finfo(np.float64).eps * (nx + ny.max())
+        if not np.isfinite(rough).all():
+            rough, slack = None, 0.0
+    if rough is None:
+        rough = np.zeros((len(x), len(y)))
+        for j in range(width):
+            rough += (x[:, j : j + 1] - y[:, j]) ** 2
+    if skip_self:
+        rough[qid[:, None] == nid[None, :]] = np.inf
+    if len(y) > k:
+        row, col = np.nonzero(~(rough > (np.partition(rough, k - 1, axis=1)[:, k - 1] + slack)[:, None]))
+    else:
+        row, col = (i.ravel() for i in np.indices(rough.shape))
+    d2 = np.empty(len(row))
+    for lo in range(0, len(row), PAIRS):
+        r, c = row[lo : lo + PAIRS], col[lo : lo + PAIRS]
+        part = np.zeros(len(r))
+        for j in range(width):
+            part += (x[r, j] - y[c, j]) ** 2
+        d2[lo : lo + PAIRS] = part
+    if skip_self:
+        d2[qid[row] == nid[col]] = np.inf
+    order = np.lexsort((nid[col], d2, row))
+    row, col, d2 = row[order], col[order], d2[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    kept = (rank < k) & np.isfinite(d2)
+    return row[kept], col[kept], d2[kept]
+
+
+def _vectors(rows: pa.ListArray) -> np.ndarray:
+    """One line per vector, null components as NaN."""
+    sizes = np.diff(rows.offsets.to_numpy())
+    if rows.null_count or (sizes != sizes[0]).any():
+        raise ValueError("vectors of a group differ in length")
+    return rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(rows), -1)
+
+
+def _compare_in_order(by: Sequence[str], k: int, skip_self: bool):
+    """Task body over rows (by..., home, qb, db, isdata, id, vec) sorted by all but the last two: k best data rows of every query of a block pair.
+
+    A task goes through its block pairs one after another, however small they are, and holds one pair and one batch.
+    """
+    pair = [*by, "home", "qb", "db"]
+
+    def starts(table: pa.Table) -> np.ndarray:
+        new = np.zeros(table.num_rows, dtype=bool)
+        new[0] = True
+        for c in pair:
+            code = table.column(c).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            new[1:] |= code[1:] != code[:-1]
+        return np.flatnonzero(new)
+
+    def found(table: pa.Table, first: np.ndarray) -> pa.RecordBatch:
+        is_data, ids = table.column("isdata").to_numpy(), table.column("id").to_numpy()
+        vec = table.column("vec").combine_chunks()
+        data_before = np.append(0, np.cumsum(is_data))
+        out = []
+        for a, b in zip(first, np.append(first[1:], table.num_rows), strict=True):
+            cut = b - (data_before[b] - data_before[a])  # queries come first
+            if cut == a or cut == b:
+                continue
+            y, nid = _vectors(vec.slice(cut, b - cut)), ids[cut:b]
+            for lo in range(a, cut, QUERIES):
+                hi = min(cut, lo + QUERIES)
+                row, col, d2 = _close(_vectors(vec.slice(lo, hi - lo)), y, ids[lo:hi], nid, k, skip_self)
+                out.append((row + lo, col + cut, d2))
+        row, col, d2 = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        keys = [table.column(c).take(pa.array(row)).combine_chunks() for c in by]
+        return pa.RecordBatch.from_arrays([*keys, pa.array(ids[row]), pa.array(ids[col]), pa.array(d2)], [*by, "qid", "nid", "d2"])
+
+    def run(batches):
+        waiting = None  # rows of the last block pair so far
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = table if waiting is None else pa.concat_tables([waiting, table]).combine_chunks()
+            first = starts(table)
+            if first[-1]:
+                yield found(table.slice(0, first[-1]), first[:-1])
+            waiting = table.slice(first[-1])
+        if waiting is not None:
+            yield found(waiting, np.zeros(1, dtype=np.int64))
+
+    return run
 
 
 def nearest(
@@ -91,23 +164,15 @@ def nearest(
     keyed = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in data.select(*by).schema)
 
     def compare(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-        """Run the block comparison for (by, home, qb, db) pairs."""
+        """Run the block comparison for (by, home, qb, db) pairs; many small pairs share a task and a batch."""
         pair = [*by, "home", "qb", "db"]
         def fresh(df, *cols):  # both sides come from one table; new attribute ids keep them apart
-            return df.select(*[F.col(c).alias(c) for c in (*pair, *cols)])
-
-        left = fresh(rows.join(pairs, [*by, "home", "qb"]), "qid", "vec")
-        right = fresh(d.join(pairs, [*by, "db"]), "nid", "vec")
-        body = _best_in_block(k, skip_self)
-        n_by = len(by)
-
-        def with_keys(key, a, b):
-            out = body(a, b)
-            for i, name in enumerate(by):
-                out.insert(i, name, key[i])
-            return out[[*by, "qid", "nid", "d2"]] if n_by else out
+            return df.select(*[F.col(c).alias(c) for c in pair], *cols, F.col("vec").alias("vec"))
 
-        return left.groupBy(*pair).cogroup(right.groupBy(*pair)).applyInPandas(with_keys, f"{keyed}, {schema}" if keyed else schema)
+        left = fresh(rows.join(pairs, [*by, "home", "qb"]), F.lit(0).alias("isdata"), F.col("qid").alias("id"))
+        right = fresh(d.join(pairs, [*by, "db"]), F.lit(1).alias("isdata"), F.col("nid").alias("id"))
+        ordered = left.unionByName(right).repartition(*pair).sortWithinPartitions(*pair, "isdata")
+        return ordered.mapInArrow(_compare_in_order(by, k, skip_self), f"{keyed}, {schema}" if keyed else schema)
 
     own = q.select(*by, "home", "qb").distinct().withColumn("db", F.col("home"))
     first = cut_lineage(compare(own, q))

@@ -120,3 +120,39 @@ def test_only_long_sessions_are_thinned_chunk_by_chunk(spark, monkeypatch):
     monkeypatch.setattr(ordered, "ROWS_PER_CHUNK", 2_000_000)
     plan = timeseries.thin_min_gap(rows, ["p"], "t", 50.0)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan
+
+
+def test_small_groups_share_calls_and_wide_vectors_are_exact(spark):
+    """Many tiny groups go through a task in few batches; ties, copies and rounding of wide vectors rank as brute force does."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(12, 6)) * 1e3
+    rows = [(g, "a" if g % 2 else "b", int(i), [float(v) for v in base[(g + i) % 12] + (1e-9 * i if g % 3 else 0)]) for g in range(40) for i in range(7)]
+    df = spark.createDataFrame(rows, "g int, s string, id bigint, vec array<double>").repartition(1)
+    got = nearest(df.withColumnRenamed("id", "nid"), df.withColumnRenamed("id", "qid"), ["g", "s"], 3, skip_self=True)
+    assert "FlatMapCoGroups" not in got._jdf.queryExecution().toString()
+    found = sorted((r["g"], r["qid"], r["rank"], r["nid"], r["d2"]) for r in got.collect())
+    want = []
+    for g in range(40):
+        mine = [(i, np.array(v)) for h, _, i, v in rows if h == g]
+        for q, x in mine:
+            d2 = {n: sum(((x[j] - y[j]) ** 2 for j in range(6)), 0.0) for n, y in mine if n != q}
+            want += [(g, q, r + 1, n, d2[n]) for r, n in enumerate(sorted(d2, key=lambda n: (d2[n], n))[:3])]
+    assert [f[:4] for f in found] == [w[:4] for w in sorted(want)]
+    assert np.allclose([f[4] for f in found], [w[4] for w in sorted(want)], rtol=1e-12, atol=0)
+
+
+def test_left_out_quantiles_do_not_grow_with_folds_times_buckets(spark):
+    """No table of all folds by all buckets; copies, empty folds and folds without a key count as before."""
+    rng = np.random.default_rng(5)
+    rows = [(int(f) if f else None, float(v) if v else None) for f, v in zip(rng.integers(0, 9, 300), rng.integers(-6, 7, 300))]
+    df = spark.createDataFrame(rows, "f int, x double")
+    got = {r["f"]: (r["n"], r["q0"], r["q1"], r["q2"]) for r in leave_one_out_quantiles(df, ["f"], ["x"], [0.25, 0.5, 0.9]).collect()}
+    for f in range(1, 9):
+        rest = [v for g, v in rows if g != f and v is not None]
+        assert got[f][0] == len(rest)
+        assert np.allclose(got[f][1:], np.quantile(rest, [0.25, 0.5, 0.9]))
+    assert set(got) == set(range(1, 9))
+    many = spark.range(4000).selectExpr("id % 2000 AS f", "exp(pmod(hash(id), 2000) / 100.0) AS x")
+    plan = leave_one_out_quantiles(many, ["f"], ["x"], [0.5])._jdf.queryExecution().toString()
+    assert "LOG2" not in plan.upper()  # no buckets, so none for every fold
+    assert leave_one_out_quantiles(df.where("f = 1"), ["f"], ["x"], [0.5]).count() == 0
