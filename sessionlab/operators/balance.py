@@ -65,7 +65,7 @@ def smote_vectors(df: DataFrame, by: Sequence[str], label: str, id_col: str, vec
         }
     )
     ranked = scan(df.select(*cls, F.col(id_col).alias("_id"), F.col(vec).alias("_vec")), cls, ["_id"], {"_pos": ("rank",)})
-    base = drawn.join(ranked, [*cls, "_pos"]).select(*cls, "i", "_id", "_vec", "_pick", "_u")
+    base = cut_lineage(drawn.join(ranked, [*cls, "_pos"]).select(*cls, "i", "_id", "_vec", "_pick", "_u"))  # asks for neighbours and meets them
     queries = base.select(*cls, F.col("_id").alias("qid"), F.col("_vec").alias("vec")).dropDuplicates([*cls, "qid"])
     data = df.select(*cls, F.col(id_col).alias("nid"), F.col(vec).alias("vec"))
     near = nearest(data, queries, cls, MAX_K, skip_self=True).select(*cls, F.col("qid").alias("_id"), "nid", F.col("rank").alias("_pick"))

@@ -4,7 +4,8 @@ Rows of a group are ordered by their distance to one reference vector and cut in
 fixed size, so even a group of identical copies splits evenly.  A first round compares each query
 block with its home data block and yields an upper bound on the k-th distance; the triangle
 inequality then names the only other blocks that can still improve it.  Tasks hold two blocks
-at a time and emit at most k rows per query.
+at a time and emit at most k rows per query.  Groups that fit one block are compared whole, many
+in one call, without order or rounds.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from .ordered import scan
 BLOCK_ROWS = 4096
 #: Queries compared at a time, and pairs summed at a time.
 QUERIES, PAIRS = 256, 1 << 18
+#: Block pairs of at most so many pairs of rows are compared side by side, since each call costs the same.
+SMALL = 1 << 11
 
 
 def squared_distance(a, b):
@@ -81,12 +84,43 @@ def _vectors(rows: pa.ListArray) -> np.ndarray:
     return rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(rows), -1)
 
 
-def _compare_in_order(by: Sequence[str], k: int, skip_self: bool):
-    """Task body over rows (by..., home, qb, db, isdata, id, vec) sorted by all but the last two: k best data rows of every query of a block pair.
+def _first_k(group: np.ndarray, row: np.ndarray, col: np.ndarray, d2: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """(row, col, d2, rank) of the k nearest per group and query id, which may stand in several rows; what isn't finite is no neighbour."""
+    kept = np.isfinite(d2)
+    group, row, col, d2 = group[kept], row[kept], col[kept], d2[kept]
+    order = np.lexsort((ids[col], d2, ids[row], group))
+    group, row, col, d2 = group[order], row[order], col[order], d2[order]
+    new = np.ones(len(row), dtype=bool)
+    new[1:] = (group[1:] != group[:-1]) | (ids[row[1:]] != ids[row[:-1]])
+    first = np.flatnonzero(new)
+    rank = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row)))) + 1
+    kept = rank <= k
+    return row[kept], col[kept], d2[kept], rank[kept]
+
+
+def _small_pairs(a: np.ndarray, cut: np.ndarray, b: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, skip_self: bool):
+    """``_first_k`` of block pairs with queries in rows a to cut and data in rows cut to b, all pairs of about PAIRS rows at a time."""
+    last = np.cumsum((cut - a) * (b - cut)) // PAIRS
+    for lo, hi in zip(np.flatnonzero(np.diff(last, prepend=-1)), [*np.flatnonzero(np.diff(last)) + 1, len(a)], strict=True):
+        width = (cut - a)[lo:hi]
+        row = np.repeat(a[lo:hi] - np.cumsum(width) + width, width) + np.arange(width.sum())
+        group, many = np.repeat(np.arange(lo, hi), width), np.repeat((b - cut)[lo:hi], width)
+        col = np.repeat(np.repeat(cut[lo:hi], width) - np.cumsum(many) + many, many) + np.arange(many.sum())
+        row, group = np.repeat(row, many), np.repeat(group, many)
+        d2 = np.zeros(len(row))
+        for j in range(x.shape[1]):
+            d2 += (x[row, j] - x[col, j]) ** 2
+        if skip_self:
+            d2[ids[row] == ids[col]] = np.inf
+        yield _first_k(group, row, col, d2, ids, k)
+
+
+def _compare_in_order(pair: Sequence[str], by: Sequence[str], k: int, skip_self: bool):
+    """Task body over rows (pair..., isdata, id, vec) sorted by all but the last two: k best data rows of every query of a block pair, with ``by``.
 
     A task goes through its block pairs one after another, however small they are, and holds one pair and one batch.
     """
-    pair = [*by, "home", "qb", "db"]
+    pair = list(pair)
 
     def starts(table: pa.Table) -> np.ndarray:
         new = np.zeros(table.num_rows, dtype=bool)
@@ -100,19 +134,27 @@ def _compare_in_order(by: Sequence[str], k: int, skip_self: bool):
         is_data, ids = table.column("isdata").to_numpy(), table.column("id").to_numpy()
         vec = table.column("vec").combine_chunks()
         data_before = np.append(0, np.cumsum(is_data))
-        out = []
-        for a, b in zip(first, np.append(first[1:], table.num_rows), strict=True):
-            cut = b - (data_before[b] - data_before[a])  # queries come first
-            if cut == a or cut == b:
-                continue
+        ends = np.append(first[1:], table.num_rows)
+        cuts = ends - (data_before[ends] - data_before[first])  # queries come first
+        both = (cuts > first) & (cuts < ends)
+        first, cuts, ends = first[both], cuts[both], ends[both]
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))]
+        widths = np.unique(np.diff(vec.offsets.to_numpy()))
+        small = (cuts - first) * (ends - cuts) <= SMALL if len(widths) == 1 and not vec.null_count else np.zeros(len(first), dtype=bool)
+        if small.any():
+            out += _small_pairs(first[small], cuts[small], ends[small], _vectors(vec), ids, k, skip_self)
+        for a, cut, b in zip(first[~small], cuts[~small], ends[~small], strict=True):
             y, nid = _vectors(vec.slice(cut, b - cut)), ids[cut:b]
+            found_here = []
             for lo in range(a, cut, QUERIES):
                 hi = min(cut, lo + QUERIES)
                 row, col, d2 = _close(_vectors(vec.slice(lo, hi - lo)), y, ids[lo:hi], nid, k, skip_self)
-                out.append((row + lo, col + cut, d2))
-        row, col, d2 = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+                found_here.append((row + lo, col + cut, d2))
+            row, col, d2 = (np.concatenate(c) for c in zip(*found_here))
+            out.append(_first_k(np.zeros(len(row), np.int64), row, col, d2, ids, k))
+        row, col, d2, rank = (np.concatenate(c) for c in zip(*out))
         keys = [table.column(c).take(pa.array(row)).combine_chunks() for c in by]
-        return pa.RecordBatch.from_arrays([*keys, pa.array(ids[row]), pa.array(ids[col]), pa.array(d2)], [*by, "qid", "nid", "d2"])
+        return pa.RecordBatch.from_arrays([*keys, pa.array(ids[row]), pa.array(ids[col]), pa.array(d2), pa.array(rank, pa.int32())], [*by, "qid", "nid", "d2", "rank"])
 
     def run(batches):
         waiting = None  # rows of the last block pair so far
@@ -146,10 +188,30 @@ def nearest(
     unique in their group; equal distances rank by nid.  ``skip_self`` leaves out nid = qid.
     """
     by, block_rows = list(by), block_rows or BLOCK_ROWS
-    ref = data.groupBy(*by).agg(F.min_by("vec", "nid").alias("_ref"))
+    schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in data.select(*by).schema], "qid long, nid long, d2 double, rank int"])
     both = data.select(*by, F.col("nid").alias("id"), "vec", F.lit(1).alias("isdata")).unionByName(
         queries.select(*by, F.col("qid").alias("id"), "vec", F.lit(0).alias("isdata"))
     )
+    both = cut_lineage(both.dropna(subset=by))  # groups are measured and then compared
+    sizes = both.groupBy(*by).agg(F.sum("isdata").alias("_nd"), F.sum(1 - F.col("isdata")).alias("_nq"))
+    large = cut_lineage(sizes.where((F.col("_nd") > block_rows) | (F.col("_nq") > block_rows)).select(*by))
+    if large.isEmpty():
+        return _nearest_of_small(both, by, k, skip_self, schema)
+    far = broadcast_if_small(large)
+    by_blocks = _nearest_of_blocks(both.join(far, by, "left_semi"), by, k, skip_self, block_rows, schema)
+    return _nearest_of_small(both.join(far, by, "left_anti"), by, k, skip_self, schema).unionByName(by_blocks)
+
+
+def _nearest_of_small(both: DataFrame, by: list[str], k: int, skip_self: bool, schema: str) -> DataFrame:
+    """``nearest`` of rows (by..., id, vec, isdata) whose groups fit one block."""
+    ordered = both.repartition(*by).sortWithinPartitions(*by, "isdata")
+    return ordered.mapInArrow(_compare_in_order(by, by, k, skip_self), schema)
+
+
+def _nearest_of_blocks(both: DataFrame, by: list[str], k: int, skip_self: bool, block_rows: int, schema: str) -> DataFrame:
+    """``nearest`` of rows (by..., id, vec, isdata) by blocks of their groups."""
+    data = both.where("isdata = 1").select(*by, F.col("id").alias("nid"), "vec")
+    ref = data.groupBy(*by).agg(F.min_by("vec", "nid").alias("_ref"))
     both = both.join(broadcast_if_small(cut_lineage(ref)), by).withColumn("p", F.sqrt(squared_distance(F.col("vec"), F.col("_ref")))).drop("_ref")
     both = scan(
         both, by, ["p", "id", "isdata"], {"_nd": ("cumsum", "isdata"), "_nq": ("cumsum", (1 - F.col("isdata")))}
@@ -160,8 +222,6 @@ def nearest(
     d = both.where("isdata = 1").select(*by, F.col("id").alias("nid"), "vec", "p", F.col("home").alias("db"))
     q = both.where("isdata = 0").select(*by, F.col("id").alias("qid"), "vec", "p", "home", "qb")
     dblocks = d.groupBy(*by, "db").agg(F.min("p").alias("dlo"), F.max("p").alias("dhi"))
-    schema = "qid long, nid long, d2 double"
-    keyed = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in data.select(*by).schema)
 
     def compare(pairs: DataFrame, rows: DataFrame) -> DataFrame:
         """Run the block comparison for (by, home, qb, db) pairs; many small pairs share a task and a batch."""
@@ -172,7 +232,7 @@ def nearest(
         left = fresh(rows.join(pairs, [*by, "home", "qb"]), F.lit(0).alias("isdata"), F.col("qid").alias("id"))
         right = fresh(d.join(pairs, [*by, "db"]), F.lit(1).alias("isdata"), F.col("nid").alias("id"))
         ordered = left.unionByName(right).repartition(*pair).sortWithinPartitions(*pair, "isdata")
-        return ordered.mapInArrow(_compare_in_order(by, k, skip_self), f"{keyed}, {schema}" if keyed else schema)
+        return ordered.mapInArrow(_compare_in_order(pair, by, k, skip_self), schema)
 
     own = q.select(*by, "home", "qb").distinct().withColumn("db", F.col("home"))
     first = cut_lineage(compare(own, q))

@@ -156,3 +156,26 @@ def test_left_out_quantiles_do_not_grow_with_folds_times_buckets(spark):
     plan = leave_one_out_quantiles(many, ["f"], ["x"], [0.5])._jdf.queryExecution().toString()
     assert "LOG2" not in plan.upper()  # no buckets, so none for every fold
     assert leave_one_out_quantiles(df.where("f = 1"), ["f"], ["x"], [0.5]).count() == 0
+
+
+def test_small_groups_are_compared_whole_and_side_by_side(spark, monkeypatch):
+    """Groups of one block need no order and no rounds; ids that stand twice share one ranking; large groups among them still go by blocks."""
+    from sessionlab.operators import neighbours
+
+    rng = np.random.default_rng(11)
+    rows = [(g, i, [float(x) for x in rng.integers(0, 4, 2)]) for g in range(40) for i in range(int(rng.integers(1, 9)))]
+    rows += [(99, i, [float(x) for x in rng.integers(0, 9, 2)]) for i in range(60)]
+    rows += [(3, 0, [2.0, 2.0]), (5, 1, [float("nan"), 1.0])]
+    df = spark.createDataFrame(rows, "g long, nid long, vec array<double>")
+    want = {}
+    for g, q, v in rows:
+        near = [(float(sum((x - y) ** 2 for x, y in zip(v, w))), n) for h, n, w in rows if h == g and n != q]
+        want.setdefault((g, q), []).extend(x for x in near if x[0] == x[0])
+    want = sorted((g, q, rank, d2) for (g, q), near in want.items() for rank, (d2, _) in enumerate(sorted(near)[:3], 1))
+    calls = []
+    monkeypatch.setattr(neighbours, "_nearest_of_blocks", lambda both, *a, _f=neighbours._nearest_of_blocks: calls.append(both.select("g").distinct().collect()) or _f(both, *a))
+    got = nearest(df, df.withColumnRenamed("nid", "qid"), ["g"], 3, skip_self=True, block_rows=20)
+    assert sorted((r.g, r.qid, r["rank"], r.d2) for r in got.collect()) == want
+    assert [[r.g for r in c] for c in calls] == [[99]]
+    nearest(df, df.withColumnRenamed("nid", "qid"), ["g"], 3, skip_self=True).count()
+    assert len(calls) == 1
