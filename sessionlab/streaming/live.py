@@ -88,48 +88,78 @@ def sliding_stats(
 
 
 # ---------------------------------------------------------------- markers
+#: Groups that the keys of a stream are dealt to. A call of a group's function costs some milliseconds whatever it holds, so keys share them.
+BUCKETS = 1024
+_JSON = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
+
+def pair_markers(pdf: pd.DataFrame, opened: dict[str, dict[str, float]], labels: Sequence[str], time: str, marker: str, pos: str) -> list[tuple]:
+    """(key, start, end, label, ord) of the intervals that rows of many keys (column ``_key``) close, in order ``pos``; ``opened`` holds each key's open starts."""
+    rows, meanings = [], {}
+    pdf = pdf.sort_values(pos, kind="stable")
+    for key, t, text, at in zip(pdf["_key"].tolist(), pdf[time].tolist(), pdf[marker].tolist(), pdf[pos].tolist(), strict=True):
+        if text not in meanings:
+            low = (text or "").lower()
+            meanings[text] = [(label, f"start_{label}" in low) for label in labels if f"start_{label}" in low or f"end_{label}" in low]
+        for label, starts in meanings[text]:
+            if starts:
+                opened.setdefault(key, {})[label] = float(t)
+            elif label in opened.get(key, ()):
+                rows.append((key, opened[key].pop(label), float(t), label, int(at)))
+    return rows
+
+
 def marker_intervals_stream(
-    stream: DataFrame, labels: Sequence[str], keys: Sequence[str], time: str, marker: str, pos: str, ts: str, ttl: str, lateness: str = "1 hour"
+    stream: DataFrame, labels: Sequence[str], keys: Sequence[str], time: str, marker: str, pos: str, ts: str, ttl: str, lateness: str = "1 hour", buckets: int = BUCKETS
 ) -> DataFrame:
     """Online marker pairing: one row per closed interval, absolute times, in file order ``pos`` inside a batch.
 
-    Starts still open ``ttl`` after a key's last event come out with a null end before they are forgotten, so none is lost unseen.
+    Starts still open ``ttl`` after a key's last event come out with a null end before they are forgotten, so none is lost unseen. Keys are
+    dealt to ``buckets`` groups; a group's state holds the open starts and the time limit of each of its keys.
     """
+    key_schema = T.StructType([stream.schema[k] for k in keys])
     out_schema = T.StructType(
         [
-            *[stream.schema[k] for k in keys],
+            T.StructField("_key", T.StringType()),
             T.StructField("start", T.DoubleType()),
             T.StructField("end", T.DoubleType()),
             T.StructField("label", T.StringType()),
             T.StructField("ord", T.LongType()),
         ]
     )
-    state_schema = T.StructType([T.StructField("open", T.MapType(T.StringType(), T.DoubleType()))])
+    state_schema = T.StructType(
+        [
+            T.StructField("open", T.MapType(T.StringType(), T.MapType(T.StringType(), T.DoubleType()))),
+            T.StructField("until", T.MapType(T.StringType(), T.LongType())),
+        ]
+    )
     ms = int(pd.Timedelta(ttl).total_seconds() * 1000)
 
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState):
-        if state.hasTimedOut:
-            left = [(*key, start, None, label, None) for label, start in dict(state.get[0]).items()]
+    def step(bucket, frames: Iterator[pd.DataFrame], state: GroupState):
+        now, rows = state.getCurrentWatermarkMs(), []
+        opened, until = ({k: dict(v) for k, v in state.get[0].items()}, dict(state.get[1])) if state.exists else ({}, {})
+        if not state.hasTimedOut:
+            pdf = pd.concat(list(frames))  # a bucket's share of one micro-batch
+            rows = pair_markers(pdf, opened, labels, time, marker, pos)
+            for key, last in pdf.groupby("_key")[ts].max().items():
+                until[key] = max(int(last.timestamp() * 1000), now) + ms
+        # as with a limit of its own for every key: those without rows in this batch end once the watermark is past their limit
+        for key in [k for k, limit in until.items() if limit < now]:
+            rows += [(key, start, None, label, None) for label, start in opened.pop(key, {}).items()]
+            del until[key]
+        if until:
+            state.update(({k: v for k, v in opened.items() if v}, until))
+            state.setTimeoutTimestamp(min(until.values()))
+        else:
             state.remove()
-            if left:
-                yield pd.DataFrame(left, columns=out_schema.names)
-            return
-        opened = dict(state.get[0]) if state.exists else {}
-        rows = []
-        pdf = pd.concat(list(frames)).sort_values(pos)
-        for t, text, at in zip(pdf[time], pdf[marker].str.lower(), pdf[pos]):
-            for label in labels:
-                if f"start_{label}" in text:
-                    opened[label] = float(t)
-                elif f"end_{label}" in text and label in opened:
-                    rows.append((*key, opened.pop(label), float(t), label, int(at)))
-        state.update((opened,))
-        _expire_after(state, pdf[ts], ms)
         if rows:
             yield pd.DataFrame(rows, columns=out_schema.names)
 
-    timed = stream.withWatermark(ts, lateness)
-    return timed.groupBy(*keys).applyInPandasWithState(step, out_schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias("_bucket")
+    needed = [F.col(c) for c in dict.fromkeys((ts, time, marker, pos))]
+    timed = stream.withWatermark(ts, lateness).select(bucket, F.to_json(F.struct(*keys), _JSON).alias("_key"), *needed)
+    found = timed.groupBy("_bucket").applyInPandasWithState(step, out_schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select(F.from_json("_key", key_schema, _JSON).alias("_keys"), "start", "end", "label", "ord").select("_keys.*", "start", "end", "label", "ord")
 
 
 # ---------------------------------------------------------------- deduplication

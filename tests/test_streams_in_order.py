@@ -145,3 +145,20 @@ def test_a_keys_rows_cost_one_call_of_the_state_store():
     clock.now = 40
     assert [tuple(r) for r in next(plain.handleExpiredTimer((1,), clock, None)).itertuples(index=False)] == [(1, 30, 3, 7)]
     assert calls == ["append", "put", "clear"]
+
+
+@pytest.mark.parametrize("buckets", [1, 64])
+def test_keys_that_share_a_call_keep_their_own_starts_and_limits(spark, tmp_path, buckets):
+    day = dt.timedelta(days=1)
+    schema = "participant int, session int, ts timestamp, event_id long, at double, marker string"
+    # key (1, 0) falls silent after the first file, (None, 0) pairs across files, (3, 0) closes what it never opened
+    files = [
+        [(1, 0, START, 1, 1.0, "Start_a"), (None, 0, START, 2, 2.0, "start_a"), (3, 0, START, 3, 3.0, "end_a"), (1, 0, START, 4, 4.0, "tick")],
+        [(None, 0, START + 3 * day, 6, 6.0, "END_A"), (None, 0, START + 3 * day, 5, 5.0, "start_b"), (3, 0, START + 3 * day, 7, 7.0, None)],
+        [(3, 0, START + 6 * day, 8, 8.0, "start_b"), (3, 0, START + 6 * day, 9, 9.0, "end_b")],
+    ]
+    made = run(spark, tmp_path, schema, files, lambda s: live.marker_intervals_stream(s, ["a", "b"], KEYS, "at", "marker", "event_id", "ts", "2 days", "1 hour", buckets=buckets))
+    assert [(f.name, f.dataType.simpleString()) for f in made.schema][:2] == [("participant", "int"), ("session", "int")]
+    found = sorted(map(tuple, made.collect()), key=str)
+    # once the third file has moved the watermark past their limits, open starts come out without an end
+    assert found == sorted([(None, 0, 2.0, 6.0, "a", 6), (1, 0, 1.0, None, "a", None), (None, 0, 5.0, None, "b", None), (3, 0, 8.0, 9.0, "b", 9)], key=str)
