@@ -34,6 +34,8 @@ BLOCK_TOKENS, STEP_TOKENS = 3_000_000, 250_000
 CLUSTERED, CLASSES, ENDINGS, PASSES = 16_384, 48, 48, 3
 ALL_CLASSES, END_CLASS = CLASSES + ENDINGS + 1, CLASSES + ENDINGS
 CHUNK = 512
+#: Tasks whose matrices are added up first; so many rows of a chunk come together at a time.
+NEIGHBOURS = 32
 #: Weight of the class model against the unigram, and of a class's overall share against its transitions.
 LAMBDA, BACKOFF = 0.8, 50.0
 
@@ -100,7 +102,7 @@ class Corpus:
     """Coded blocks with each word's corpus count and class key (number among the clustered words, -1 - ending, or -1 - ENDINGS - class), and the totals."""
 
     def __init__(self, docs: DataFrame, folds: int = 5, held_out: int = 1, clustered: int = CLUSTERED, **columns):
-        raw = cut_lineage(blocks(docs, folds, held_out, **columns))
+        raw = cut_lineage(blocks(docs, folds, held_out, **columns), compression="zstd")  # held until the coded blocks are written
         entries = raw.where("at >= 0").select("block", "at", "word", "n")
         vocabulary = cut_lineage(entries.where("n > 0").groupBy("word").agg(F.sum("n").alias("count")))
         totals = vocabulary.agg(F.sum("count").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("word") == "", F.col("count"))).alias("ends")).first()
@@ -117,9 +119,9 @@ class Corpus:
             self.class_words[CLASSES + r["e"]], self.class_tokens[CLASSES + r["e"]] = r["v"], r["n"]
         self.class_words[END_CLASS], self.class_tokens[END_CLASS] = 1, totals["ends"] or 0
         key = F.coalesce("top", (-1 - ending).cast("int"))
-        found = entries.select("block", "at", "word", F.xxhash64("word").alias("id")).join(known.select("word", "count", "top"), "word", "left")
-        # count and key share a number, so that a word's row stays short on its way back to the block
-        found = found.select("block", "at", "id", (F.shiftleft(F.coalesce("count", F.lit(0)).cast("bigint"), 16) + key + ENDINGS).alias("value"))
+        found = entries.select("block", "at", "word").join(known.select("word", "count", "top"), "word", "left")
+        # count and key share a number, so that a word's row stays short on its way back to the block; its hash is made only here
+        found = found.select("block", "at", F.xxhash64("word").alias("id"), (F.shiftleft(F.coalesce("count", F.lit(0)).cast("bigint"), 16) + key + ENDINGS).alias("value"))
         payload = raw.where("at < 0").select(F.col("block").alias("of"), "doc_ids", "held", "sizes", "tokens")
         ddl = "of bigint, doc_ids array<bigint>, held array<boolean>, sizes binary, tokens binary, counts binary, keys binary, ids binary"
         self.coded = cut_lineage(payload.groupBy("of").cogroup(found.groupBy("block")).applyInArrow(self._pack, ddl))
@@ -141,8 +143,8 @@ class Corpus:
         """Every training word that took no part in the exchange goes to its best class; keys and totals follow."""
         gain, width = gains(moves), 2 * ALL_CLASSES
         both = np.concatenate([gain[:, :CLASSES], gain[:CLASSES].T])
-        schema = pa.schema([("id", pa.int64()), ("block", pa.int64()), ("at", pa.int32()), ("n", pa.int64()), ("cells", pa.list_(pa.int64()))])
-        placed = pa.schema([("block", pa.int64()), ("at", pa.int32()), ("class", pa.int32()), ("n", pa.int64()), ("lead", pa.bool_())])
+        schema = pa.schema([("id", pa.int64()), ("block", pa.int64()), ("at", pa.int32()), ("cells", pa.binary())])
+        placed = pa.schema([("block", pa.int64()), ("at", pa.int32()), ("class", pa.int32()), ("n", pa.int64())])
 
         def count(batches):
             for batch in batches:
@@ -157,28 +159,28 @@ class Corpus:
                     left = np.where(places > 0, local[places - 1], END_CLASS)
                     right = local[places + 1] + ALL_CLASSES  # a text ends in its end, so a word has a neighbour there
                     own = tokens[places].astype(np.int64) * width
-                    cells, times = np.unique(np.concatenate([own + left, own + right]), return_counts=True)
+                    cells = np.sort(np.concatenate([own + left, own + right]))  # a byte for every neighbour, its class and side
                     words = np.flatnonzero(rest)
                     starts = np.searchsorted(cells, np.append(words, len(keys)).astype(np.int64) * width)
-                    values = times.astype(np.int64) << 8 | cells % width
+                    values = (cells % width).astype(np.uint8)
                     block = batch.column(6)[k].as_py()
                     for at in range(0, len(words), 20_000):
                         some = words[at : at + 20_000]
                         bounds = starts[at : at + len(some) + 1]
-                        lists = pa.ListArray.from_arrays(pa.array(bounds - bounds[0], pa.int32()), pa.array(values[bounds[0] : bounds[-1]], pa.int64()))
-                        yield arrow_batch(schema, [ids[some], np.full(len(some), block), some, counts[some], lists])
+                        offsets = pa.py_buffer((bounds - bounds[0]).astype(np.int32))
+                        lists = pa.Array.from_buffers(pa.binary(), len(some), [None, offsets, pa.py_buffer(values[bounds[0] : bounds[-1]])])
+                        yield arrow_batch(schema, [ids[some], np.full(len(some), block), some, lists])
 
         def place(rows):
             ids = rows.column("id").to_numpy()
             lead = np.append(True, ids[1:] != ids[:-1])
             word = np.cumsum(lead) - 1
-            cells = rows.column("cells").combine_chunks()
-            values = cells.flatten().to_numpy()
-            sizes = np.diff(cells.offsets.to_numpy())
-            at = np.repeat(word, sizes) * width + (values & 255)
-            total = np.bincount(at, values >> 8, (word[-1] + 1) * width).reshape(-1, width)
+            cells = rows.column("cells").to_pylist()
+            at = np.repeat(word, np.fromiter(map(len, cells), dtype=np.int64, count=len(cells))) * width + np.frombuffer(b"".join(cells), dtype=np.uint8)
+            total = np.bincount(at, minlength=(word[-1] + 1) * width).reshape(-1, width)
             best = np.round(total @ both, 6).argmax(axis=1)
-            return arrow_batch(placed, [rows.column("block").to_numpy(), rows.column("at").to_numpy(), best[word], rows.column("n").to_numpy(), lead])
+            n = np.where(lead, total[:, ALL_CLASSES:].sum(axis=1)[word], 0)  # every occurrence has one word on its right
+            return arrow_batch(placed, [rows.column("block").to_numpy(), rows.column("at").to_numpy(), best[word], n])
 
         def choose(batches):
             waiting = None  # rows of the last word so far
@@ -198,13 +200,13 @@ class Corpus:
             keys[found.column("at").to_numpy()] = -1 - ENDINGS - found.column("class").to_numpy()
             return payload.set_column(payload.schema.get_field_index("keys"), "keys", pa.array([packed(keys)], pa.binary()))
 
-        sent = self.coded.select("tokens", "sizes", "keys", "held", "counts", "ids", "of").mapInArrow(count, "id bigint, block bigint, at int, n bigint, cells array<bigint>")
-        found = sent.repartition("id").sortWithinPartitions("id").mapInArrow(choose, "block bigint, at int, class int, n bigint, lead boolean")
+        sent = self.coded.select("tokens", "sizes", "keys", "held", "counts", "ids", "of").mapInArrow(count, "id bigint, block bigint, at int, cells binary")
+        found = sent.repartition("id").sortWithinPartitions("id").mapInArrow(choose, "block bigint, at int, class int, n bigint")
         found = cut_lineage(found)
         self.class_words[: CLASSES + ENDINGS] = self.class_tokens[: CLASSES + ENDINGS] = 0
-        for r in found.where("lead").groupBy("class").agg(F.count("*").alias("v"), F.sum("n").alias("n")).collect():
+        for r in found.where("n > 0").groupBy("class").agg(F.count("*").alias("v"), F.sum("n").alias("n")).collect():
             self.class_words[r["class"]], self.class_tokens[r["class"]] = r["v"], r["n"]
-        older, self.coded = self.coded, cut_lineage(self.coded.groupBy("of").cogroup(found.groupBy("block")).applyInArrow(renew, self.coded.schema))
+        older, self.coded = self.coded, cut_lineage(self.coded.groupBy("of").cogroup(found.select("block", "at", "class").groupBy("block")).applyInArrow(renew, self.coded.schema))
         release(older, found)
 
 
@@ -215,12 +217,13 @@ def class_of(keys: np.ndarray, classes: np.ndarray, end_at: int = 0) -> np.ndarr
     return out
 
 
-def context_counts(corpus: Corpus, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Over all training tokens: (clustered words, 2, classes) counts of the classes left and right, and the class transitions.
+def context_counts(corpus: Corpus, classes: np.ndarray, by_word: bool = True) -> tuple[np.ndarray | None, np.ndarray]:
+    """Over all training tokens: (clustered words, 2, classes) counts of the classes left and right (None unless by_word), and the class transitions.
 
-    A task adds up its blocks in one matrix of the model's size and hands it on in chunks of words, which are summed in two steps.
+    A task adds up its blocks in one matrix of the model's size and hands it on in chunks of words, which are summed in two steps: those of
+    NEIGHBOURS tasks, then the sums.
     """
-    count = len(corpus.top_counts)
+    count = len(corpus.top_counts) if by_word else 0
     chunks = -(-count // CHUNK)
     width = 2 * ALL_CLASSES
 
@@ -237,11 +240,13 @@ def context_counts(corpus: Corpus, classes: np.ndarray) -> tuple[np.ndarray, np.
                     left = np.concatenate([[local[at - 1] if at else END_CLASS], here[:-1]])
                     right = np.concatenate([here[1:], local[at + STEP_TOKENS :][:1], [END_CLASS]])[: len(here)]
                     moves += np.bincount((left * ALL_CLASSES + here)[kept], minlength=len(moves))
+                    if not count:
+                        continue
                     word = kept & (own >= 0) & (tokens[some] > 0)
                     for side, classes_there in ((0, left), (ALL_CLASSES, right)):
                         cells += np.bincount(own[word] * width + side + classes_there[word], minlength=len(cells))
         if moves.any():
-            task = TaskContext.get().partitionId() % 32
+            task = TaskContext.get().partitionId() // NEIGHBOURS
             parts = [cells[c * CHUNK * width : (c + 1) * CHUNK * width] for c in range(chunks)]
             ids = list(range(chunks))
             yield pa.RecordBatch.from_arrays([pa.array([*ids, -1], pa.int32()), pa.array([task] * (chunks + 1), pa.int32()), pa.array([_cells(p) for p in [*parts, moves]], pa.binary())], names=["chunk", "salt", "cells"])
@@ -256,15 +261,16 @@ def context_counts(corpus: Corpus, classes: np.ndarray) -> tuple[np.ndarray, np.
     got = dict(zip(summed.column("chunk").to_pylist(), summed.column("cells").to_pylist(), strict=True))
     cells = np.concatenate([_cells_back(got[c]) if c in got else np.zeros(min(CHUNK, count - c * CHUNK) * width, dtype=np.int64) for c in range(chunks)]) if chunks else np.zeros(0)
     moves = _cells_back(got[-1]) if -1 in got else np.zeros(ALL_CLASSES**2, dtype=np.int64)
-    return cells.reshape(count, 2, ALL_CLASSES), moves.reshape(ALL_CLASSES, ALL_CLASSES)
+    return cells.reshape(count, 2, ALL_CLASSES) if by_word else None, moves.reshape(ALL_CLASSES, ALL_CLASSES)
 
 
 def _cells(x: np.ndarray) -> bytes:
-    return zstandard.compress(x.tobytes(), 1)
+    """Numbers as compressed 64-bit, byte by byte plane: most planes of counts are empty."""
+    return zstandard.compress(np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
 
 
 def _cells_back(data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(data), dtype=np.int64)
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), dtype=np.uint8).reshape(8, -1).T).view("<i8").ravel()
 
 
 def gains(moves: np.ndarray) -> np.ndarray:
@@ -286,7 +292,7 @@ def exchange(corpus: Corpus, passes: int = PASSES) -> tuple[np.ndarray, np.ndarr
         gain = gains(moves)
         scores = cells[:, 0] @ gain[:, :CLASSES] + cells[:, 1] @ gain[:CLASSES].T
         classes = scores.argmax(axis=1) if len(scores) else classes
-    return classes, context_counts(corpus, classes)[1]
+    return classes, context_counts(corpus, classes, by_word=False)[1]
 
 
 class ClassModel:
@@ -325,7 +331,7 @@ def score(docs: DataFrame, folds: int = 5, held_out: int = 1, passes: int = PASS
     corpus = Corpus(docs, folds, held_out, **columns)
     classes, moves = exchange(corpus, passes)
     corpus.assign_rest(classes, moves)
-    model = ClassModel(corpus, classes, context_counts(corpus, classes)[1])
+    model = ClassModel(corpus, classes, context_counts(corpus, classes, by_word=False)[1])
     given = docs.sparkSession.sparkContext.broadcast(model)  # of the model's size, whatever the corpus
     names = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
     schema = pa.schema(list(names.items()))

@@ -40,14 +40,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+def cut_lineage(df: DataFrame, **options: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back; ``options`` are those of the Parquet writer.
 
     Later stages then survive lost executors, the plan stays small, and the optimizer knows
     the table's true size when it decides on a broadcast.
     """
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out

@@ -346,3 +346,20 @@ def test_rare_words_have_the_class_of_their_neighbours(spark, monkeypatch):
     assert not first & second
     model = class_lm.ClassModel(corpus, classes, class_lm.context_counts(corpus, classes)[1])
     assert model.emission_base.sum() == pytest.approx(corpus.tokens + 0.5 * (corpus.words + class_lm.ALL_CLASSES))
+
+
+def test_class_counts_are_added_up_in_few_small_rows(spark, monkeypatch):
+    monkeypatch.setattr(class_lm, "BLOCK_TOKENS", 300)
+    rnd = random.Random(8)
+    corpus = class_lm.Corpus(frame(spark, [(k, " ".join(words(rnd, 40, 90)), "s") for k in range(100)]).repartition(5), clustered=30)
+    classes = np.arange(30) % class_lm.CLASSES
+    cells, moves = class_lm.context_counts(corpus, classes)
+    assert cells.shape == (30, 2, class_lm.ALL_CLASSES) and (cells.sum(axis=2) == corpus.top_counts[:, None]).all()
+    alone, again = class_lm.context_counts(corpus, classes, by_word=False)  # transitions alone do not send the words' counts
+    assert alone is None and (again == moves).all() and moves.sum() == corpus.tokens
+    monkeypatch.setattr(class_lm, "NEIGHBOURS", 2)
+    assert (class_lm.context_counts(corpus, classes)[0] == cells).all()
+    counts = np.random.default_rng(1).poisson(3, 50_000)
+    counts[7] = 2**40
+    assert (class_lm._cells_back(class_lm._cells(counts)) == counts).all()
+    assert len(class_lm._cells(counts)) < 0.8 * len(class_lm.zstandard.compress(counts.tobytes(), 1))
