@@ -17,6 +17,10 @@ DEFAULT_CONF = {
 }
 
 
+#: Whether a query's shuffle files are deleted when it ends.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def build_session(master: str | None = None, app: str = "sessionlab", **conf: str) -> SparkSession:
     """Session with the library defaults; every value can be overridden."""
     builder = SparkSession.builder.appName(app)
@@ -44,10 +48,17 @@ def cut_lineage(df: DataFrame, **options: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back; ``options`` are those of the Parquet writer.
 
     Later stages then survive lost executors, the plan stays small, and the optimizer knows
-    the table's true size when it decides on a broadcast.
+    the table's true size when it decides on a broadcast. What was shuffled for the table goes as
+    soon as it is written, not when the driver next collects garbage.
     """
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(SHUFFLES_GO, "false")
+    conf.set(SHUFFLES_GO, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        conf.set(SHUFFLES_GO, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out
