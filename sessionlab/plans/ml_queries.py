@@ -388,7 +388,7 @@ def _late_stream(spark, d, name: str) -> DataFrame:
     span = e.agg(F.min(arrival).alias("a"), F.max(arrival).alias("b")).first()
     part = F.floor((arrival - span["a"]) * 4 / (span["b"] - span["a"] + 1))
     for k in range(4):
-        e.where(part == k).coalesce(1).write.parquet(f"{root}/in/b{k}")
+        e.where(part == k).repartition(1).write.parquet(f"{root}/in/b{k}")
     closing = e.agg(F.max("ts").alias("ts")).select(F.lit(-1).cast("bigint").alias("user_id"), (F.col("ts") + F.expr("interval 40 days")).alias("ts"), F.lit(0.0).alias("value"), F.lit("view").alias("event_type"), F.lit(-1).cast("bigint").alias("event_id"))
     closing.write.parquet(f"{root}/in/b4")
     raw = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{root}/in")

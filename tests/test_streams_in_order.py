@@ -162,3 +162,68 @@ def test_keys_that_share_a_call_keep_their_own_starts_and_limits(spark, tmp_path
     found = sorted(map(tuple, made.collect()), key=str)
     # once the third file has moved the watermark past their limits, open starts come out without an end
     assert found == sorted([(None, 0, 2.0, 6.0, "a", 6), (1, 0, 1.0, None, "a", None), (None, 0, 5.0, None, "b", None), (3, 0, 8.0, 9.0, "b", 9)], key=str)
+
+
+def test_keys_of_a_group_share_the_calls_of_the_state_store():
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    calls = []
+
+    class State:
+        held = None
+
+        def get(self):
+            calls.append("get")
+            return iter(self.held or ()) if isinstance(self.held, list) or self.held is None and self.rows else self.held
+
+        def __init__(self, rows):
+            self.rows = rows
+
+        def appendList(self, rows):
+            calls.append("append")
+            self.held = [*(self.held or []), *rows]
+
+        def put(self, rows):
+            calls.append("put")
+            self.held = list(rows)
+
+        def update(self, x):
+            calls.append("update")
+            self.held = x
+
+        def clear(self):
+            calls.append("clear")
+            self.held = None
+
+    class Handle:
+        def getListState(self, name, schema):
+            return State(True)
+
+        def getValueState(self, name, schema):
+            return State(False)
+
+        def registerTimer(self, at):
+            calls.append(at)
+
+        def deleteTimer(self, at):
+            calls.append(-at)
+
+    class Clock:
+        now = 0
+
+        def getCurrentWatermarkInMs(self):
+            return self.now
+
+    smooth = ordered.Majority(2, keys=["k"], ts="ts", order="n", value="v", value_type=T.IntegerType(), ttl_ms=50, names=["k", "n", "smoothed"])
+    smooth.init(Handle())
+    clock, keys, made = Clock(), [f'{{"k":{k}}}' for k in range(300)], []
+    for batch, (clock.now, stamps) in enumerate([(0, (30, 10, 20)), (20, (40, 25, 60)), (59, ())]):
+        rows = pd.DataFrame([(pd.Timestamp(ms, unit="ms"), ms, int(ms != 20), k) for ms in stamps for k in keys], columns=["ts", "n", "v", ordered.KEY])
+        list(smooth.handleInputRows((1,), iter([rows]), clock))
+        made += [tuple(r) for pdf in smooth.handleExpiredTimer((1,), clock, None) for r in pdf.itertuples(index=False)]
+    assert sorted(made) == sorted((k, n, s) for k in keys for n, s in ((10, 1), (20, 0), (25, 0), (30, 1), (40, 1)))
+    assert len(calls) < 40  # however many keys
+    clock.now = 200
+    assert [r for pdf in smooth.handleExpiredTimer((1,), clock, None) for r in pdf["n"]] == [60] * 300
+    assert smooth.carried.held is None and smooth.waiting.held is None and smooth.timer.held is None
